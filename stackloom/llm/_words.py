@@ -76,6 +76,7 @@ class Words:
     hash: np.ndarray
     first: np.ndarray
     sums: np.ndarray
+    bytes: np.ndarray
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the ``size``-word windows inside one row, and their hashes."""
@@ -132,7 +133,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: b
     sums = prefix((_VALUE_LOWER if lower else _VALUE)[data], _BASE)
     row = np.searchsorted(offsets[1:], start, side="right")
     first = np.searchsorted(row, np.arange(rows + 1))
-    return Words(rows, data, row, start, end, mix(spans(sums, start, end, _BASE)), first, sums)
+    return Words(rows, data, row, start, end, mix(spans(sums, start, end, _BASE)), first, sums, np.diff(offsets))
 
 
 def byte_spans(w: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:

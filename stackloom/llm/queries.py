@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stackloom.llm import bpe
+from stackloom.llm import _sample, bpe, extract, quality, toxicity
 
 BPE_FILE = "word_bpe_49k.json"
 
@@ -19,13 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode_decode(docs, tokenizer_path())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def _classified(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """The columns that both classifiers' queries return."""
+    fold: Column = _sample.bucket(F.col("doc_id"), folds)
+    return scored.select("doc_id", (fold == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _classified(toxicity.score(docs, toxicity.from_labels(docs, table(spark, sf_dir, "labels"))), 5, 0)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _classified(quality.score(docs, quality.from_labels(docs, table(spark, sf_dir, "labels"))), 3, 1)
+
+
 QUERIES = {
+    "op1_extract": op1_extract,
     "op3_bpe": op3_bpe,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
