@@ -25,7 +25,7 @@ _VALUE_LOWER = _VALUE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _NON_LETTER = np.ones(256, bool)
-_NON_LETTER[65:91] = _NON_LETTER[97:123] = _NON_LETTER[128:] = False
+_NON_LETTER[48:58] = _NON_LETTER[65:91] = _NON_LETTER[97:123] = _NON_LETTER[128:] = False
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -105,7 +105,7 @@ def filled(column: pa.Array) -> pa.Array:
 def blocks(column: pa.Array, lower: bool = False, letters: bool = False, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """``(first row, end row, Words)`` of stretches of the column with about ``limit`` bytes each.
 
-    ``lower`` folds A-Z; ``letters`` takes runs of letters and non-ASCII bytes as words instead.
+    ``lower`` folds A-Z; ``letters`` takes runs of letters, digits and non-ASCII bytes as words instead.
     """
     column = filled(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

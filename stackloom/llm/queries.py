@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, bpe, extract, quality, toxicity
+from stackloom.llm import _sample, bpe, decontaminate, extract, quality, toxicity
 
 BPE_FILE = "word_bpe_49k.json"
 
@@ -29,6 +29,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizer_path())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.rows(decontaminate.flag(docs, table(spark, sf_dir, "benchmark")))
+
+
 def _classified(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
     """The columns that both classifiers' queries return."""
     fold: Column = _sample.bucket(F.col("doc_id"), folds)
@@ -48,6 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extract": op1_extract,
     "op3_bpe": op3_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
