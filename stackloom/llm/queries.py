@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, bpe, decontaminate, extract, quality, toxicity
+from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, quality, toxicity
 
 BPE_FILE = "word_bpe_49k.json"
 
@@ -24,6 +24,10 @@ def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode_decode(docs, tokenizer_path())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -52,10 +56,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_extract": op1_extract,
+    "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": neardup.SQL.format(documents="documents"),
+}
