@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, quality, toxicity
+from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, quality, rlz, toxicity
 
 BPE_FILE = "word_bpe_49k.json"
 
@@ -38,6 +38,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.rows(decontaminate.flag(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = rlz.remove(docs, rlz.factors(docs))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _classified(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
     """The columns that both classifiers' queries return."""
     fold: Column = _sample.bucket(F.col("doc_id"), folds)
@@ -59,10 +65,12 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
+    "op5_substrings": op5_substrings,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_substrings": rlz.SQL,
     "op2_minhash": neardup.SQL.format(documents="documents"),
 }
