@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, quality, rlz, toxicity
+from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, quality, rlz, toxicity, vectors
 
 BPE_FILE = "word_bpe_49k.json"
 
@@ -60,6 +60,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.score(docs, quality.from_labels(docs, table(spark, sf_dir, "labels"))), 3, 1)
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_minhash": op2_minhash,
@@ -68,9 +72,11 @@ QUERIES = {
     "op5_substrings": op5_substrings,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
+    "op10_vectors": op10_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_substrings": rlz.SQL,
+    "op10_vectors": vectors.SQL,
     "op2_minhash": neardup.SQL.format(documents="documents"),
 }
