@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, quality, rlz, toxicity, vectors
+from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, privacy, quality, rlz, toxicity, vectors
 
 BPE_FILE = "word_bpe_49k.json"
+#: The key of the surrogates; a real run passes a secret one of its own.
+PRIVACY_KEY = "stackloom"
 
 
 def tokenizer_path(name: str = BPE_FILE) -> str:
@@ -44,6 +46,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PRIVACY_KEY)
+
+
 def _classified(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
     """The columns that both classifiers' queries return."""
     fold: Column = _sample.bucket(F.col("doc_id"), folds)
@@ -70,6 +76,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_substrings": op5_substrings,
+    "op6_privacy": op6_privacy,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
