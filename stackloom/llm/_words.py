@@ -96,6 +96,10 @@ class Words:
         got = spans(self.word_sums(), start, end, _WORD_BASE)
         return mix(got + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
+    def other_stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A second, independent hash of the same sequences."""
+        return mix(spans(prefix(mix(self.hash + np.uint64(0x51ED270B7A6E3D05)), _BASE), start, end, _BASE) + (end - start).astype(np.uint64))
+
 
 def filled(column: pa.Array) -> pa.Array:
     column = column.cast(pa.large_string())

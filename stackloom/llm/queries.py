@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, privacy, quality, rlz, toxicity, vectors
+from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, privacy, quality, rlz, suffixes, toxicity, vectors
 
 BPE_FILE = "word_bpe_49k.json"
 #: The key of the surrogates; a real run passes a secret one of its own.
@@ -50,6 +50,10 @@ def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PRIVACY_KEY)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _classified(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
     """The columns that both classifiers' queries return."""
     fold: Column = _sample.bucket(F.col("doc_id"), folds)
@@ -77,6 +81,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_substrings": op5_substrings,
     "op6_privacy": op6_privacy,
+    "op7_suffixes": op7_suffixes,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
