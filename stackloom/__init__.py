@@ -1,0 +1 @@
+"""A Spark-native toolkit for document stores, retrieval and corpus analytics."""
