@@ -7,12 +7,15 @@ chunks.  By pigeonhole, of two signatures that differ in less than 2 * ``CHUNKS`
 differs in one symbol at most; so for every chunk each single error is enumerated, by a key over the
 chunk without one symbol, and all pairs under that distance share a key.  (A pair at similarity 0.8
 misses every chunk with probability 2e-5.)  Candidates that differ in more than ``MAX_DIFFERENT``
-symbols cannot be similar enough but with probability 1e-6; the rest is confirmed on the full sets.
+symbols cannot be similar enough but with probability 5e-5; the rest is confirmed on the full sets.
 
-Groups of copies are never expanded into all pairs.  In a first round each class is compared with the
-nearest of its keys' smallest members, which ties large groups together; then only pairs that share
-a key but lie in different components so far are compared, within neighbouring sizes.  Any link
-between classes is either confirmed, or its ends are already connected: components are complete.
+Groups of copies are never expanded into all pairs.  In a first round each key picks one of its
+members by a hash, and each class is compared with the nearest of those its keys picked, which ties
+large groups together.  Then only keys whose members lie in different components so far are looked at
+again.  Members of small keys are paired, within neighbouring sizes.  Keys with more than ``LARGE``
+members form clusters; clusters are cut into parts of ``PART`` classes, and every two parts meet in a
+task of their own, which counts all intersections of their sets and passes on a spanning forest of
+the links.  Any link between candidates is either confirmed, or its ends are already connected.
 
 Texts without words have an empty set and are linked with nothing.  Rows without an id are in no
 component and are kept; repeated rows get equal results; other columns are ignored; an empty table
@@ -30,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackloom.llm._jobs import components, cut, release
+from stackloom.llm._trees import joined
 from stackloom.llm._words import Words, blocks, mix, signed
 
 SHINGLE = 4
 PERCENT = 80
 CHUNKS, WIDTH = 8, 5
-MAX_DIFFERENT = 20
+MAX_DIFFERENT = 18
+LARGE = 24
+PART = 1200
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,6 +153,83 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(_compare, "a long, b long")
 
 
+def links_within(sets: list[np.ndarray], part: np.ndarray, pair: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (row, root) of the links between rows of the two parts, from all their intersections."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(m), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((m, m), np.float32)
+    dense = np.flatnonzero(count >= 32)
+    place = np.full(len(count), -1)
+    place[dense] = np.arange(len(dense))
+    for at in range(0, len(dense), 2048):
+        own = (place[column] >= at) & (place[column] < at + 2048)
+        hold = np.zeros((m, min(2048, len(dense) - at)), np.float32)
+        hold[row[own], place[column[own]] - at] = 1
+        common += hold @ hold.T
+    few = np.flatnonzero((count[column] > 1) & (count[column] < 32))
+    few = few[np.argsort(column[few], kind="stable")]
+    for gap in range(1, 32):
+        same = np.flatnonzero(column[few[:-gap]] == column[few[gap:]]) if len(few) > gap else np.empty(0, np.int64)
+        if not len(same):
+            break
+        a, b = row[few[same]], row[few[same + gap]]
+        cell, times = np.unique(np.minimum(a, b) * m + np.maximum(a, b), return_counts=True)
+        common[cell // m, cell % m] += times
+        common[cell % m, cell // m] += times
+    joins = 100 * common >= PERCENT * (size[:, None] + size[None] - common)
+    u, v = np.nonzero(np.triu(joins, 1))
+    ok = (np.minimum(part[u], part[v]) == pair[0]) & (np.maximum(part[u], part[v]) == pair[1])
+    root = joined(np.arange(m), u[ok], v[ok])
+    hit = np.flatnonzero(root != np.arange(m))
+    return hit, root[hit]
+
+
+def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, part_a, part_b, part, id, text) come sorted; those of one task may span batches."""
+    held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+    key = None
+
+    def compare() -> pa.RecordBatch:
+        ids, part = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        hit, root = links_within([s for x in held for s in x[2]], part, key[1:])
+        return pa.RecordBatch.from_arrays([pa.array(ids[root]), pa.array(ids[hit])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+        sets = [s for _, _, w in blocks(batch.column(5), lower=True) for s in shingle_sets(w)]
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
+            mine = tuple(keys[a].tolist())
+            if held and mine != key:
+                yield compare()
+                held = []
+            key = mine
+            held.append((batch.column(4).to_numpy()[a:b], batch.column(3).to_numpy()[a:b], sets[a:b]))
+    if held:
+        yield compare()
+
+
+def clustered_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b), a spanning forest, among the ``members(key, id)`` of large keys."""
+    spark = docs.sparkSession
+    first = members.groupBy("key").agg(F.min("id").alias("a"))
+    cluster = components(members.join(first, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct())
+    parts = cluster.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
+    met = cluster.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select(F.col("component").alias("cluster"), F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "id")
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    keys = ["cluster", "part_a", "part_b"]
+    rows = met.join(text, "id").select(*keys, "part", "id", "text").repartition(*keys).sortWithinPartitions(*keys)
+    out = cut(rows.mapInArrow(_cluster, "a long, b long").distinct())
+    release(spark)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
@@ -157,28 +240,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = ["set_a", "set_b", "n"]
     # Equal sets have equal signatures, so any one of them serves.
     classes = cut(sets.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")))
-    keys = chunk_keys(classes)
-    held = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
-    shared = cut(keys.join(held.select("key", "hub"), "key"))
+    keys = chunk_keys(classes).withColumn("turn", F.xxhash64("id", "key"))
+    held = keys.groupBy("key").agg(F.min("turn").alias("picked"), F.count("*").alias("members")).filter("members > 1")
+    shared = cut(keys.join(held, "key"))
     release(spark)
 
-    first = _near(shared.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes)
-    nearest = cut(first.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("best.a", "b"))
+    hubs = shared.filter("turn = picked").select("key", F.col("id").alias("hub"))
+    stars = shared.join(hubs, "key").filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    first = cut(_near(stars, classes))
+    ends = first.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "far")
+    nearest = cut(ends.groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
     links = cut(confirm(nearest, docs).distinct())
     label = components(links)
     release(spark)
 
-    split = shared.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = shared.select("key", "id", "n", "members").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = split.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     split = cut(split.join(torn, "key"))
+    large = split.filter(F.col("members") > LARGE).select("key", "id")
+    if large.limit(1).count():
+        links = links.union(clustered_links(large, docs))
+    small = split.filter(F.col("members") <= LARGE)
     size = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
-    left = split.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), size.alias("size"))
-    right = split.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    left = small.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), size.alias("size"))
+    right = small.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
     pairs = left.join(right, ["key", "size"]).filter("a < b and c_a != c_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti")
-    more = cut(_near(pairs, classes))
-    if more.limit(1).count():
-        links = links.union(cut(confirm(more, docs).distinct()))
-        label = components(links)
+    links = links.union(cut(confirm(_near(pairs, classes), docs).distinct()))
+    label = components(links)
     release(spark)
 
     named = classes.join(label, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm._jobs import components, cut, release
+from stackloom.llm._trees import joined
 
 COSINE = 0.95
 RECALL = 0.995
@@ -97,17 +98,6 @@ def _cells(dim: int, planes: int, tables: int):
     return run
 
 
-def joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """``root`` (smallest member of each row's tree) after linking rows u and v."""
-    while True:
-        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
-        if (low == high).all():
-            return root
-        np.minimum.at(root, high, low)
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def _link_rows(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, cells: np.ndarray, table: int, part: np.ndarray, pair: tuple[int, int], window: float, count: int, cosine: float, ways: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, links, root): links to other classes first met here, and a spanning forest of them."""
     n = len(ids)
