@@ -30,6 +30,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style title template noscript textarea select svg math iframe object canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements nested deeper than this are read as if they were not there, but for hidden ones.
+DEPTH = 300
 SCOPE = frozenset("table td th ul ol dl div section article main aside nav header footer form body".split())
 #: Words in class, id and role, by what they say of an element.
 HINTS = {
@@ -65,8 +67,7 @@ class _Blocks(HTMLParser):
         self.blocks: list[tuple[str, tuple, int]] = []
         self.path: list[tuple[str, frozenset[str]]] = []
         self.text: list[str] = []
-        self.links = self.hidden = 0
-        self.inside = ""
+        self.links = self.hidden = self.anchors = 0
 
     def flush(self) -> None:
         if self.text:
@@ -77,6 +78,7 @@ class _Blocks(HTMLParser):
 
     def cut(self, k: int) -> None:
         self.hidden -= sum(t in HIDDEN for t, _ in self.path[k:])
+        self.anchors -= sum(t == "a" for t, _ in self.path[k:])
         del self.path[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -96,7 +98,7 @@ class _Blocks(HTMLParser):
                     break
         elif tag == "br":
             self.text.append(" ")
-        if tag in VOID:
+        if tag in VOID or len(self.path) >= DEPTH and tag not in HIDDEN:
             return
         said = frozenset()
         for name, value in attrs:
@@ -106,6 +108,7 @@ class _Blocks(HTMLParser):
                 said |= {"notice"}
         self.path.append((tag, said))
         self.hidden += tag in HIDDEN
+        self.anchors += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -120,14 +123,19 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.text.append(data)
-            if any(t == "a" for t, _ in self.path):
+            if self.anchors:
                 self.links += len(data)
 
 
 def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
     parser = _Blocks()
-    parser.feed(html)
-    parser.close()
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:  # the parser gives up on some marked sections; they are text then
+        parser = _Blocks()
+        parser.feed(html.replace("<![", "&lt;!["))
+        parser.close()
     parser.flush()
     return parser.blocks
 

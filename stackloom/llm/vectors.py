@@ -43,6 +43,7 @@ WINDOW_SIGMAS = 2.0
 CELL = 64
 CELL_ROWS = 4000
 BLOCK = 512
+PAIRS = 1_000_000
 
 
 def min_collisions(reached: float = 0.999) -> int:
@@ -98,34 +99,46 @@ def _cells(dim: int, planes: int, tables: int):
     return run
 
 
+def collisions(p: np.ndarray, window: float) -> np.ndarray:
+    """How many of the projections (columns of ``p``) have each two rows in one window, as a flat upper triangle.
+
+    Each projection is sorted; the window centred on a query holds the rows up to ``window`` before and
+    behind it, and each pair is met once, from its earlier end.
+    """
+    n = len(p)
+    count = np.zeros(n * n, np.int8)
+    for k in range(p.shape[1]):
+        order = np.argsort(p[:, k], kind="stable")
+        value = p[order, k]
+        width = np.searchsorted(value, value + window, side="right") - np.arange(n) - 1
+        total = np.cumsum(width)
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+            rank = np.repeat(np.arange(at, to), width[at:to])
+            step = np.arange(len(rank)) - np.repeat(np.cumsum(width[at:to]) - width[at:to], width[at:to])
+            u, v = order[rank], order[rank + 1 + step]
+            count[np.minimum(u, v) * n + np.maximum(u, v)] += 1
+            at = to
+    return count
+
+
 def _link_rows(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, cells: np.ndarray, table: int, part: np.ndarray, pair: tuple[int, int], window: float, count: int, cosine: float, ways: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, links, root): links to other classes first met here, and a spanning forest of them."""
     n = len(ids)
     links, root = np.zeros(n, np.int64), np.arange(n)
-    p = (x @ ways).astype(np.float32)
-
-    order = np.argsort(p[:, 0], kind="stable")
-    ids, weight, x, cells, part, p = ids[order], weight[order], x[order], cells[order], part[order], p[order]
-    reach = np.searchsorted(p[:, 0], p[:, 0] + window * 4, side="right")  # beyond, even the widest window is out of reach
-    for a in range(0, n, BLOCK):
-        b = min(a + BLOCK, n)
-        for c in range(a, int(reach[b - 1]), BLOCK):
-            d = min(c + BLOCK, n)
-            near = np.zeros((b - a, d - c), np.int8)
-            for k in range(PROJECTIONS):
-                near += np.abs(p[a:b, k, None] - p[None, c:d, k]) <= window
-            i, j = np.nonzero(near >= count)
-            keep = (i + a < j + c) & (np.minimum(part[i + a], part[j + c]) == pair[0]) & (np.maximum(part[i + a], part[j + c]) == pair[1])
-            i, j = i[keep] + a, j[keep] + c
-            for s in range(0, len(i), 20_000):
-                u, v = i[s : s + 20_000], j[s : s + 20_000]
-                new = np.ones(len(u), bool) if table == 0 else ~(cells[u, :table] == cells[v, :table]).any(axis=1)
-                u, v = u[new], v[new]
-                ok = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
-                u, v = u[ok], v[ok]
-                np.add.at(links, u, weight[v])
-                np.add.at(links, v, weight[u])
-                root = joined(root, u, v)
+    near = np.flatnonzero(collisions(x @ ways, window) >= count)
+    for s in range(0, len(near), 20_000):
+        u, v = np.divmod(near[s : s + 20_000], n)
+        here = (np.minimum(part[u], part[v]) == pair[0]) & (np.maximum(part[u], part[v]) == pair[1])
+        if table:
+            here &= ~(cells[u, :table] == cells[v, :table]).any(axis=1)
+        u, v = u[here], v[here]
+        ok = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
+        u, v = u[ok], v[ok]
+        np.add.at(links, u, weight[v])
+        np.add.at(links, v, weight[u])
+        root = joined(root, u, v)
     hit = np.flatnonzero(links)
     return ids[hit], links[hit], ids[root[hit]]
 

@@ -34,6 +34,13 @@ def test_extract_layouts(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_extract_odd_markup():
+    assert extract.leaf_blocks("<p>a<![foo bar]>b</p>")
+    deep = "<div>" * 50_000 + "<b>" * 50_000 + "x" + "<script>y</script>" + "<p>z"
+    assert [b[0] for b in extract.leaf_blocks(deep)] == ["x", "z"]
+    assert extract.leaf_blocks("<p>a <a href=x>b</a> c</p>") == [("a b c", (("p", frozenset()),), 1)]
+
+
 def test_extract_held_out_pages():
     field = extract.default_field()
     wrong = total = 0
