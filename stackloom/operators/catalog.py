@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom import vocab
@@ -63,6 +63,23 @@ def display_title() -> Column:
     return first_nonempty(F.col("title_zh"), F.col("title"), F.col("file_title"))
 
 
+def digest(papers: DataFrame, kept: DataFrame) -> DataFrame:
+    """(n, id, title) of the kept papers; the numbers count all papers in the order of ids, so they have gaps.
+
+    Ids are counted by range partition: each partition's rows are numbered from where the one before ends.
+    """
+    rows = papers.select("id", "title").repartitionByRange("id").withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("_part").orderBy("id")
+    before = rows.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = rows.withColumn("_n", F.row_number().over(own)).join(F.broadcast(before.select("_part", "_before")), "_part")
+    return numbered.join(kept.select("id").distinct(), "id", "left_semi").select((F.col("_before") + F.col("_n")).alias("n"), "id", "title")
+
+
+def missing_folders(papers: DataFrame, folders: DataFrame) -> DataFrame:
+    """Exported papers whose folder of parsed files is not among ``folders(name)``."""
+    return papers.filter("status = 'EXPORTED'").select("id", "title", F.substring_index("images_dir", "/", -1).alias("name")).join(folders.select("name").distinct(), "name", "left_anti").select("id", "title")
+
+
 def _ascii_lower(x: Column) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -545,6 +545,27 @@ def batch_round(spark, sf):
     return jobs.batch_round(own, own.limit(0)).select("id")
 
 
+@query(" SELECT n, id, title FROM (SELECT row_number() OVER (ORDER BY id) AS n, id, title, doc_id FROM papers) WHERE doc_id % 3 = 0")
+def digest_numbers(spark, sf):
+    own = papers(spark, sf)
+    return catalog.digest(own, own.filter("doc_id % 3 = 0"))
+
+
+@query(" SELECT id, title FROM papers WHERE status = 'EXPORTED' AND doc_id % 4 <> 0")
+def missing_folders(spark, sf):
+    own = papers(spark, sf).withColumn("images_dir", F.concat(F.lit("/data/"), F.col("doc_id").cast("string")))
+    return catalog.missing_folders(own, own.filter("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("name")))
+
+
+@query(
+    """ SELECT o_orderkey, n_lines, last_ship FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n_lines, strftime(max(l_shipdate), '%Y-%m-%d') AS last_ship FROM lineitem GROUP BY 1)""",
+    tables=False,
+)
+def lines_per_order(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.max("l_shipdate").alias("last"))
+    return rows.select("o_orderkey", "n_lines", F.date_format("last", "yyyy-MM-dd").alias("last_ship"))
+
+
 @query(" SELECT c_custkey, count(o_orderkey) AS n, coalesce(round(sum(o_totalprice), 2), 0) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", tables=False)
 def orders_per_customer(spark, sf):
     per = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"), F.sum("o_totalprice").alias("total"))
