@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_WORDS = 200_000
+from stackloom.llm._words import tidied
+
+CACHE_WORDS = 150_000
 ROWS = 256
 _models: dict[str, Model] = {}
 
@@ -63,6 +65,10 @@ class Model:
         self.cache: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.known.clear()
+
     def split(self, text: str) -> list[str]:
         """Words between white space; special tokens stand alone."""
         if self.specials is not None and any(s in text for s in self.special):
@@ -203,8 +209,10 @@ def _append(df: DataFrame, column: str, new: list[tuple[str, T.DataType]], make)
                 part = batch.slice(at, ROWS)
                 made = make(part.column(column))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, *(n for n, _ in new)])
+        for used in _models.values():
+            used.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def _texts(column: pa.Array) -> list[str]:

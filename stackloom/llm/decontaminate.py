@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackloom.llm._words import Words, blocks, mix
+from stackloom.llm._words import Words, blocks, mix, tidied
 
 # Token positions that count (1) and that are ignored (0).
 MASKS = ("1111111", "1101100111", "11100101101", "101100011101")
@@ -168,7 +168,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS
                     made = pa.array(found, kind)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in names), made], names=[*names, "leaks"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidied(run), schema)
     return out
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from stackloom.llm._jobs import components, cut, release
 from stackloom.llm._trees import joined
-from stackloom.llm._words import Words, blocks, mix, signed
+from stackloom.llm._words import Words, blocks, mix, signed, tidied
 
 SHINGLE = 4
 PERCENT = 80
@@ -92,7 +92,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame) -> DataFrame:
     """Set size, two set hashes and signature of every whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_describe), _SETS)
 
 
 def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
     """Every key (key, id, n) of ``classes(id, n, signature)``: a chunk of the signature without one symbol."""
-    return classes.select("id", "n", "signature").mapInArrow(_enumerate, "key long, id long, n long")
+    return classes.select("id", "n", "signature").mapInArrow(tidied(_enumerate), "key long, id long, n long")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -150,7 +150,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full shingle sets are similar enough."""
     text = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_compare, "a long, b long")
+    return both.mapInArrow(tidied(_compare), "a long, b long")
 
 
 def links_within(sets: list[np.ndarray], part: np.ndarray, pair: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def clustered_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     keys = ["cluster", "part_a", "part_b"]
     rows = met.join(text, "id").select(*keys, "part", "id", "text").repartition(*keys).sortWithinPartitions(*keys)
-    out = cut(rows.mapInArrow(_cluster, "a long, b long").distinct())
+    out = cut(rows.mapInArrow(tidied(_cluster), "a long, b long").distinct())
     release(spark)
     return out
 

@@ -192,7 +192,8 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     turns = known.select("kind", "unit", F.lit(0).alias("turn"))
     moved = None
     for _ in range(MAX_ROUNDS):
-        now = turns.withColumn("new", unit(F.col("kind"), surrogate(key, F.col("kind"), F.col("unit"), F.col("turn")))).withColumn("class", kind)
+        # The surrogates' expression is large; behind the checkpoint the plans below stay small.
+        now = cut(turns.withColumn("new", unit(F.col("kind"), surrogate(key, F.col("kind"), F.col("unit"), F.col("turn")))).withColumn("class", kind))
         clash = now.groupBy("class", "new").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low < high")
         taken = now.join(clash, ["class", "new"]).filter("unit > low").select("kind", "unit")
         real = now.join(known.select(F.col("unit").alias("new"), kind.alias("class")).distinct(), ["class", "new"], "left_semi").select("kind", "unit")

@@ -10,8 +10,8 @@ consecutive blocks copied from consecutive places are one factor; all its window
 
 The factors' boundaries are then checked to the word.  A window of a reference block may still occur
 earlier in a different block.  It then shares a minimiser seed (smallest hash of ``SEED`` words in the
-window) with that place.  Reference blocks that hold a seed found at two places are reread, their
-windows hashed, and all but the first of equal windows are duplicates too.  The result is exact.
+window) with that place.  Reference blocks that hold a seed found at two places are reread, the
+windows around it hashed, and all but the first of equal windows are duplicates too.  The result is exact.
 
 Blocks, seeds and windows are grouped by hash with partial aggregates and joined, so a passage that
 very many documents share needs no large group in one task.  Documents with fewer than ``WINDOW``
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackloom.llm._jobs import cut, release
-from stackloom.llm._words import Words, blocks, mix, signed
+from stackloom.llm._words import Words, blocks, mix, signed, tidied
 
 WINDOW = 20
-SEED = 4
+SEED = 8
+ANCHOR = 4
 BLOCK = 48
 _MARK = np.dtype([("seed", "<i8"), ("at", "<u4")])
 _END = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -50,25 +51,25 @@ def sliding(x: np.ndarray, size: int, best) -> np.ndarray:
     return best(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def minimisers(w: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose seed is the smallest of some ``window``-word window of one row, and all seeds by position."""
+def minimisers(w: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions whose seed is the smallest of some window of one row, all seeds by position, and the smallest of each window."""
     n = len(w.hash)
     at, found = w.windows(seed)
     value = np.full(n, _END, np.uint64)
     value[at] = found
     span = window - seed + 1
     if n < window:
-        return np.empty(0, np.int64), value
+        return np.empty(0, np.int64), value, np.empty(0, np.uint64)
     low = sliding(value, span, np.minimum)[: n - window + 1]
     low = np.where(w.row[: n - window + 1] == w.row[window - 1 :], low, np.uint64(0))
     around = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(n - len(low), np.uint64)])
     high = sliding(around, span, np.maximum)[:n]
-    return np.flatnonzero((value == high) & (value != _END)), value
+    return np.flatnonzero((value == high) & (value != _END)), value, low
 
 
 def cut_blocks(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, end of windows, and row of every block."""
-    at, found = w.windows(SEED)
+    at, found = w.windows(ANCHOR)
     anchor = at[found % np.uint64(BLOCK) == 0]
     n_windows = np.maximum(np.diff(w.first) - WINDOW + 1, 0)
     rows = np.flatnonzero(n_windows)
@@ -91,7 +92,7 @@ def _block_rows(marks: bool):
                 out = [signed(w.stretch(start, end + WINDOW - 1)), ids, (start - w.first[row]).astype(np.int32), (end - start).astype(np.int32)]
                 names = ["block", "doc_id", "start", "n"]
                 if marks:
-                    place, value = minimisers(w, WINDOW, SEED)
+                    place, value, _ = minimisers(w, WINDOW, SEED)
                     all_marks = np.empty(len(place), _MARK)
                     all_marks["seed"] = signed(value[place])
                     all_marks["at"] = place - w.first[w.row[place]]
@@ -104,30 +105,32 @@ def _block_rows(marks: bool):
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, place, doc_id, start, n): the seeds of reference blocks; a place is a hash of document and position."""
+    """(seed, place, doc_id, at): the seeds of reference blocks; a place is a hash of document and position."""
     for batch in batches:
-        raw = batch.column(3).to_pylist()
-        count = np.array([len(x) // _MARK.itemsize for x in raw], np.int64)
+        raw = batch.column(1).to_pylist()
         marks = np.frombuffer(b"".join(raw), _MARK)
-        doc, start, n = (np.repeat(batch.column(k).to_numpy(), count) for k in range(3))
+        doc = np.repeat(batch.column(0).to_numpy(), [len(x) // _MARK.itemsize for x in raw])
         place = mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + marks["at"].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (marks["seed"].copy(), signed(place), doc, start, n)], names=["seed", "place", "doc_id", "start", "n"])
+        out = marks["seed"].copy(), signed(place), doc, marks["at"].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["seed", "place", "doc_id", "at"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, doc_id, start) of the windows of the listed blocks."""
+    """(window, doc_id, start) of the windows whose smallest seed is at one of the row's listed places."""
     for batch in batches:
         for at, to, w in blocks(batch.column(1)):
-            spans = batch.column(2).slice(at, to - at)
-            row = np.repeat(np.arange(to - at), spans.value_lengths().to_numpy(zero_copy_only=False))
-            flat = spans.flatten()
-            start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            first = np.repeat(w.first[row] + start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            row = np.repeat(row, n)
-            ok = first + WINDOW <= w.first[row + 1]
-            first, row = first[ok], row[ok]
+            places = batch.column(2).slice(at, to - at)
+            row = np.repeat(np.arange(to - at), places.value_lengths().to_numpy(zero_copy_only=False))
+            listed = w.first[row] + places.flatten().to_numpy(zero_copy_only=False)
+            _, value, low = minimisers(w, WINDOW, SEED)
+            listed = listed[listed < w.first[row + 1]]
+            some = np.full(len(value), _END, np.uint64)
+            some[listed] = value[listed]
+            near = sliding(some, WINDOW - SEED + 1, np.minimum)[: len(low)]
+            start = np.flatnonzero((near == low) & (low != 0) & (low != _END))
+            row = w.row[start]
             ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(w.stretch(first, first + WINDOW))), pa.array(ids), pa.array((first - w.first[row]).astype(np.int32))], names=["window", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(w.stretch(start, start + WINDOW))), pa.array(ids), pa.array((start - w.first[row]).astype(np.int32))], names=["window", "doc_id", "start"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -141,25 +144,29 @@ def factors(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = _texts(docs)
-    found = texts.mapInArrow(_block_rows(True), _BLOCKS + ", marks binary")
+    found = texts.mapInArrow(tidied(_block_rows(True)), _BLOCKS + ", marks binary")
     reference = cut(found.groupBy("block").agg(F.min(F.struct("doc_id", "start", "n", "marks")).alias("first")).select("block", "first.*"))
     release(spark)
     source = reference.select("block", F.col("doc_id").alias("source_id"), F.col("start").alias("source_start"))
     later = (F.col("doc_id") != F.col("source_id")) | (F.col("start") != F.col("source_start"))
-    copied = cut(texts.mapInArrow(_block_rows(False), _BLOCKS).join(source, "block").filter(later).select("doc_id", "start", "n", "source_id", "source_start"))
+    copied = cut(texts.mapInArrow(tidied(_block_rows(False)), _BLOCKS).join(source, "block").filter(later).select("doc_id", "start", "n", "source_id", "source_start"))
     release(spark)
 
-    seeds = reference.select("doc_id", "start", "n", "marks").mapInArrow(_seed_rows, "seed long, place long, doc_id long, start int, n int")
+    seeds = reference.select("doc_id", "marks").mapInArrow(tidied(_seed_rows), "seed long, place long, doc_id long, at int")
     twice = seeds.groupBy("seed").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").select("seed")
-    unsure = seeds.join(twice, "seed").select("doc_id", "start", "n").distinct()
-    unsure = cut(unsure.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("blocks")))
+    unsure = seeds.join(twice, "seed").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    unsure = cut(unsure)
+    del reference, source, seeds, twice
     release(spark)
-    windows = cut(texts.join(unsure, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_window_rows, "window long, doc_id long, start int"))
+    windows = cut(texts.join(unsure, "doc_id").select("doc_id", "text", "places").mapInArrow(tidied(_window_rows), "window long, doc_id long, start int"))
     release(spark)
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first != last")
     source = first.select("window", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"))
     single = windows.join(source, "window").filter(later).select("doc_id", "start", F.lit(1).alias("n"), "source_id", "source_start")
-    return copied.unionByName(single)
+    found = cut(copied.unionByName(single))
+    del windows, first, source, single
+    release(spark)
+    return found
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -209,7 +216,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     spans = found.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     both = docs.select(*names).join(spans, F.col("doc_id") == F.col("span_id"), "left").select(*names, "spans")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return both.mapInArrow(_removal(names), schema)
+    return both.mapInArrow(tidied(_removal(names)), schema)
 
 
 #: DuckDB SQL of the query, without the digest's name for the kept words.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm._jobs import cut, release
-from stackloom.llm._words import blocks, mix, signed
+from stackloom.llm._words import blocks, mix, signed, tidied
 from stackloom.llm.rlz import minimisers
 
 LENGTH = 50
@@ -134,7 +134,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    told = texts.mapInArrow(_describe, "doc_id long, n long, words_a long, words_b long, seeds array<long>").filter(F.col("n") >= LENGTH)
+    told = texts.mapInArrow(tidied(_describe), "doc_id long, n long, words_a long, words_b long, seeds array<long>").filter(F.col("n") >= LENGTH)
     same = ["words_a", "words_b", "n"]
     classes = cut(told.groupBy(*same).agg(F.min(F.struct("doc_id", "seeds")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
     release(spark)
@@ -142,9 +142,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     twice = seeds.groupBy("seed").count().filter("count > 1").select("seed")
     wanted = cut(seeds.join(twice, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
     release(spark)
-    suffixes = texts.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_suffixes, "right binary, left binary, doc_id long, at int")
+    suffixes = texts.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(tidied(_suffixes), "right binary, left binary, doc_id long, at int")
     order = ["right", "doc_id", "at"]
-    found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _REPEATS)
+    found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(_neighbours), _REPEATS)
     found = cut(found)
     release(spark)
     # Two rows a partition: their number follows the partitions, not the rows.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackloom.llm import _sample
-from stackloom.llm._words import Words, blocks, byte_spans
+from stackloom.llm._words import Words, blocks, byte_spans, tidied
 
 MAX_POSITIVE = 1500
 MAX_UNLABELLED = 6000
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, positives: DataFrame, prior: float, usable: Column | No
     # Both samples are limited above, so what is broadcast has a fixed bound.
     ids = good.union(rest).groupBy("doc_id").agg(F.max("positive").alias("positive"), (F.count("*") > F.max("positive").cast("int")).alias("unlabelled"))
     texts = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    found = texts.mapInArrow(_text_features, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", T.BinaryType())]))
+    found = texts.mapInArrow(tidied(_text_features), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", T.BinaryType())]))
     kinds = {r[0]: (r[1], r[2]) for r in ids.collect()}
     positive, unlabelled = [], []
     for doc_id, raw in found.toLocalIterator():
@@ -151,7 +151,7 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
             made = pa.array(model.scores(batch.column(text)), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, column])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def from_labels(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Model:
