@@ -114,14 +114,13 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", "signature").mapInArrow(tidied(_enumerate), "key long, id long, n long")
 
 
-@F.pandas_udf(T.IntegerType())
-def _different(a, b):  # noqa: ANN001, ANN202 (series of signatures)
-    import pandas as pd
-
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x != y).sum(1).astype("int32"))
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, far) of rows (a, b, signature, signature) that differ in ``MAX_DIFFERENT`` symbols at most."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
+            far = (x != y).sum(1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["a", "b", "far"]).filter(pa.array(far <= MAX_DIFFERENT))
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -129,7 +128,7 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", _different("s_a", "s_b").alias("far")).filter(F.col("far") <= MAX_DIFFERENT)
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(tidied(_distances), "a long, b long, far int")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +177,13 @@ def links_within(sets: list[np.ndarray], part: np.ndarray, pair: tuple[int, int]
         cell, times = np.unique(np.minimum(a, b) * m + np.maximum(a, b), return_counts=True)
         common[cell // m, cell % m] += times
         common[cell % m, cell // m] += times
-    joins = 100 * common >= PERCENT * (size[:, None] + size[None] - common)
-    u, v = np.nonzero(np.triu(joins, 1))
-    ok = (np.minimum(part[u], part[v]) == pair[0]) & (np.maximum(part[u], part[v]) == pair[1])
-    root = joined(np.arange(m), u[ok], v[ok])
+    root = np.arange(m)
+    for at in range(0, m, 128):
+        some = common[at : at + 128]
+        u, v = np.nonzero(100 * some >= PERCENT * (size[at : at + 128, None] + size[None] - some))
+        u += at
+        ok = (u < v) & (np.minimum(part[u], part[v]) == pair[0]) & (np.maximum(part[u], part[v]) == pair[1])
+        root = joined(root, u[ok], v[ok])
     hit = np.flatnonzero(root != np.arange(m))
     return hit, root[hit]
 
