@@ -31,6 +31,16 @@ _NON_LETTER[48:58] = _NON_LETTER[65:91] = _NON_LETTER[97:123] = _NON_LETTER[128:
 _powers: dict[int, np.ndarray] = {}
 
 
+def freed() -> None:
+    """Give memory that is no longer used back to the system."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidied(run: Callable) -> Callable:
     """An Arrow batch function after which its worker, which later tasks use again, gives memory back."""
 
@@ -39,12 +49,7 @@ def tidied(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            _powers.clear()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            freed()
 
     return wrapped
 

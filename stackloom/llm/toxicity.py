@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackloom.llm import _sample
-from stackloom.llm._words import Words, blocks, byte_spans, tidied
+from stackloom.llm._words import Words, blocks, byte_spans, freed, tidied
 
 MAX_POSITIVE = 1500
 MAX_UNLABELLED = 6000
@@ -75,17 +75,19 @@ def fit_arrays(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     """Each text is an array of distinct features."""
     if not positive or not unlabelled:
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), -745.0)
-    count = [np.bincount(np.concatenate(x).astype(np.int64), minlength=1 << BITS) for x in (positive, unlabelled)]
+    count = np.zeros((2, 1 << BITS), np.int64)
+    for k, texts in enumerate((positive, unlabelled)):
+        for x in texts:
+            count[k, x] += 1
     share = [(c + 0.5) / (len(x) + 1) for c, x in zip(count, (positive, unlabelled))]
     lift = np.log(share[0] / share[1])
     index = np.flatnonzero((count[0] >= max(2, min(5, len(positive) // 20))) & (lift > MIN_LIFT))
-    place = np.full(1 << BITS, -1)
-    place[index] = np.arange(len(index))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[index] = np.arange(len(index), dtype=np.int32)
 
     def sparse(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        rows = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-        cols = place[np.concatenate(texts).astype(np.int64)]
-        return rows[cols >= 0], cols[cols >= 0], len(texts)
+        cols = [c[c >= 0] for c in (place[x] for x in texts)]
+        return np.repeat(np.arange(len(texts)), [len(c) for c in cols]), np.concatenate(cols), len(texts)
 
     sides = sparse(positive), sparse(unlabelled)
     weight, bias = np.zeros(len(index)), -1.0
@@ -138,7 +140,10 @@ def fit(docs: DataFrame, positives: DataFrame, prior: float, usable: Column | No
             positive.append(x)
         if kinds[doc_id][1]:
             unlabelled.append(x)
-    return fit_arrays(positive, unlabelled, prior)
+    model = fit_arrays(positive, unlabelled, prior)
+    del positive, unlabelled, kinds
+    freed()
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
