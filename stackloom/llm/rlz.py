@@ -161,7 +161,7 @@ def factors(docs: DataFrame) -> DataFrame:
     windows = cut(texts.join(unsure, "doc_id").select("doc_id", "text", "places").mapInArrow(tidied(_window_rows), "window long, doc_id long, start int"))
     del unsure
     release(spark)
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first != last")
+    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
     source = first.select("window", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"))
     single = windows.join(source, "window").filter(later).select("doc_id", "start", F.lit(1).alias("n"), "source_id", "source_start")
     single = cut(single)
