@@ -3,19 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder named by ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stackloom-"))
-    return df.checkpoint()
+from stackloom.checkpoints import cut
 
 
 def release(spark: SparkSession) -> None:

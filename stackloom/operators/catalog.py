@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom import vocab
+from stackloom.checkpoints import running_total
 from stackloom.functions import patent
 from stackloom.functions.text import first_nonempty, nonempty
 
@@ -68,11 +69,8 @@ def digest(papers: DataFrame, kept: DataFrame) -> DataFrame:
 
     Ids are counted by range partition: each partition's rows are numbered from where the one before ends.
     """
-    rows = papers.select("id", "title").repartitionByRange("id").withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy("id")
-    before = rows.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = rows.withColumn("_n", F.row_number().over(own)).join(F.broadcast(before.select("_part", "_before")), "_part")
-    return numbered.join(kept.select("id").distinct(), "id", "left_semi").select((F.col("_before") + F.col("_n")).alias("n"), "id", "title")
+    numbered = running_total(papers.select("id", "title").repartitionByRange("id"), F.lit(1), ["id"], "_before")
+    return numbered.join(kept.select("id").distinct(), "id", "left_semi").select((F.col("_before") + 1).alias("n"), "id", "title")
 
 
 def missing_folders(papers: DataFrame, folders: DataFrame) -> DataFrame:

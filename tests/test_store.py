@@ -205,3 +205,19 @@ def test_entry_contract(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_digest_numbers_over_many_partitions(spark):
+    """More rows than the range sampler holds, in many partitions that stay apart."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "5"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        own = spark.range(0, 30_000, numPartitions=6).select(F.format_string("%06d", (F.col("id") * 7919) % 30_000).alias("id"), F.sha1(F.col("id").cast("string")).alias("title"))
+        got = catalog.digest(own, own.filter("id % 3 = 0")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 10_000
+    assert all(r.n == int(r.id) + 1 for r in got)
