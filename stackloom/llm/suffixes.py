@@ -11,6 +11,12 @@ and the match is extended to the right and to the left, as far as a window aroun
 reach.  Longer passages hold many retained suffixes, whose matches add up.  Where neighbours' sorts
 cross the edge of a partition, the edge rows meet in a small table of their own: two rows a partition.
 
+The sort sees the right context alone, so a match that needs words at its left can hide behind nearer
+neighbours.  Therefore every ``LENGTH``-word window whose minimiser's seed repeats is counted by its
+hash, and windows that no match of neighbours covers, but that occur at another place, are repeats too.
+So the spans are exact; ``partner_ids`` holds the neighbours and, of such windows, the smallest and the
+largest id that hold them, as all pairs would grow with the square of a passage's copies.
+
 Documents with equal words are one class, represented by the smallest id, from the start; if they
 have ``LENGTH`` words, each is a repeat as a whole.  Null and empty texts and short documents have no
 repeats; rows without an id are left out, as nothing could be said of them; repeated rows of one id are
@@ -118,6 +124,34 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made([], [last])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, doc_id, start, open) of the windows whose minimiser is wanted; open if no span covers the window."""
+    for batch in batches:
+        for at, to, w in blocks(batch.column(1)):
+            if len(w.hash) < LENGTH:
+                continue
+            start, found = w.windows(LENGTH)
+            low = minimisers(w, LENGTH, SEED)[2][start]
+            row = w.row[start]
+            wanted = batch.column(2).slice(at, to - at)
+            of = np.repeat(np.arange(to - at), wanted.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            listed = np.unique(mix(wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) ^ of.astype(np.uint64))
+            ok = np.isin(mix(low) ^ row.astype(np.uint64), listed)
+            start, found, row = start[ok], found[ok], row[ok]
+            covered = np.zeros(len(start), bool)
+            spans = batch.column(3).slice(at, to - at)
+            of = np.repeat(np.arange(to - at), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            if len(of):
+                # Spans are sorted and apart, so the last one that begins at or before a window is the only one that can hold it.
+                flat = spans.flatten()
+                begin = w.first[of] + flat.field(0).to_numpy(zero_copy_only=False)
+                end = begin + flat.field(1).to_numpy(zero_copy_only=False)
+                last = np.searchsorted(begin, start, side="right") - 1
+                covered = (last >= 0) & (end[last] >= start + LENGTH)
+            ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(ids, pa.int64()), pa.array((start - w.first[row]).astype(np.int32)), pa.array(~covered)], names=["window", "doc_id", "start", "open"])
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = list(zip(*(c.to_pylist() for c in batch.columns)))
@@ -126,11 +160,28 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(got, kinds)], names=["doc_id", "start", "n_words", "other_id", "other_start"])
 
 
+def _by_doc(pairs: DataFrame) -> DataFrame:
+    """(doc_id, spans, partner_ids): the merged spans and the partners of each document."""
+    by_doc = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n_words"))).alias("raw"), F.collect_set("other_id").alias("others"))
+    merged = F.aggregate(
+        "raw",
+        F.expr("cast(array() as array<struct<start:int,n_words:int>>)"),
+        lambda done, s: F.when(
+            (F.size(done) > 0) & (F.element_at(done, -1)["start"] + F.element_at(done, -1)["n_words"] >= s["start"]),
+            F.concat(
+                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
+                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), (F.greatest(F.element_at(done, -1)["start"] + F.element_at(done, -1)["n_words"], s["start"] + s["n_words"]) - F.element_at(done, -1)["start"]).alias("n_words"))),
+            ),
+        ).otherwise(F.concat(done, F.array(s))),
+    )
+    return by_doc.select("doc_id", merged.alias("spans"), F.sort_array(F.array_except("others", F.array("doc_id"))).alias("partner_ids"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """One row for each document of ``docs(doc_id, text)`` that holds a repeat.
 
     doc_id, n_words, n_repeated (words in repeats), spans (start, n_words; merged), and partner_ids: the
-    ids of documents met as neighbours.
+    ids of documents met as neighbours, or that hold a window no neighbour shares (its smallest and largest id).
     """
     spark = docs.sparkSession
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
@@ -151,20 +202,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     edges = found.filter("edge = 1").select("right", "left", "doc_id", F.col("start").alias("at")).coalesce(1).sortWithinPartitions(*order)
     plain = ["doc_id", "start", "n_words", "other_id", "other_start"]
     across = edges.mapInArrow(_edges, "doc_id long, start int, n_words int, other_id long, other_start int")
-    pairs = found.filter("edge = 0").select(*plain).union(across)
-    by_doc = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n_words"))).alias("raw"), F.collect_set("other_id").alias("others"))
-    merged = F.aggregate(
-        "raw",
-        F.expr("cast(array() as array<struct<start:int,n_words:int>>)"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["start"] + F.element_at(done, -1)["n_words"] >= s["start"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), (F.greatest(F.element_at(done, -1)["start"] + F.element_at(done, -1)["n_words"], s["start"] + s["n_words"]) - F.element_at(done, -1)["start"]).alias("n_words"))),
-            ),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    spans = by_doc.select("doc_id", merged.alias("spans"), F.sort_array(F.array_except("others", F.array("doc_id"))).alias("partner_ids"))
+    pairs = cut(found.filter("edge = 0").select(*plain).union(across))
+    near = cut(_by_doc(pairs))
+    release(spark)
+    marked = texts.join(wanted.join(near.select("doc_id", "spans"), "doc_id", "left"), "doc_id").select("doc_id", "text", "seeds", "spans")
+    windows = marked.mapInArrow(tidied(_windows), "window long, doc_id long, start int, open boolean")
+    # One place has one id and one start, also where its row is repeated.
+    places = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("start").alias("first"), F.max("start").alias("last"))
+    places = places.filter("low < high or first < last").select("window", "low", "high")
+    hidden = cut(windows.filter("open").select("window", "doc_id", "start").join(places, "window").select("doc_id", "start", "low", "high"))
+    release(spark)
+    more = hidden.select("doc_id", "start", F.lit(LENGTH).alias("n_words"), F.explode(F.array("low", "high")).alias("other_id"))
+    spans = _by_doc(pairs.select("doc_id", "start", "n_words", "other_id").union(more))
     all_of = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("n_words")))
     class_spans = classes.select(*same, "low", "high").join(spans, classes.low == spans.doc_id, "left").select(*same, "low", "high", "spans", "partner_ids")
     class_spans = class_spans.filter("low < high or spans is not null")

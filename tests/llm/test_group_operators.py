@@ -3,10 +3,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stackloom.llm import neardup, privacy, rlz, suffixes, vectors
+from stackloom.llm._words import blocks
 
 DOCS = "doc_id long, text string"
 
@@ -265,3 +267,30 @@ def test_pipeline(spark, tmp_path):
     for d, t in after.items():
         for old in leaks.findall(texts[d]):
             assert old not in t
+
+
+def test_repeats_behind_a_frequent_line(spark):
+    """Two documents share left and right context; others have the right one only, with rows that sort between."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"v{rng.integers(10**6)}"
+    # The line whose seeds have the smallest hash, so that they are the minimisers of the windows around.
+    lines = [[word() for _ in range(14)] for _ in range(200)]
+    line = min(lines, key=lambda x: next(blocks(pa.array([" ".join(x)])))[2].windows(suffixes.SEED)[1].min())
+    docs = []
+    for k in range(40):
+        left, right = [word() for _ in range(38)], [word() for _ in range(4)]
+        for copy in range(2):  # a pair of documents for each left context, far apart in the order of ids
+            docs.append((k + 1000 * copy, " ".join([word() for _ in range(30)] + left + line + right[:k % 3] + [word() for _ in range(30)])))
+    docs += [(3000, docs[0][1].replace(" ", "\n", 3)), (4000, " ".join(docs[2][1].split()[5:90] + [word()]))]
+    docs += [(5000, docs[5][1] + " tail"), (5000, docs[5][1] + " tail")]
+    seen, want = {}, {}
+    for d, t in set(docs):
+        w = words(t)
+        for i in range(len(w) - 49):
+            seen.setdefault(tuple(w[i : i + 50]), set()).add((d, i))
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                want.setdefault(d, set()).update(range(i, i + 50))
+    got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.start + s.n_words)} for r in suffixes.repeats(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == want
