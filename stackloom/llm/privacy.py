@@ -3,13 +3,14 @@
 Entities are found with fixed patterns and replaced in place by keyed surrogates of the same type and
 format: digits stay digits, letters keep their case and script, separators, prefixes and lengths stay;
 card numbers keep their check digit rule, IP addresses their ranges, phone numbers their exchange and
-e-mail addresses end in a reserved domain.  Names after a title get a first name of the title's gender
-and a surname, in the same script.
+e-mail addresses end in a reserved domain.  Names after a title get first names of the title's gender
+and a surname, in the same script, word by word.
 
 A surrogate is a function of the key, the type and the entity, so one entity has the same surrogate in
 all documents, and a person's surname alone has the same one as with the first name.  Distinctness is
-checked over the whole table: entities whose surrogates collide with another's, or with an entity that
-occurs, are keyed anew until none collide.  These are few; the documents that hold them get their turns by a join,
+checked over the whole table, of names by first names and surnames: entities whose surrogates collide
+with another's, or with an entity that occurs, are keyed anew until none collide; names get longer
+thereby, and where a fixed format has too few surrogates an error says so.  These are few; the documents that hold them get their turns by a join,
 broadcast if they are ``BROADCAST_ROWS`` at most, and shuffled otherwise.
 
 Null texts stay null, empty ones empty; documents without entities stay as they are; repeated rows
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from stackloom.llm._jobs import cut, release
 
 BROADCAST_ROWS = 20_000
-MAX_ROUNDS = 20
+#: Rounds of keying anew without fewer collisions, after which a space of surrogates counts as exhausted.
+STALLED = 40
 
 # Titles by gender, and the types' patterns, all told by what they start with.
 TITLES = {
@@ -54,8 +56,11 @@ FIRST = {
     ("woman", "cyrillic"): "Алла Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Полина Раиса Софья Юлия".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe go ha ka ke la le lo ma me mi na ne no pa pe ra re ri ro sa se ta te to".split(), "cyrillic": "ба бе бо ва ве да де до за зе ка ке ко ла ле ло ма ме ми на не но па пе ра ре ри ро са се та то".split()}
+FIRST_ENDS = {("man", "latin"): "n", ("woman", "latin"): "na", ("man", "cyrillic"): "н", ("woman", "cyrillic"): "на"}
 ENDS = {("man", "latin"): "son", ("woman", "latin"): "son", ("man", "cyrillic"): "ов", ("woman", "cyrillic"): "ова"}
 
+#: Kinds of the words of names: surnames, and the names before them.
+NAMES = ("man", "woman", "man first", "woman first")
 _ANY = "|".join(PATTERNS.values())
 #: Every entity has one of these; most texts have none.
 _SIGN = rf"[@0-9]|{_TITLE}"
@@ -122,27 +127,41 @@ def _of(items: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, items)), (F.pmod(n, F.lit(len(items))) + 1).cast("int"))
 
 
+def _syllables(letters: str, digest: Column, turn: Column, least: int) -> Column:
+    """A capitalised word of ``least`` syllables, and of one more for each turn, as far as the digest reaches."""
+    parts = [_of(SYLLABLES[letters], _number(digest, 1 + 7 * k)) for k in range(9)]
+    return F.initcap(F.concat(*parts[:least], *(F.when(turn > k, part).otherwise("") for k, part in enumerate(parts[least:]))))
+
+
 def _name(key: str, kind: Column, name: Column, turn: Column) -> Column:
-    """First name by gender and script (if there is one), and a surname of syllables keyed by the surname alone."""
-    last, script = F.substring_index(name, " ", -1), _script(name)
+    """One word of a name, by gender and script: a surname of syllables, or a first name.
+
+    First names are of the fixed lists, and from the second turn on syllables with an end that tells the
+    gender, so that there is room for any number of them.
+    """
+    script = _script(name)
     whole = F.lit(None).cast("string")
-    seed = F.struct(_hash(key, F.lit("surname"), last, turn).alias("last"), _hash(key, F.lit("first"), F.substring_index(name, " ", 1), F.lit(0)).alias("first"))
+    seed = F.struct(_hash(key, F.lit("surname"), name, turn).alias("last"), _hash(key, F.lit("first"), name, turn).alias("first"))
 
     def made(s: Column) -> Column:
         out = whole
         for (gender, letters), end in ENDS.items():
-            parts = [_of(SYLLABLES[letters], _number(s["last"], 1 + 7 * k)) for k in range(4)]
-            surname = F.concat(F.initcap(F.concat(*parts)), F.lit(end))
-            full = F.when(F.instr(name, " ") > 0, F.concat_ws(" ", _of(FIRST[gender, letters], _number(s["first"], 1)), surname)).otherwise(surname)
-            out = F.when((kind == gender) & (script == letters), full).otherwise(out)
+            surname = F.concat(_syllables(letters, s["last"], turn, 4), F.lit(end))
+            first = F.when(turn == 0, _of(FIRST[gender, letters], _number(s["first"], 1))).otherwise(F.concat(_syllables(letters, s["first"], turn - 1, 3), F.lit(FIRST_ENDS[gender, letters])))
+            out = F.when((kind == gender) & (script == letters), surname).when((kind == f"{gender} first") & (script == letters), first).otherwise(out)
         return out
 
     return _let(seed, made)
 
 
-def unit(kind: Column, entity: Column) -> Column:
-    """What must stay distinct: the surname of a name, the whole of another entity."""
-    return F.when(kind.isin("man", "woman"), F.substring_index(entity, " ", -1)).otherwise(entity)
+def units(kind: Column, entity: Column) -> Column:
+    """What must stay distinct, as (kind, unit): each word of a name, the surname last, or the whole of another entity.
+
+    Where first names and surnames are distinct each, so are full names.
+    """
+    words = F.split(entity, " ")
+    named = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, kind).otherwise(F.concat(kind, F.lit(" first"))).alias("kind"), w.alias("unit")))
+    return F.when(kind.isin("man", "woman"), named).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("unit"))))
 
 
 def _ip(entity: Column, digest: Column) -> Column:
@@ -154,7 +173,7 @@ def _ip(entity: Column, digest: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, entity: Column, turn: Column) -> Column:
-    """The replacement of an entity proper; ``turn`` counts how often it was keyed anew."""
+    """The replacement of a unit; ``turn`` counts how often it was keyed anew."""
     head = F.when(kind == "card", F.left(entity, F.lit(1))).when(kind == "access", "AKIA").when(kind == "iban", F.left(entity, F.lit(2)))
     head = head.when(kind == "phone", F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .\-(]))", 1)).otherwise("")
 
@@ -163,14 +182,14 @@ def surrogate(key: str, kind: Column, entity: Column, turn: Column) -> Column:
         new = F.concat(s.head, _reformed(body, s.digest))
         plain = F.when(s.kind == "email", F.concat(new, F.lit(".example.org"))).when((s.kind == "phone") & s.entity.contains(") 555-"), F.regexp_replace(new, r"\) \d{3}-", ") 555-"))
         plain = plain.when((s.kind == "card") & s.valid, _luhn(new)).otherwise(new)
-        return F.when(s.kind == "ip", _ip(s.entity, s.digest)).when(s.kind.isin("man", "woman"), _name(key, s.kind, s.entity, s.turn)).otherwise(plain)
+        return F.when(s.kind == "ip", _ip(s.entity, s.digest)).when(s.kind.isin(*NAMES), _name(key, s.kind, s.entity, s.turn)).otherwise(plain)
 
     valid = (kind == "card") & (_luhn(entity) == entity)
     return _let(F.struct(kind.alias("kind"), entity.alias("entity"), turn.alias("turn"), head.alias("head"), valid.alias("valid"), _hash(key, kind, entity, turn).alias("digest")), made)
 
 
 def found(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``_parts`` (text between the entities) and ``_found`` (lead, entity, kind), null where there are none."""
+    """``df`` with ``_parts`` (text between the entities) and ``_found`` (lead, units), null where there are none."""
     raw = F.when(F.col(text).rlike(_SIGN), F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0)))
     df = df.withColumn("_raw", raw)
     some = F.size("_raw") > 0
@@ -178,7 +197,7 @@ def found(df: DataFrame, text: str = "text") -> DataFrame:
     def told(e: Column) -> Column:
         return _let(F.struct(e.alias("whole"), _kind(e).alias("kind")), lambda s: F.struct(_lead(s.whole, s.kind).alias("lead"), s.whole.alias("whole"), s.kind.alias("kind")))
 
-    proper = F.transform(F.transform("_raw", told), lambda s: F.struct(s.lead.alias("lead"), F.substr(s.whole, F.length(s.lead) + 1).alias("entity"), s.kind.alias("kind")))
+    proper = F.transform(F.transform("_raw", told), lambda s: F.struct(s.lead.alias("lead"), units(s.kind, F.substr(s.whole, F.length(s.lead) + 1)).alias("units")))
     return df.withColumn("_parts", F.when(some, F.split(F.col(text), _ANY, -1))).withColumn("_found", F.when(some, proper)).drop("_raw")
 
 
@@ -190,20 +209,23 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     kind = F.when(F.col("kind").isin("man", "woman"), "man").otherwise(F.col("kind"))
     known = cut(entities.select("kind", "unit").distinct())
     turns = known.select("kind", "unit", F.lit(0).alias("turn"))
-    moved = None
-    for _ in range(MAX_ROUNDS):
+    fewest, stalled = None, 0
+    while True:
         # The surrogates' expression is large; behind the checkpoint the plans below stay small.
-        now = cut(turns.withColumn("new", unit(F.col("kind"), surrogate(key, F.col("kind"), F.col("unit"), F.col("turn")))).withColumn("class", kind))
+        now = cut(turns.withColumn("new", surrogate(key, F.col("kind"), F.col("unit"), F.col("turn"))).withColumn("class", kind))
         clash = now.groupBy("class", "new").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low < high")
         taken = now.join(clash, ["class", "new"]).filter("unit > low").select("kind", "unit")
         real = now.join(known.select(F.col("unit").alias("new"), kind.alias("class")).distinct(), ["class", "new"], "left_semi").select("kind", "unit")
         again = cut(taken.union(real).distinct())
-        if not again.limit(1).count():
-            break
+        left = again.count()
+        if not left:
+            return turns.filter("turn > 0")
+        fewest, stalled = (left, 0) if fewest is None or left < fewest else (fewest, stalled + 1)
+        if stalled >= STALLED:
+            kinds = sorted(r.kind for r in again.select("kind").distinct().collect())
+            raise ValueError(f"too few surrogates of the kinds {', '.join(kinds)}: {left} entities have none of their own")
         step = again.withColumn("more", F.lit(1))
         turns = cut(turns.join(step, ["kind", "unit"], "left").select("kind", "unit", (F.col("turn") + F.coalesce("more", F.lit(0))).alias("turn")))
-        moved = turns
-    return (moved if moved is not None else turns).filter("turn > 0")
 
 
 def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -211,20 +233,22 @@ def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     spark = df.sparkSession
     columns = [c for c in df.columns if c != "n_entities"]
     marked = found(df.select(*columns), text)
-    listed = marked.filter("_found is not null").select(F.explode("_found").alias("e")).select("e.kind", unit(F.col("e.kind"), F.col("e.entity")).alias("unit"))
+    each = F.explode(F.flatten(F.transform("_found", lambda e: e.units))).alias("e")
+    listed = marked.filter("_found is not null").select(each).select("e.kind", "e.unit")
     exceptions = cut(collisions(listed, key))
     release(spark)
     n = exceptions.count()
     turn = lambda e: F.lit(0)
     if n:
-        code = lambda kind, entity: F.concat_ws("\x1f", kind, unit(kind, entity))
+        code = lambda e: F.concat_ws("\x1f", e["kind"], e["unit"])
         marked = marked.withColumn("_row", F.xxhash64(text))
-        listed = marked.filter("_found is not null").select("_row", F.explode("_found").alias("e")).select("_row", code(F.col("e.kind"), F.col("e.entity")).alias("code")).distinct()
-        turns = listed.join(exceptions.select(code(F.col("kind"), F.col("unit")).alias("code"), "turn"), "code")
+        listed = marked.filter("_found is not null").select("_row", each).select("_row", code(F.col("e")).alias("code")).distinct()
+        turns = listed.join(exceptions.select(F.concat_ws("\x1f", "kind", "unit").alias("code"), "turn"), "code")
         turns = cut(turns.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("code", "turn"))).alias("_turns")))
         marked = marked.join(F.broadcast(turns) if turns.count() <= BROADCAST_ROWS else turns, "_row", "left")
-        turn = lambda e: F.coalesce(F.element_at("_turns", code(e.kind, e.entity)), F.lit(0))
-    news = F.transform("_found", lambda e: F.concat(e.lead, surrogate(key, e.kind, e.entity, turn(e))))
+        turn = lambda e: F.coalesce(F.element_at("_turns", code(e)), F.lit(0))
+    made = lambda e: F.array_join(F.transform(e.units, lambda u: surrogate(key, u["kind"], u["unit"], turn(u))), " ")
+    news = F.transform("_found", lambda e: F.concat(e.lead, made(e)))
     pieces = F.zip_with("_parts", news, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     out = F.when(F.col("_found").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text))
     picked = [out.alias(c) if c == text else F.col(c) for c in columns]

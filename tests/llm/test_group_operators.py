@@ -294,3 +294,20 @@ def test_repeats_behind_a_frequent_line(spark):
                 want.setdefault(d, set()).update(range(i, i + 50))
     got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.start + s.n_words)} for r in suffixes.repeats(spark.createDataFrame(docs, DOCS)).collect()}
     assert got == want
+
+
+def test_full_names_stay_distinct(spark):
+    """More first names than the lists hold, before one surname."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = [(100 * g + k, f"{title} J{letters[k // 7]}{letters[k % 7]} Smith came") for g, title in enumerate(("Mr", "Frau")) for k in range(45)]
+    docs += [(900, "Mr Smith came")]
+    out = {r.doc_id: r.text for r in privacy.replace(spark.createDataFrame(docs, DOCS), "key").collect()}
+    assert len(set(out.values())) == len(docs)
+    assert len({t.split()[-2] for t in out.values()}) == 1
+
+
+def test_exhausted_surrogates_raise(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "surrogate", lambda key, kind, entity, turn: F.concat(F.lit("9"), F.pmod(F.xxhash64(entity, turn), F.lit(3)).cast("string")))
+    monkeypatch.setattr(privacy, "STALLED", 2)
+    with pytest.raises(ValueError, match="ssn"):
+        privacy.replace(spark.createDataFrame([(k, f"call {k:03d}-45-6789 now") for k in range(6)], DOCS), "key")
