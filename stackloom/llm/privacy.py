@@ -46,7 +46,7 @@ PATTERNS = {
     "card": r"\b\d{4}(?:[ \-]?\d{4}){3}\b",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}[.\-]\d{4}\b|\b\d{3}-\d{3}-\d{4}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": _TITLE + r"\p{Lu}[\p{L}'’\-]+(?: \p{Lu}[\p{L}'’\-]+)?",
+    "name": _TITLE + r"\p{Lu}[\p{L}'’\-]+(?: \p{Lu}(?:[\p{L}'’\-]+|\.(?= \p{Lu})))*",
 }
 # First names by gender and script, and syllables of surnames by script.
 FIRST = {
@@ -63,7 +63,7 @@ ENDS = {("man", "latin"): "son", ("woman", "latin"): "son", ("man", "cyrillic"):
 NAMES = ("man", "woman", "man first", "woman first")
 _ANY = "|".join(PATTERNS.values())
 #: Every entity has one of these; most texts have none.
-_SIGN = rf"[@0-9]|{_TITLE}"
+_SIGN = rf"[@0-9]|AKIA|(?:token|password|secret|api_key) ?=|{_TITLE}"
 
 
 def _let(value: Column, use) -> Column:
