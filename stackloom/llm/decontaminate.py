@@ -5,10 +5,14 @@ masks ignores some token positions; the hashes of the positions it keeps join be
 tokens.  Around each hit, benchmark item and document are compared token by token along the hit's
 diagonal, and the stretch with the best score (match +1, substitution -2) is kept.  A document holds
 an item if some stretch matches ``MIN_MATCH`` tokens, or for shorter items ``SHORT_SHARE`` of them.
-Items with fewer tokens than the longest mask are sought as a whole, without gaps.
+Items with up to ``SHORT`` tokens may miss a fifth of them.  Their tokens are split into more parts than
+may be missed, and one mask for each choice of that many parts ignores these: as some choice holds all
+missed tokens, no short item is lost.  Rows are padded, so that items may overhang a text's ends.
+Of longer items, stretches whose matches lie so scattered that no mask fits them stay unseen.
 
-The benchmark is a stated query set: it is broadcast in blocks of ``BLOCK_TOKENS`` tokens at most, one
-pass over the documents for each block, so its size has no bound and no document text is shuffled.
+The benchmark is a stated query set: its tokens are hashed and counted by Spark and broadcast in blocks
+of ``BLOCK_TOKENS`` tokens and one item at most, one pass over the documents for each block, so its size
+has no bound, the driver holds one block at a time, and no document text is shuffled.
 
 Null and empty texts hold nothing; null, empty and repeated items are passed over, or reported each
 under its own id; items without a token are never found.  Repeated documents are reported alike;
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +31,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackloom.llm._words import Words, blocks, mix, tidied
+from stackloom.checkpoints import cut, running_total
+from stackloom.llm._words import Words, blocks, mix, signed, tidied
 
 # Token positions that count (1) and that are ignored (0).
 MASKS = ("1111111", "1101100111", "11100101101", "101100011101")
 MIN_MATCH = 13
 SHORT_SHARE = 0.8
+#: The most tokens of which SHORT_SHARE is less than MIN_MATCH.
+SHORT = 15
+PAD = 3
 BLOCK_TOKENS = 1_000_000
 _BITS = 22
 _COEFFICIENTS = np.random.default_rng(31).integers(1, 1 << 63, (len(MASKS) + 64, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_matched", T.IntegerType()), T.StructField("doc_token", T.IntegerType()), T.StructField("item_token", T.IntegerType()), T.StructField("n_tokens", T.IntegerType())])
 
 
-def seeds(w: Words, keep: list[int], salt: int) -> tuple[np.ndarray, np.ndarray]:
+def needed(n: int) -> int:
+    """Matches that an item of n tokens needs."""
+    return min(MIN_MATCH, -(-int(100 * SHORT_SHARE) * n // 100))
+
+
+def seeds(token: np.ndarray, row: np.ndarray, keep: list[int], salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of a mask's windows inside one row, and the hashes of the kept tokens."""
     span = keep[-1] + 1
-    n = len(w.hash) - span + 1
+    n = len(token) - span + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for k in keep:
-        total += w.hash[k : k + n] * _COEFFICIENTS[salt, k]
-    ok = np.flatnonzero(w.row[:n] == w.row[span - 1 :])
+        total += token[k : k + n] * _COEFFICIENTS[salt, k]
+    ok = np.flatnonzero(row[:n] == row[span - 1 :])
     return ok, mix(total[ok])
 
 
-def shapes(lengths: np.ndarray) -> list[tuple[list[int], int]]:
-    """The masks as kept positions, and one solid mask for each length of the short items."""
-    out = [([k for k, c in enumerate(m) if c == "1"], s) for s, m in enumerate(MASKS)]
-    longest = max(map(len, MASKS))
-    return out + [(list(range(n)), len(MASKS) + n) for n in sorted({int(n) for n in lengths if 0 < n < longest})]
+def short_masks(n: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """Bounds of the parts of an item of n tokens, and the parts that each mask keeps."""
+    missed = n - needed(n)
+    parts = n if missed < 2 else 6
+    ignored = combinations(range(parts), missed)
+    return [n * k // parts for k in range(parts + 1)], [tuple(k for k in range(parts) if k not in x) for x in ignored]
+
+
+def short_seeds(token: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """For each mask of items of n tokens, the hashes at every start."""
+    size = len(token) - n + 1
+    if size <= 0:
+        return
+    bounds, masks = short_masks(n)
+    of_part = []
+    for a, b in zip(bounds, bounds[1:]):
+        total = np.zeros(size, np.uint64)
+        for k in range(a, b):
+            total += token[k : k + size] * _COEFFICIENTS[len(MASKS) + n, k]
+        of_part.append(total)
+    for kept in masks:
+        total = np.zeros(size, np.uint64)
+        for k in kept:
+            total += of_part[k]
+        yield mix(total)
+
+
+def padded(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with PAD empty places between rows and at both ends, and each place's row (-1 where empty)."""
+    place = np.arange(len(w.hash)) + PAD * (w.row + 1)
+    size = len(w.hash) + PAD * (w.n_rows + 1)
+    token, row = np.zeros(size, np.uint64), np.full(size, -1)
+    token[place], row[place] = w.hash, w.row
+    return token, row
+
+
+def _lookup(keys: np.ndarray, places: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into ``key``, place) of every equal key."""
+    lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+    n = hi - lo
+    return np.repeat(np.arange(len(key)), n), places[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 @dataclass
@@ -65,60 +115,73 @@ class Index:
     item: np.ndarray
     token: np.ndarray
     first: np.ndarray
-    shapes: list
-    keys: list[np.ndarray]
-    places: list[np.ndarray]
+    long: list[tuple[list[int], int, np.ndarray, np.ndarray]]
+    short: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]
     bitmap: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]]) -> Index:
-        """All items form one block of words, so ``first`` bounds the tokens of each."""
-        parts = list(blocks(pa.array([t for _, t in items], pa.large_string()), lower=True, letters=True, limit=1 << 62))
-        w = parts[0][2]
-        lengths = np.diff(w.first)
-        longest = max(map(len, MASKS))
-        keys, places = [], []
+    def of(cls, item: np.ndarray, token: np.ndarray, first: np.ndarray) -> Index:
+        """Of all items' token hashes one after another; ``first`` bounds the tokens of each."""
+        lengths = np.diff(first)
+        row = np.repeat(np.arange(len(item)), lengths)
         bitmap = np.zeros(1 << _BITS, bool)
-        kinds = shapes(lengths)
-        for keep, salt in kinds:
-            at, key = seeds(w, keep, salt)
-            if salt >= len(MASKS):  # a short item as a whole
-                own = (at == w.first[w.row[at]]) & (lengths[w.row[at]] == len(keep))
-            else:
-                own = lengths[w.row[at]] >= longest
-            at, key = at[own], key[own]
-            order = np.argsort(key)
-            keys.append(key[order])
-            places.append(at[order])
-            bitmap[key >> np.uint64(64 - _BITS)] = True
-        return cls(np.array([i for i, _ in items]), w.hash, w.first, kinds, keys, places, bitmap)
 
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(document token, item token) of every equal seed."""
-        here, there = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for (keep, salt), keys, places in zip(self.shapes, self.keys, self.places):
-            at, key = seeds(w, keep, salt)
+        def ordered(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            bitmap[key >> np.uint64(64 - _BITS)] = True
+            order = np.argsort(key)
+            return key[order], at[order]
+
+        long, short = [], []
+        if (lengths > SHORT).any():
+            for salt, mask in enumerate(MASKS):
+                keep = [k for k, c in enumerate(mask) if c == "1"]
+                at, key = seeds(token, row, keep, salt)
+                own = lengths[row[at]] > SHORT
+                long.append((keep, salt, *ordered(key[own], at[own])))
+        for n in sorted({int(n) for n in lengths if 0 < n <= SHORT}):
+            at = first[:-1][lengths == n]
+            joined = np.concatenate([token[x : x + n] for x in at])
+            short.append((n, [ordered(key[::n], at) for key in short_seeds(joined, n)]))
+        return cls(item, token, first, long, short, bitmap)
+
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, document token less item token, item token) of every equal seed."""
+        rows, gaps, theres = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for keep, salt, keys, places in self.long:
+            at, key = seeds(w.hash, w.row, keep, salt)
             maybe = np.flatnonzero(self.bitmap[key >> np.uint64(64 - _BITS)])
-            at, key = at[maybe], key[maybe]
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            n = hi - lo
-            here.append(np.repeat(at, n))
-            there.append(places[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return np.concatenate(here), np.concatenate(there)
+            of, there = _lookup(keys, places, key[maybe])
+            here = at[maybe][of]
+            rows.append(w.row[here])
+            gaps.append(here - there)
+            theres.append(there)
+        if self.short:
+            token, row = padded(w)
+        for n, masks in self.short:
+            # An item overhangs by PAD tokens at most, so its middle lies in its row.
+            middle = row[n // 2 : n // 2 + max(len(token) - n + 1, 0)]
+            for (keys, places), key in zip(masks, short_seeds(token, n)):
+                maybe = np.flatnonzero(self.bitmap[key >> np.uint64(64 - _BITS)] & (middle >= 0))
+                of, there = _lookup(keys, places, key[maybe])
+                here = maybe[of]
+                rows.append(middle[here])
+                gaps.append(here - PAD * (middle[here] + 1) - there)
+                theres.append(there)
+        return np.concatenate(rows), np.concatenate(gaps), np.concatenate(theres)
 
     def leaks(self, w: Words) -> list[list[dict]]:
         """The best stretch of every item that a row holds."""
         out: list[dict[int, dict]] = [{} for _ in range(w.n_rows)]
-        here, there = self.hits(w)
-        if len(here):
+        rows, gaps, there = self.hits(w)
+        if len(rows):
             item = np.searchsorted(self.first, there, side="right") - 1
-            pairs = np.unique(np.stack([w.row[here], item, here - there]), axis=1)
+            pairs = np.unique(np.stack([rows, item, gaps]), axis=1)
             for row, k, gap in pairs.T.tolist():
                 lo = max(int(self.first[k]), int(w.first[row]) - gap)
                 hi = min(int(self.first[k + 1]), int(w.first[row + 1]) - gap)
                 same = self.token[lo:hi] == w.hash[lo + gap : hi + gap]
                 size = int(self.first[k + 1] - self.first[k])
-                need = min(MIN_MATCH, -(-int(100 * SHORT_SHARE) * size // 100))
+                need = needed(size)
                 a, b = best_stretch(same)
                 matched = int(same[a:b].sum())
                 if matched >= need and matched > out[row].get(k, {"n_matched": 0})["n_matched"]:
@@ -134,18 +197,25 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: end + 1])), end
 
 
-def _item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null").orderBy("item_id", "text")
-    for item_id, text in rows.toLocalIterator():
-        n = text.count(" ") + 1
-        if block and size + n > limit:
-            yield block
-            block, size = [], 0
-        block.append((item_id, text))
-        size += n
-    if block:
-        yield block
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, tokens): the hashes of each item's tokens."""
+    for batch in batches:
+        for at, to, w in blocks(batch.column(1), lower=True, letters=True):
+            lists = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(signed(w.hash)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], names=["item_id", "tokens"])
+
+
+def _item_blocks(benchmark: DataFrame, limit: int) -> Iterator[Index]:
+    """Indexes of blocks of items; a block's items begin within ``limit`` tokens."""
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null")
+    rows = rows.mapInArrow(tidied(_tokens), "item_id long, tokens array<long>").filter(F.size("tokens") > 0)
+    placed = running_total(rows, F.size("tokens"), ["item_id", "tokens"], "before")
+    placed = cut(placed.select(F.floor(F.col("before") / F.lit(limit)).alias("block"), "item_id", "tokens"))
+    for (block,) in placed.select("block").distinct().orderBy("block").collect():
+        part = placed.filter(F.col("block") == block).orderBy("item_id", "tokens").toArrow().combine_chunks()
+        lists = part.column("tokens").combine_chunks()
+        first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        yield Index.of(part.column("item_id").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), first)
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -155,7 +225,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_matched", pa.int32()), ("doc_token", pa.int32()), ("item_token", pa.int32()), ("n_tokens", pa.int32())]))
     out = docs.select(*names).withColumn("leaks", F.array().cast(T.ArrayType(LEAK)))
     for block in _item_blocks(benchmark, block_tokens):
-        index = docs.sparkSession.sparkContext.broadcast(Index.of(block))
+        index = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -164,7 +234,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS
                     found = index.value.leaks(w)
                     old = before.slice(at, to - at)
                     if len(old.flatten()):
-                        found = [x + y for x, y in zip(old.to_pylist(), found)]
+                        found = [sorted(x + y, key=lambda z: (z["item_id"], z["doc_token"])) for x, y in zip(old.to_pylist(), found)]
                     made = pa.array(found, kind)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in names), made], names=[*names, "leaks"])
 

@@ -1,5 +1,6 @@
 """Operators on single rows: extraction, tokens, decontamination, toxicity, quality."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -137,6 +138,36 @@ def test_decontaminate(spark):
     assert decontaminate.flag(df, bench).count() == len(docs)
 
 
+def test_decontaminate_short_items(spark):
+    """Every choice of ignored tokens that leaves enough, also at the ends of a text, against the rule itself."""
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 17)]
+    docs = []
+    for n, text in items[:15]:
+        for gone in range(n - decontaminate.needed(n) + 2):
+            for places in list(itertools.combinations(range(n), gone))[::7 if gone > 2 else 1]:
+                words = ["zz" if k in places else t for k, t in enumerate(text.split())]
+                docs += [(n, " ".join(["aa", *words, "bb"])), (n, " ".join(words).strip("z ") or "zz")]
+    docs = [(k, n, t) for k, (n, t) in enumerate(docs)]
+    want = set()
+    for k, n, t in docs:
+        item, words = items[n - 1][1].split(), t.split()
+        for gap in range(-n, len(words)):
+            same = np.array([0 <= p + gap < len(words) and words[p + gap] == x for p, x in enumerate(item)])
+            a, b = decontaminate.best_stretch(same)
+            if same[a:b].sum() >= decontaminate.needed(n):
+                want.add((k, n))
+    table = spark.createDataFrame([(k, t) for k, _, t in docs], DOCS)
+    for block in (1_000_000, 40):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.rows(decontaminate.flag(table, spark.createDataFrame(items, "item_id long, text string"), block)).collect()}
+        assert got == want
+
+
+def test_decontaminate_blocks_by_true_tokens(spark):
+    bench = spark.createDataFrame([(k, "\n".join(f"i{k}x{j}" for j in range(20))) for k in range(10)], "item_id long, text string")
+    sizes = [len(x.token) for x in decontaminate._item_blocks(bench, 40)]
+    assert sum(sizes) == 200 and max(sizes) <= 60
+
+
 # --- classifiers ------------------------------------------------------------------------------------------------
 
 
