@@ -1,26 +1,66 @@
-"""Checkpoints, and running totals over partitions that a checkpoint has fixed."""
+"""Written intermediate tables, and running totals over partitions that such a table has fixed."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder named by ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
-    spark = df.sparkSession
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode alone."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stackloom-"))
-    return df.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stackloom-"))
+    return context.getCheckpointDir()
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Executions that begin inside delete their shuffle files as they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends there, and its shuffle files are gone.
+
+    Nothing deletes the table but ``drop``, as lazy results may read it for as long as they live.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    with _cleaned(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_total(df: DataFrame, size: Column, order: list[str], name: str) -> DataFrame:
     """``df`` with the total of ``size`` over all rows before each row: by partition, inside one by ``order``.
 
-    Rows and partition numbers are checkpointed together, so totals and rows see the same partitions.
+    Rows and partition numbers are written together, so totals and rows see the same partitions.
     """
     fixed = cut(df.withColumns({"_part": F.spark_partition_id(), "_size": size.cast("long")}))
     until = (Window.unboundedPreceding, -1)
