@@ -1,19 +1,43 @@
-"""Small Spark helpers: shared checkpoints and connected components."""
+"""Small Spark helpers: joins that split hot keys, connected components, and free column names."""
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.checkpoints import cut
+from stackloom.checkpoints import cut, drop
+
+#: A key is hot if it has more than this share of all rows, so there are ``HOT`` hot keys at most.
+HOT = 200
+
+
+def unused(name: str, *taken: list[str]) -> str:
+    """``name``, or a longer form of it that none of the ``taken`` columns has."""
+    names = {c.lower() for columns in taken for c in columns}
+    while name.lower() in names:
+        name = "_" + name
+    return name
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def hot_keys(sizes: DataFrame, *keys: str, times: str = "times") -> DataFrame:
+    """The hot ones of ``sizes(*keys, times)``, which has a row a key.  ``HOT`` rows at most."""
+    total = sizes.agg((F.sum(times) / HOT).alias("_least"))
+    return sizes.join(F.broadcast(total), F.col(times) > F.col("_least")).select(*keys)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row a key; rows of the ``hot`` keys are dealt over all partitions.
+
+    The keys are the columns of ``hot``.  A hot key's row of ``table`` is copied for each partition; hot
+    keys are few, so their list is broadcast.
+    """
+    keys = hot.columns
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    few = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    dealt = rows.join(few, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(n))).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    copied = table.join(few, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,16 +45,24 @@ def components(links: DataFrame) -> DataFrame:
 
     Minimum labels travel over the links and are shortened by pointer jumping, so the number of
     rounds follows the logarithm of a component's diameter.  Each round is joins and partial
-    aggregates on tables the size of ``links``; its result is checkpointed.
+    aggregates on tables the size of ``links``; its result is written, and that of the round before
+    deleted.  Vertices with very many links, and roots of very large components, are dealt over all tasks.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degree = both.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("times"))
+    hubs = cut(hot_keys(degree, "id"))
     label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        seen = both.join(label, both.b == label.id).groupBy("a").agg(F.min("component").alias("seen"))
-        near = label.join(seen, label.id == seen.a).select("id", F.least("component", "seen").alias("near"), F.col("component").alias("old"))
-        top = near.select(F.col("id").alias("top"), F.col("near").alias("far"))
-        step = cut(near.join(top, near.near == top.top, "left").select("id", F.least("near", F.coalesce("far", "near")).alias("component"), "old"))
+        met = spread_join(both.select("a", F.col("b").alias("id")), label, hubs)
+        seen = met.groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
+        near = cut(label.join(seen, "id").select("id", F.least("component", "seen").alias("near"), F.col("component").alias("old")))
+        roots = hot_keys(near.groupBy("near").agg(F.count("*").alias("times")), "near")
+        top = near.select(F.col("id").alias("near"), F.col("near").alias("far"))
+        step = cut(spread_join(near, top, roots, "left").select("id", F.least("near", F.coalesce("far", "near")).alias("component"), "old"))
+        drop(near, label)
         moved = step.filter(F.col("component") != F.col("old")).limit(1).count()
         label = step.select("id", "component")
+        label._written = step._written
         if not moved:
+            drop(both, hubs)
             return label

@@ -123,7 +123,9 @@ class Words:
 
     def other_stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A second, independent hash of the same sequences."""
-        return mix(spans(prefix(mix(self.hash + np.uint64(0x51ED270B7A6E3D05)), _BASE), start, end, _BASE) + (end - start).astype(np.uint64))
+        if not hasattr(self, "_other_sums"):
+            self._other_sums = prefix(mix(self.hash + np.uint64(0x51ED270B7A6E3D05)), _BASE)
+        return mix(spans(self._other_sums, start, end, _BASE) + (end - start).astype(np.uint64))
 
 
 def filled(column: pa.Array) -> pa.Array:

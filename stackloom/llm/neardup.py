@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackloom.llm._jobs import components, cut, release
+from stackloom.checkpoints import cut, drop
+from stackloom.llm._jobs import components
 from stackloom.llm._trees import joined
 from stackloom.llm._words import Words, blocks, mix, signed, tidied
 
@@ -228,7 +229,6 @@ def clustered_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     keys = ["cluster", "part_a", "part_b"]
     rows = met.join(text, "id").select(*keys, "part", "id", "text").repartition(*keys).sortWithinPartitions(*keys)
     out = cut(rows.mapInArrow(tidied(_cluster), "a long, b long").distinct())
-    release(spark)
     return out
 
 
@@ -245,7 +245,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = chunk_keys(classes).withColumn("turn", F.xxhash64("id", "key"))
     held = keys.groupBy("key").agg(F.min("turn").alias("picked"), F.count("*").alias("members")).filter("members > 1")
     shared = cut(keys.join(held, "key"))
-    release(spark)
 
     hubs = shared.filter("turn = picked").select("key", F.col("id").alias("hub"))
     stars = shared.join(hubs, "key").filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -254,7 +253,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nearest = cut(ends.groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
     links = cut(confirm(nearest, docs).distinct())
     label = components(links)
-    release(spark)
 
     split = shared.select("key", "id", "n", "members").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = split.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
@@ -269,7 +267,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = left.join(right, ["key", "size"]).filter("a < b and c_a != c_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti")
     links = links.union(cut(confirm(_near(pairs, classes), docs).distinct()))
     label = components(links)
-    release(spark)
 
     named = classes.join(label, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     out = sets.join(named, same, "left")

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm._jobs import cut, release
+from stackloom.checkpoints import cut, drop
 
 BROADCAST_ROWS = 20_000
 #: Rounds of keying anew without fewer collisions, after which a space of surrogates counts as exhausted.
@@ -236,7 +236,6 @@ def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     each = F.explode(F.flatten(F.transform("_found", lambda e: e.units))).alias("e")
     listed = marked.filter("_found is not null").select(each).select("e.kind", "e.unit")
     exceptions = cut(collisions(listed, key))
-    release(spark)
     n = exceptions.count()
     turn = lambda e: F.lit(0)
     if n:

@@ -4,20 +4,26 @@ A word is covered if a window of ``WINDOW`` consecutive words around it also sta
 document with a smaller id, or earlier in the same one.  Words are taken unchanged.
 
 Every document is cut into blocks at content-defined anchors; a block stands for the windows that
-start in it.  The reference is the first occurrence of every distinct block, of all documents.  Each
-document is parsed against it: a block that the reference holds earlier is copied from there, and
-consecutive blocks copied from consecutive places are one factor; all its windows are duplicates.
+start in it.  The reference is the first occurrence of every distinct block, of all documents, and its
+index maps a block's hashes to that place.  Each document is parsed against it greedily from left to
+right: a block that the reference holds earlier is copied from there, and the factor goes on for as
+long as what follows is copied from what follows there.  Each factor has a window at least, so its words
+are duplicates.
 
-The factors' boundaries are then checked to the word.  A window of a reference block may still occur
+The factors' boundaries are checked to the word, as a window of a reference block may still occur
 earlier in a different block.  It then shares a minimiser seed (smallest hash of ``SEED`` words in the
-window) with that place.  Reference blocks that hold a seed found at two places are reread, the
-windows around it hashed, and all but the first of equal windows are duplicates too.  The result is exact.
-
-Blocks, seeds and windows are grouped by hash with partial aggregates and joined, so a passage that
-very many documents share needs no large group in one task.  Documents with fewer than ``WINDOW``
-words, empty and null texts have no windows.  Rows without an id lose nothing and are no source;
-repeated rows of one id count as one document; extra columns pass through, and an existing ``kept``,
-``n_words`` or ``n_removed`` is replaced; an empty table gives an empty table.
+window) with that place.  A seed's place is told by the content of the blocks around it, so copies of
+one block are one place; windows of reference blocks whose seed has two places are hashed one by one,
+and all but the first of equal windows lengthen the factors or are factors of their own.
+
+Blocks and windows are equal if two independent 64-bit hashes are; seeds need one hash, as they only
+pick what is looked at.  So the result is exact but for a chance of about 1e-12 at 1e13 windows.
+
+Blocks, seeds and windows are grouped by hash with partial aggregates; where rows are joined with
+them, hot keys are dealt over all tasks.  Documents with fewer than ``WINDOW`` words, empty and null
+texts have no windows.  Rows without an id lose nothing and are no source; repeated rows of one id
+count as one document; extra columns pass through, and an existing ``kept``, ``n_words``,
+``n_removed`` or ``factors`` is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,18 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackloom.llm._jobs import cut, release
+from stackloom.checkpoints import cut, drop
+from stackloom.llm._jobs import hot_keys, spread_join, unused
 from stackloom.llm._words import Words, blocks, mix, signed, tidied
 
 WINDOW = 20
 SEED = 8
 ANCHOR = 4
 BLOCK = 48
-_MARK = np.dtype([("seed", "<i8"), ("at", "<u4")])
 _END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -80,144 +86,175 @@ def cut_blocks(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, row
 
 
-_BLOCKS = "block long, doc_id long, start int, n int"
+_SAME = ["key_a", "key_b"]
 
 
-def _block_rows(marks: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, w in blocks(batch.column(1)):
-                start, end, row = cut_blocks(w)
-                ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)[row]
-                out = [signed(w.stretch(start, end + WINDOW - 1)), ids, (start - w.first[row]).astype(np.int32), (end - start).astype(np.int32)]
-                names = ["block", "doc_id", "start", "n"]
-                if marks:
-                    place, value, _ = minimisers(w, WINDOW, SEED)
-                    all_marks = np.empty(len(place), _MARK)
-                    all_marks["seed"] = signed(value[place])
-                    all_marks["at"] = place - w.first[w.row[place]]
-                    lo, hi = np.searchsorted(place, start), np.searchsorted(place, end + (WINDOW - SEED))
-                    out.append(pa.array([all_marks[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist())], pa.binary()))
-                    names.append("marks")
-                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], names=names)
+def _hashed(w: Words, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    return [pa.array(signed(w.stretch(start, end))), pa.array(signed(w.other_stretch(start, end)))]
 
-    return run
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key_a, key_b, doc_id, start, n): every block, by two hashes of its windows' words."""
+    for batch in batches:
+        for at, to, w in blocks(batch.column(1)):
+            start, end, row = cut_blocks(w)
+            ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)[row]
+            place = [pa.array(ids, pa.int64()), pa.array((start - w.first[row]).astype(np.int32)), pa.array((end - start).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*_hashed(w, start, end + WINDOW - 1), *place], names=[*_SAME, "doc_id", "start", "n"])
+
+
+def seed_places(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, seed, place) of every minimiser; the place is a hash of all blocks with windows that may hold it, and its offset."""
+    start, end, _ = cut_blocks(w)
+    at, value, _ = minimisers(w, WINDOW, SEED)
+    row = w.row[at]
+    lo = np.searchsorted(start, np.maximum(at - (WINDOW - SEED), w.first[row]), side="right") - 1
+    hi = np.searchsorted(start, np.minimum(at, w.first[row + 1] - WINDOW), side="right") - 1
+    around = w.stretch(start[lo], end[hi] + WINDOW - 1)
+    return row, value[at], mix(around + (at - start[lo]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, place, doc_id, at): the seeds of reference blocks; a place is a hash of document and position."""
+    """(seed, place, doc_id) of every minimiser."""
     for batch in batches:
-        raw = batch.column(1).to_pylist()
-        marks = np.frombuffer(b"".join(raw), _MARK)
-        doc = np.repeat(batch.column(0).to_numpy(), [len(x) // _MARK.itemsize for x in raw])
-        place = mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + marks["at"].astype(np.uint64))
-        out = marks["seed"].copy(), signed(place), doc, marks["at"].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["seed", "place", "doc_id", "at"])
+        for at, to, w in blocks(batch.column(1)):
+            row, seed, place = seed_places(w)
+            ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(seed)), pa.array(signed(place)), pa.array(ids, pa.int64())], names=["seed", "place", "doc_id"])
+
+
+def listed(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each item of an Arrow list column, and the items; null lists are empty."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), lists.flatten()
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, doc_id, start) of the windows whose smallest seed is at one of the row's listed places."""
+    """(key_a, key_b, doc_id, start) of the windows outside copied blocks whose minimiser is one of the row's listed seeds."""
     for batch in batches:
         for at, to, w in blocks(batch.column(1)):
-            places = batch.column(2).slice(at, to - at)
-            row = np.repeat(np.arange(to - at), places.value_lengths().to_numpy(zero_copy_only=False))
-            listed = w.first[row] + places.flatten().to_numpy(zero_copy_only=False)
-            _, value, low = minimisers(w, WINDOW, SEED)
-            listed = listed[listed < w.first[row + 1]]
-            some = np.full(len(value), _END, np.uint64)
-            some[listed] = value[listed]
-            near = sliding(some, WINDOW - SEED + 1, np.minimum)[: len(low)]
-            start = np.flatnonzero((near == low) & (low != 0) & (low != _END))
+            start, _ = w.windows(WINDOW)
+            if not len(start):
+                continue
+            of, seeds = listed(batch.column(2).slice(at, to - at))
+            wanted = np.unique(mix(seeds.to_numpy(zero_copy_only=False).view(np.uint64)) ^ mix(of.astype(np.uint64)))
+            low = minimisers(w, WINDOW, SEED)[2][start]
+            of, spans = listed(batch.column(3).slice(at, to - at))
+            begin = np.minimum(w.first[of] + spans.field(0).to_numpy(zero_copy_only=False), w.first[of + 1])
+            end = np.minimum(begin + spans.field(1).to_numpy(zero_copy_only=False), w.first[of + 1])
+            depth = np.bincount(begin, minlength=len(w.hash) + 1) - np.bincount(end, minlength=len(w.hash) + 1)
+            copied = np.cumsum(depth)[start] > 0
+            start = start[~copied & np.isin(mix(low) ^ mix(w.row[start].astype(np.uint64)), wanted)]
             row = w.row[start]
             ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(w.stretch(start, start + WINDOW))), pa.array(ids), pa.array((start - w.first[row]).astype(np.int32))], names=["window", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([*_hashed(w, start, start + WINDOW), pa.array(ids, pa.int64()), pa.array((start - w.first[row]).astype(np.int32))], names=[*_SAME, "doc_id", "start"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
 
 
-def factors(docs: DataFrame) -> DataFrame:
-    """Duplicate windows as (doc_id, start, n): windows that start at words start .. start + n - 1.
+def _sources(rows: DataFrame) -> DataFrame:
+    """``rows`` whose keys also occur earlier, with their first place (source_id, source_start)."""
+    first = rows.groupBy(*_SAME).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    first = cut(first.select(*_SAME, "times", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start")))
+    later = (F.col("doc_id") != F.col("source_id")) | (F.col("start") != F.col("source_start"))
+    return spread_join(rows, first.drop("times"), hot_keys(first, *_SAME)).filter(later)
+
 
-    Also ``source_id`` and ``source_start``, where the first of them starts earlier.
+def copies(docs: DataFrame) -> DataFrame:
+    """Duplicate windows as (doc_id, start, n, source_id, source_start).
+
+    Windows that start at words start .. start + n - 1 also start at source_start .. of the earlier source.
     """
-    spark = docs.sparkSession
     texts = _texts(docs)
-    found = texts.mapInArrow(tidied(_block_rows(True)), _BLOCKS + ", marks binary")
-    reference = cut(found.groupBy("block").agg(F.min(F.struct("doc_id", "start", "n", "marks")).alias("first")).select("block", "first.*"))
-    release(spark)
-    source = reference.select("block", F.col("doc_id").alias("source_id"), F.col("start").alias("source_start"))
-    later = (F.col("doc_id") != F.col("source_id")) | (F.col("start") != F.col("source_start"))
-    copied = cut(texts.mapInArrow(tidied(_block_rows(False)), _BLOCKS).join(source, "block").filter(later).select("doc_id", "start", "n", "source_id", "source_start"))
-    release(spark)
-
-    seeds = reference.select("doc_id", "marks").mapInArrow(tidied(_seed_rows), "seed long, place long, doc_id long, at int")
-    twice = seeds.groupBy("seed").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high").select("seed")
-    unsure = seeds.join(twice, "seed").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    unsure = cut(unsure)
-    del reference, source, seeds, twice
-    release(spark)
-    windows = cut(texts.join(unsure, "doc_id").select("doc_id", "text", "places").mapInArrow(tidied(_window_rows), "window long, doc_id long, start int"))
-    del unsure
-    release(spark)
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    source = first.select("window", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"))
-    single = windows.join(source, "window").filter(later).select("doc_id", "start", F.lit(1).alias("n"), "source_id", "source_start")
-    single = cut(single)
-    del windows, first, source
-    release(spark)
+    names = ["doc_id", "start", "n", "source_id", "source_start"]
+    cells = cut(texts.mapInArrow(tidied(_block_rows), "key_a long, key_b long, doc_id long, start int, n int"))
+    copied = cut(_sources(cells).select(*names))
+    drop(cells)
+
+    seeds = cut(texts.mapInArrow(tidied(_seed_rows), "seed long, place long, doc_id long"))
+    twice = seeds.groupBy("seed").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("times")).filter("low < high")
+    twice = cut(twice.select("seed", "times"))
+    holders = spread_join(seeds.select("seed", "doc_id"), twice.select("seed"), hot_keys(twice, "seed"))
+    spans = copied.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("copied"))
+    unsure = cut(holders.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")).join(spans, "doc_id", "left"))
+    drop(seeds, twice)
+    windows = texts.join(unsure, "doc_id").select("doc_id", "text", "seeds", "copied").mapInArrow(tidied(_window_rows), "key_a long, key_b long, doc_id long, start int")
+    windows = cut(windows)
+    drop(unsure)
+    single = cut(_sources(windows).select("doc_id", "start", F.lit(1).alias("n"), "source_id", "source_start"))
+    drop(windows)
     return copied.unionByName(single)
 
 
-def merged(found: DataFrame) -> DataFrame:
-    """Greedy factors: runs of ``factors`` rows of one document that are copied from one place."""
-    same = Window.partitionBy("doc_id", "source_id", F.col("start") - F.col("source_start")).orderBy("start")
-    before = F.max(F.col("start") + F.col("n")).over(same.rowsBetween(Window.unboundedPreceding, -1))
-    new = (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")
-    numbered = found.distinct().withColumn("run", new).withColumn("run", F.sum("run").over(same))
-    run = numbered.groupBy("doc_id", "source_id", (F.col("start") - F.col("source_start")).alias("shift"), "run")
-    spans = run.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
-    return spans.select("doc_id", "start", (F.col("end") - F.col("start") + WINDOW - 1).alias("n_words"), "source_id", (F.col("start") - F.col("shift")).alias("source_start"))
-
+def parse(row: np.ndarray, start: np.ndarray, n: np.ndarray, source: np.ndarray, source_start: np.ndarray) -> list[np.ndarray]:
+    """Greedy factors (row, start, n_words, source_id, source_start) of each row's copies, from left to right.
 
-def _removal(names: list[str]):
+    A factor goes on while the next copy starts where the last one ends, in the same source and right behind.
+    """
+    order = np.lexsort((start, row))
+    row, start, n, source, source_start = (x[order].astype(np.int64) for x in (row, start, n, source, source_start))
+    new = np.ones(len(row), bool)
+    same = (row[1:] == row[:-1]) & (source[1:] == source[:-1]) & (start[1:] - source_start[1:] == start[:-1] - source_start[:-1])
+    new[1:] = ~(same & (start[1:] <= start[:-1] + n[:-1]))
+    first = np.flatnonzero(new)
+    end = np.maximum.reduceat(start + n, first) if len(first) else first
+    return [row[first], start[first], end - start[first] + WINDOW - 1, source[first], source_start[first]]
+
+
+FACTOR = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("source_id", T.LongType()), T.StructField("source_start", T.IntegerType())])
+_FACTOR_KIND = pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())])
+_MADE = ["n_words", "n_removed", "kept", "factors"]
+
+
+def without(w: Words, gone: np.ndarray) -> list[str]:
+    """The words of each row that are not gone, joined by one space."""
+    kept = np.flatnonzero(~gone)
+    size = w.end[kept] - w.start[kept] + 1
+    out_at = np.cumsum(size) - size
+    total = int(size.sum())
+    data = w.data[np.minimum(np.repeat(w.start[kept] - out_at, size) + np.arange(total), max(len(w.data) - 1, 0))] if total else np.empty(0, np.uint8)
+    data[out_at + size - 1] = 32
+    ends = np.concatenate([[0], np.cumsum(np.bincount(w.row[kept], size, w.n_rows).astype(np.int64))])
+    raw = data.tobytes()
+    return [raw[a : max(a, b - 1)].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _removal(names: list[str], text: str, found: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, w in blocks(batch.column("text")):
-                spans = batch.column("spans").slice(at, to - at)
-                flat = spans.flatten()
-                row = np.repeat(np.arange(to - at), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                lo, hi = w.first[row] + start, np.minimum(w.first[row] + start + n + WINDOW - 1, w.first[row + 1])
+            for at, to, w in blocks(batch.column(text)):
+                of, items = listed(batch.column(found).slice(at, to - at))
+                row, start, size, source, source_start = parse(of, *(items.field(k).to_numpy(zero_copy_only=False) for k in range(4)))
+                lo, hi = w.first[row] + start, np.minimum(w.first[row] + start + size, w.first[row + 1])
                 ok = lo < hi
                 depth = np.bincount(lo[ok], minlength=len(w.hash) + 1) - np.bincount(hi[ok], minlength=len(w.hash) + 1)
                 gone = np.cumsum(depth[: len(w.hash)]) > 0
-                kept = np.flatnonzero(~gone)
-                size = w.end[kept] - w.start[kept] + 1
-                out_at = np.cumsum(size) - size
-                data = np.full(int(size.sum()), 32, np.uint8)
-                index = np.repeat(w.start[kept] - out_at, size) + np.arange(len(data))
-                data[:] = w.data[np.minimum(index, len(w.data) - 1)] if len(data) else data
-                data[out_at + size - 1] = 32
-                n_words = np.diff(w.first)
-                n_kept = np.bincount(w.row[kept], minlength=to - at)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(w.row[kept], size, to - at).astype(np.int64))])
-                raw = data.tobytes()
-                texts = [raw[a : max(a, b - 1)].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                made = [pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in names), *made], names=[*names, "n_words", "n_removed", "kept"])
+                flat = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(source, pa.int64()), pa.array(source_start, pa.int32())], fields=list(_FACTOR_KIND))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(w.n_rows + 1)), pa.int32()), flat)
+                made = [pa.array(np.diff(w.first), pa.int64()), pa.array(np.bincount(w.row[gone], minlength=w.n_rows), pa.int64()), pa.array(without(w, gone), pa.string()), lists]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in names), *made], names=[*names, *_MADE])
 
     return run
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds ``n_words``, ``n_removed`` and ``kept``: the words outside ``factors`` rows, joined by one space."""
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    spans = found.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    both = docs.select(*names).join(spans, F.col("doc_id") == F.col("span_id"), "left").select(*names, "spans")
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return both.mapInArrow(tidied(_removal(names)), schema)
+    """Adds the greedy ``factors`` of each document's ``copies``, ``n_words``, ``n_removed`` and ``kept``.
+
+    ``kept`` has the words outside the factors, joined by one space.
+    """
+    names = [c for c in docs.columns if c not in _MADE]
+    own, items = unused("_factor_id", names, _MADE), unused("_copies", names, _MADE)
+    lists = found.groupBy(F.col("doc_id").cast("long").alias(own)).agg(F.collect_list(F.struct("start", "n", "source_id", "source_start")).alias(items))
+    both = docs.select(*names).join(lists, docs["doc_id"] == F.col(own), "left").select(*names, items)
+    kinds = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("factors", T.ArrayType(FACTOR))]
+    return both.mapInArrow(tidied(_removal(names, "text", items)), T.StructType([docs.schema[c] for c in names] + kinds))
+
+
+def factors(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, n_words, source_id, source_start): the factors of every document, a row each."""
+    parsed = remove(docs.select("doc_id", "text").distinct(), copies(docs))
+    return parsed.select("doc_id", F.inline("factors"))
 
 
 #: DuckDB SQL of the query, without the digest's name for the kept words.

@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm._jobs import cut, release
+from stackloom.checkpoints import cut, drop
+from stackloom.llm._jobs import hot_keys, spread_join
 from stackloom.llm._words import blocks, mix, signed, tidied
-from stackloom.llm.rlz import minimisers
+from stackloom.llm.rlz import listed, minimisers
 
 LENGTH = 50
 SEED = 10
@@ -125,7 +126,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, doc_id, start, open) of the windows whose minimiser is wanted; open if no span covers the window."""
+    """(key_a, key_b, doc_id, start, open) of the windows whose minimiser is wanted; open if no span covers the window."""
     for batch in batches:
         for at, to, w in blocks(batch.column(1)):
             if len(w.hash) < LENGTH:
@@ -133,28 +134,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, found = w.windows(LENGTH)
             low = minimisers(w, LENGTH, SEED)[2][start]
             row = w.row[start]
-            wanted = batch.column(2).slice(at, to - at)
-            of = np.repeat(np.arange(to - at), wanted.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            listed = np.unique(mix(wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) ^ of.astype(np.uint64))
-            ok = np.isin(mix(low) ^ row.astype(np.uint64), listed)
+            of, seeds = listed(batch.column(2).slice(at, to - at))
+            wanted = np.unique(mix(seeds.to_numpy(zero_copy_only=False).view(np.uint64)) ^ of.astype(np.uint64))
+            ok = np.isin(mix(low) ^ row.astype(np.uint64), wanted)
             start, found, row = start[ok], found[ok], row[ok]
             covered = np.zeros(len(start), bool)
-            spans = batch.column(3).slice(at, to - at)
-            of = np.repeat(np.arange(to - at), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            of, spans = listed(batch.column(3).slice(at, to - at))
             if len(of):
                 # Spans are sorted and apart, so the last one that begins at or before a window is the only one that can hold it.
-                flat = spans.flatten()
-                begin = w.first[of] + flat.field(0).to_numpy(zero_copy_only=False)
-                end = begin + flat.field(1).to_numpy(zero_copy_only=False)
+                begin = w.first[of] + spans.field(0).to_numpy(zero_copy_only=False)
+                end = begin + spans.field(1).to_numpy(zero_copy_only=False)
                 last = np.searchsorted(begin, start, side="right") - 1
                 covered = (last >= 0) & (end[last] >= start + LENGTH)
             ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(ids, pa.int64()), pa.array((start - w.first[row]).astype(np.int32)), pa.array(~covered)], names=["window", "doc_id", "start", "open"])
+            keys = [pa.array(signed(found)), pa.array(signed(w.other_stretch(start, start + LENGTH)))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(ids, pa.int64()), pa.array((start - w.first[row]).astype(np.int32)), pa.array(~covered)], names=["key_a", "key_b", "doc_id", "start", "open"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: list[tuple] = []
     for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+        rows = last + list(zip(*(c.to_pylist() for c in batch.columns)))
+        last = rows[-1:]
         got = list(zip(*_compare(rows))) or [()] * 5
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(got, kinds)], names=["doc_id", "start", "n_words", "other_id", "other_start"])
@@ -183,41 +184,43 @@ def repeats(docs: DataFrame) -> DataFrame:
     doc_id, n_words, n_repeated (words in repeats), spans (start, n_words; merged), and partner_ids: the
     ids of documents met as neighbours, or that hold a window no neighbour shares (its smallest and largest id).
     """
-    spark = docs.sparkSession
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    told = texts.mapInArrow(tidied(_describe), "doc_id long, n long, words_a long, words_b long, seeds array<long>").filter(F.col("n") >= LENGTH)
+    told = texts.mapInArrow(tidied(_describe), "doc_id long, n long, words_a long, words_b long, seeds array<long>")
+    told = cut(told.filter(F.col("n") >= LENGTH))
     same = ["words_a", "words_b", "n"]
-    classes = cut(told.groupBy(*same).agg(F.min(F.struct("doc_id", "seeds")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
-    release(spark)
+    classes = cut(told.groupBy(*same).agg(F.min(F.struct("doc_id", "seeds")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")))
     seeds = classes.select(F.col("low").alias("doc_id"), F.explode("first.seeds").alias("seed"))
-    twice = seeds.groupBy("seed").count().filter("count > 1").select("seed")
-    wanted = cut(seeds.join(twice, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
-    release(spark)
+    twice = cut(seeds.groupBy("seed").agg(F.count("*").alias("times")).filter("times > 1"))
+    wanted = cut(spread_join(seeds, twice.select("seed"), hot_keys(twice, "seed")).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
+    drop(twice)
     suffixes = texts.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(tidied(_suffixes), "right binary, left binary, doc_id long, at int")
     order = ["right", "doc_id", "at"]
-    found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(_neighbours), _REPEATS)
-    found = cut(found)
-    release(spark)
+    # Written first, as sorting by range reads its input twice; the sample that sets the ranges has a million rows at most.
+    suffixes = cut(suffixes)
+    found = cut(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(_neighbours), _REPEATS))
+    drop(suffixes)
     # Two rows a partition: their number follows the partitions, not the rows.
     edges = found.filter("edge = 1").select("right", "left", "doc_id", F.col("start").alias("at")).coalesce(1).sortWithinPartitions(*order)
     plain = ["doc_id", "start", "n_words", "other_id", "other_start"]
     across = edges.mapInArrow(_edges, "doc_id long, start int, n_words int, other_id long, other_start int")
     pairs = cut(found.filter("edge = 0").select(*plain).union(across))
+    drop(found)
     near = cut(_by_doc(pairs))
-    release(spark)
     marked = texts.join(wanted.join(near.select("doc_id", "spans"), "doc_id", "left"), "doc_id").select("doc_id", "text", "seeds", "spans")
-    windows = marked.mapInArrow(tidied(_windows), "window long, doc_id long, start int, open boolean")
+    windows = cut(marked.mapInArrow(tidied(_windows), "key_a long, key_b long, doc_id long, start int, open boolean"))
+    drop(near, wanted)
     # One place has one id and one start, also where its row is repeated.
-    places = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("start").alias("first"), F.max("start").alias("last"))
-    places = places.filter("low < high or first < last").select("window", "low", "high")
-    hidden = cut(windows.filter("open").select("window", "doc_id", "start").join(places, "window").select("doc_id", "start", "low", "high"))
-    release(spark)
+    keys = ["key_a", "key_b"]
+    places = windows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("start").alias("first"), F.max("start").alias("last"), F.count_if("open").alias("times"))
+    places = cut(places.filter("times > 0 and (low < high or first < last)").select(*keys, "low", "high", "times"))
+    hidden = spread_join(windows.filter("open").select(*keys, "doc_id", "start"), places.drop("times"), hot_keys(places, *keys)).select("doc_id", "start", "low", "high")
     more = hidden.select("doc_id", "start", F.lit(LENGTH).alias("n_words"), F.explode(F.array("low", "high")).alias("other_id"))
-    spans = _by_doc(pairs.select("doc_id", "start", "n_words", "other_id").union(more))
+    spans = cut(_by_doc(pairs.select("doc_id", "start", "n_words", "other_id").union(more)))
+    drop(pairs, windows, places)
     all_of = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("n_words")))
-    class_spans = classes.select(*same, "low", "high").join(spans, classes.low == spans.doc_id, "left").select(*same, "low", "high", "spans", "partner_ids")
-    class_spans = class_spans.filter("low < high or spans is not null")
-    out = told.select("doc_id", *same).distinct().join(class_spans, same)
+    class_spans = classes.select(*same, "low", "high", "times").join(spans.withColumnRenamed("doc_id", "low"), "low", "left")
+    class_spans = cut(class_spans.filter("low < high or spans is not null"))
+    out = spread_join(told.select("doc_id", *same).distinct(), class_spans.drop("times"), hot_keys(class_spans, *same))
     copied = F.col("low") < F.col("high")
     chosen = F.when(copied, all_of).otherwise(F.col("spans"))
     partners = F.when(copied, F.sort_array(F.array_distinct(F.concat(F.coalesce("partner_ids", F.array().cast("array<long>")), F.array(F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))))))).otherwise(F.col("partner_ids"))

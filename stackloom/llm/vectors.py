@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm._jobs import components, cut, release
+from stackloom.checkpoints import cut, drop
+from stackloom.llm._jobs import components
 from stackloom.llm._trees import joined
 
 COSINE = 0.95
@@ -203,7 +204,6 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     keys = ["table", "cell", "part_a", "part_b"]
     met = met.repartition(*keys).sortWithinPartitions(*keys)
     found = cut(met.mapInArrow(_in_cells(dim, window, min_collisions(), cosine), "id long, links long, root long"))
-    release(spark)
     label = components(found.filter("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct())
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(links, "id", "left").join(label, "id", "left").select("vector", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
