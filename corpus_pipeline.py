@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom.checkpoints import cut
 from stackloom.llm import bpe, decontaminate, neardup, privacy, toxicity
-from stackloom.llm._jobs import cut
+from stackloom.llm._jobs import unused
 from stackloom.llm.queries import PRIVACY_KEY, table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is a half or more."""
     model = toxicity.from_labels(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, column="_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+    column = unused("_toxicity", docs.columns)
+    return toxicity.score(docs, model, column=column).filter(F.col(column) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
