@@ -7,7 +7,8 @@ one-dimensional projections, the same in all tables.  Around each query vector a
 lies near it in that order, and a pair's collisions are the windows it shares.  Pairs with
 ``MIN_COLLISIONS`` collisions or more are verified by their exact cosine.
 
-Window and count are calibrated: a pair at cosine ``COSINE`` differs in a projection by a normal
+In many dimensions a window holds a large share of all vectors, so the planes make the candidates and
+the projections' counts choose among them.  Window and count are calibrated: a pair at cosine ``COSINE`` differs in a projection by a normal
 amount, and the count is the largest that such a pair reaches with probability 0.999.  The number of
 planes follows the logarithm of the number of classes, so cells stay small, and the number of tables
 is what then keeps recall at ``RECALL``.  None of it needs a sample or an index of vectors.
@@ -15,9 +16,11 @@ is what then keeps recall at ``RECALL``.  None of it needs a sample or an index
 As the count depends on the pair alone, a pair is counted in the first table whose cell it shares, and
 nowhere else.  So links are summed, and cells pass on only spanning trees of their links: dense groups
 are never expanded into pairs.  Cells with more than ``CELL_ROWS`` rows are split into parts, and
-every two parts meet in a task of their own.
+every two parts meet in a task of their own.  A vector is shuffled once a table, as it is stored, with its
+cells of the tables before; a cell's parts are told by a join that is a broadcast only where Spark
+knows the list of large cells to be small.
 
-Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
+Equal vectors are told by two 64-bit hashes.  Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
 link with nothing, and are their own component.  Rows without an id link with nothing and are kept.
 Repeated rows of one id and vector count as one vector; extra columns are ignored; an empty table gives
 an empty table.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.checkpoints import cut, drop
-from stackloom.llm._jobs import components
+from stackloom.llm._jobs import components, hot_keys, spread_join
 from stackloom.llm._trees import joined
 
 COSINE = 0.95
@@ -133,7 +136,7 @@ def _link_rows(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, cells: np.nda
         u, v = np.divmod(near[s : s + 20_000], n)
         here = (np.minimum(part[u], part[v]) == pair[0]) & (np.maximum(part[u], part[v]) == pair[1])
         if table:
-            here &= ~(cells[u, :table] == cells[v, :table]).any(axis=1)
+            here &= ~(cells[u] == cells[v]).any(axis=1)
         u, v = u[here], v[here]
         ok = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
         u, v = u[ok], v[ok]
@@ -146,14 +149,14 @@ def _link_rows(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, cells: np.nda
 
 def _in_cells(dim: int, window: float, count: int, cosine: float):
     ways = projections_of(dim)
-    names = ["table", "cell", "part_a", "part_b", "id", "weight", "part", "cells", "vector"]
+    names = ["table", "cell", "part_a", "part_b", "id", "weight", "part", "before", "vector"]
 
     def group(rows: pa.Table) -> pa.RecordBatch:
         first = {c: rows.column(c)[0].as_py() for c in names[:4]}
         one = rows.combine_chunks()
         get = lambda c: one.column(c).combine_chunks()
         x = unit(_matrix(get("vector"), dim))
-        cells = get("cells").flatten().to_numpy().reshape(len(x), -1)
+        cells = get("before").flatten().to_numpy(zero_copy_only=False).reshape(len(x), first["table"])
         ids, weight, part = (get(c).to_numpy() for c in ("id", "weight", "part"))
         out = _link_rows(ids, weight, x, cells, first["table"], part, (first["part_a"], first["part_b"]), window, count, cosine, ways)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["id", "links", "root"])
@@ -182,34 +185,40 @@ def _in_cells(dim: int, window: float, count: int, cosine: float):
 
 def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row for each row of ``table(vec_id, embedding)``: vec_id, n_links, component_id, kept."""
-    spark = table.sparkSession
-    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector"))
     big = F.greatest(F.array_max(F.transform("vector", F.abs)), F.lit(0.0))
     good = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & (big > 0)
-    usable = rows.filter(F.coalesce(good, F.lit(False)))
-    size = usable.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    good = F.coalesce(good, F.lit(False))
+    size = rows.filter(good).groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = size.dim if size else 0
-    usable = usable.filter(F.size("vector") == dim).distinct()
-    classes = cut(usable.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
+    same = ["key_a", "key_b"]
+    usable = good & (F.size("vector") == dim)
+    rows = rows.select("vec_id", F.when(usable, F.xxhash64("vector")).alias("key_a"), F.when(usable, F.xxhash64(F.lit(dim), "vector")).alias("key_b"), "vector")
+    known = rows.filter(F.col("key_a").isNotNull()).groupBy(*same)
+    classes = cut(known.agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("weight"), F.first("vector").alias("vector")))
     n = classes.count()
     planes, tables = design(n, cosine)
     window = WINDOW_SIGMAS * sqrt((2 - 2 * cosine) / max(dim, 1))
-    dealt = classes.select("id", "weight", "vector").mapInArrow(_cells(dim, planes, tables), "id long, weight long, vector array<double>, cells array<long>")
-    dealt = dealt.select("id", "weight", "vector", "cells", F.posexplode("cells").alias("table", "cell"))
-    sizes = dealt.groupBy("table", "cell").count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / CELL_ROWS).cast("int")).drop("count")
-    met = dealt.join(sizes, ["table", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    kind = classes.schema["vector"].dataType.simpleString()
+    dealt = cut(classes.select("id", "weight", "vector").mapInArrow(_cells(dim, planes, tables), f"id long, weight long, vector {kind}, cells array<long>"))
+    large = dealt.select(F.posexplode("cells").alias("table", "cell")).groupBy("table", "cell").count().filter(F.col("count") > CELL_ROWS)
+    large = cut(large.select("table", "cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts")))
+    met = dealt.select("id", "weight", "vector", "cells", F.posexplode("cells").alias("table", "cell"))
+    met = met.withColumn("before", F.slice("cells", F.lit(1), F.col("table"))).drop("cells").join(large, ["table", "cell"], "left")
+    met = met.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.withColumn("part_a", F.least("part", "other")).withColumn("part_b", F.greatest("part", "other")).drop("other", "parts")
-    met = met.select("table", "cell", "part_a", "part_b", "id", "weight", "part", "cells", "vector")
+    met = met.withColumn("part_a", F.least("part", "other")).withColumn("part_b", F.greatest("part", "other"))
+    met = met.select("table", "cell", "part_a", "part_b", "id", "weight", "part", "before", "vector")
     keys = ["table", "cell", "part_a", "part_b"]
     met = met.repartition(*keys).sortWithinPartitions(*keys)
     found = cut(met.mapInArrow(_in_cells(dim, window, min_collisions(), cosine), "id long, links long, root long"))
+    drop(dealt, large)
     label = components(found.filter("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct())
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(links, "id", "left").join(label, "id", "left").select("vector", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    mine = rows.join(named, (rows.vector == named.vector) & rows.vec_id.isNotNull(), "left")
-    n_links = F.coalesce(F.col("weight") - 1 + F.col("links"), F.lit(0)).cast("long")
-    out = mine.select("vec_id", n_links.alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    named = classes.select("id", "weight", *same).join(links, "id", "left").join(label, "id", "left")
+    named = named.select(*same, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
+    out = spread_join(rows.drop("vector"), named, hot_keys(classes, *same, times="weight"), "left")
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
