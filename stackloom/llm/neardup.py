@@ -7,14 +7,14 @@ chunks.  By pigeonhole, of two signatures that differ in less than 2 * ``CHUNKS`
 differs in one symbol at most; so for every chunk each single error is enumerated, by a key over the
 chunk without one symbol, and all pairs under that distance share a key.  (A pair at similarity 0.8
 misses every chunk with probability 2e-5.)  Candidates that differ in more than ``MAX_DIFFERENT``
-symbols cannot be similar enough but with probability 5e-5; the rest is confirmed on the full sets.
+symbols cannot be similar enough but with probability 1e-9; the rest is confirmed on the full sets.
 
 Groups of copies are never expanded into all pairs.  In a first round each key picks one of its
 members by a hash, and each class is compared with the nearest of those its keys picked, which ties
 large groups together.  Then only keys whose members lie in different components so far are looked at
 again.  Members of small keys are paired, within neighbouring sizes.  Keys with more than ``LARGE``
-members form clusters; clusters are cut into parts of ``PART`` classes, and every two parts meet in a
-task of their own, which counts all intersections of their sets and passes on a spanning forest of
+members form clusters; clusters are cut into parts of about ``PART`` classes and ``PART_SHINGLES``
+shingles at most, and every two parts meet in a task of their own, which counts all intersections of their sets and passes on a spanning forest of
 the links.  Any link between candidates is either confirmed, or its ends are already connected.
 
 Texts without words have an empty set and are linked with nothing.  Rows without an id are in no
@@ -33,16 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackloom.checkpoints import cut, drop
-from stackloom.llm._jobs import components
+from stackloom.llm._jobs import components, hot_keys, spread_join
 from stackloom.llm._trees import joined
 from stackloom.llm._words import Words, blocks, mix, signed, tidied
 
 SHINGLE = 4
 PERCENT = 80
 CHUNKS, WIDTH = 8, 5
-MAX_DIFFERENT = 18
+MAX_DIFFERENT = 24
 LARGE = 24
 PART = 1200
+PART_SHINGLES = 2_000_000
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,10 +125,15 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["a", "b", "far"]).filter(pa.array(far <= MAX_DIFFERENT))
 
 
+def _often(pairs: DataFrame, k: str) -> DataFrame:
+    """Ids that very many of the ``pairs`` have."""
+    return hot_keys(pairs.groupBy(k).agg(F.count("*").alias("times")), k)
+
+
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that sizes and signatures allow, with their distance."""
+    """Those of the written table ``pairs(a, b)`` that sizes and signatures allow, with their distance."""
     side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = spread_join(spread_join(pairs, side("a"), _often(pairs, "a")), side("b"), _often(pairs, "b"))
     both = both.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     return both.select("a", "b", "s_a", "s_b").mapInArrow(tidied(_distances), "a long, b long, far int")
 
@@ -147,9 +153,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full shingle sets are similar enough."""
+    """Those of the written table ``pairs(a, b)`` whose full shingle sets are similar enough."""
     text = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"text_{k}"))
-    both = pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
+    pairs = pairs.select("a", "b")
+    both = spread_join(spread_join(pairs, text("b"), _often(pairs, "b")), text("a"), _often(pairs, "a")).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(tidied(_compare), "a long, b long")
 
 
@@ -217,18 +224,21 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clustered_links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b), a spanning forest, among the ``members(key, id)`` of large keys."""
-    spark = docs.sparkSession
-    first = members.groupBy("key").agg(F.min("id").alias("a"))
-    cluster = components(members.join(first, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct())
-    parts = cluster.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
-    met = cluster.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    """Links (a, b), a spanning forest, among the ``members(key, id, n)`` of large keys."""
+    first = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("times"))
+    stars = spread_join(members.select("key", "id"), first.drop("times"), hot_keys(first, "key"))
+    cluster = components(stars.filter("a < id").select("a", F.col("id").alias("b")).distinct())
+    sized = cut(cluster.join(members.select("id", "n").distinct(), "id"))
+    most = F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)
+    parts = cut(sized.groupBy("component").agg(F.ceil(most).cast("long").alias("parts"), F.count("*").alias("times")))
+    met = spread_join(sized, parts.drop("times"), hot_keys(parts, "component")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select(F.col("component").alias("cluster"), F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "id")
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     keys = ["cluster", "part_a", "part_b"]
     rows = met.join(text, "id").select(*keys, "part", "id", "text").repartition(*keys).sortWithinPartitions(*keys)
     out = cut(rows.mapInArrow(tidied(_cluster), "a long, b long").distinct())
+    drop(cluster, sized, parts)
     return out
 
 
@@ -237,39 +247,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the smallest id in the row's connected component of links.
     """
-    spark = docs.sparkSession
     sets = cut(describe(docs))
     same = ["set_a", "set_b", "n"]
     # Equal sets have equal signatures, so any one of them serves.
-    classes = cut(sets.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")))
+    classes = sets.filter("n > 0 and doc_id is not null").groupBy(*same)
+    classes = cut(classes.agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"), F.count("*").alias("times")))
     keys = chunk_keys(classes).withColumn("turn", F.xxhash64("id", "key"))
     held = keys.groupBy("key").agg(F.min("turn").alias("picked"), F.count("*").alias("members")).filter("members > 1")
-    shared = cut(keys.join(held, "key"))
+    held = cut(held)
+    hot = cut(hot_keys(held, "key", times="members"))
+    shared = cut(spread_join(keys, held, hot))
+    drop(held)
 
     hubs = shared.filter("turn = picked").select("key", F.col("id").alias("hub"))
-    stars = shared.join(hubs, "key").filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    stars = spread_join(shared.select("key", "id"), hubs, hot).filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    stars = cut(stars)
     first = cut(_near(stars, classes))
+    drop(stars)
     ends = first.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "far")
     nearest = cut(ends.groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
     links = cut(confirm(nearest, docs).distinct())
+    drop(first)
     label = components(links)
 
     split = shared.select("key", "id", "n", "members").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = cut(split)
     torn = split.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    split = cut(split.join(torn, "key"))
-    large = split.filter(F.col("members") > LARGE).select("key", "id")
+    torn = cut(spread_join(split, torn, hot))
+    drop(shared, split, label)
+    large = torn.filter(F.col("members") > LARGE).select("key", "id", "n")
     if large.limit(1).count():
         links = links.union(clustered_links(large, docs))
-    small = split.filter(F.col("members") <= LARGE)
+    small = torn.filter(F.col("members") <= LARGE)
     size = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
     left = small.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), size.alias("size"))
     right = small.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
-    pairs = left.join(right, ["key", "size"]).filter("a < b and c_a != c_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti")
-    links = links.union(cut(confirm(_near(pairs, classes), docs).distinct()))
+    pairs = cut(left.join(right, ["key", "size"]).filter("a < b and c_a != c_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti"))
+    near = cut(_near(pairs, classes))
+    links = links.union(cut(confirm(near, docs).distinct()))
+    drop(torn, pairs, near, nearest, hot)
     label = components(links)
 
     named = classes.join(label, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    out = sets.join(named, same, "left")
+    out = spread_join(sets.drop("signature"), named, hot_keys(classes, *same), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
