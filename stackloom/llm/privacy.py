@@ -9,32 +9,34 @@ and a surname, in the same script, word by word.
 A surrogate is a function of the key, the type and the entity, so one entity has the same surrogate in
 all documents, and a person's surname alone has the same one as with the first name.  Distinctness is
 checked over the whole table, of names by first names and surnames: entities whose surrogates collide
-with another's, or with an entity that occurs, are keyed anew until none collide; names get longer
-thereby, and where a fixed format has too few surrogates an error says so.  These are few; the documents that hold them get their turns by a join,
-broadcast if they are ``BROADCAST_ROWS`` at most, and shuffled otherwise.
+with another's, or with an entity that occurs, are keyed anew until none collide; names and e-mail addresses
+get longer thereby, small private IP ranges give way to a large one, and where a fixed format has too
+few surrogates an error says so.  Texts are searched twice: once to list the entities with a hash of
+their text, which also tells which texts hold entities keyed anew, and once to replace them.  The turns
+of such texts come by a join, a broadcast only where Spark knows the written table to be small.
 
 Null texts stay null, empty ones empty; documents without entities stay as they are; repeated rows
-are treated alike; other columns pass through (an existing ``n_entities`` is replaced); empty tables
-give empty tables.
+are treated alike; other columns pass through (an existing ``n_entities`` is replaced), working
+columns take names that are free; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.checkpoints import cut, drop
+from stackloom.llm._jobs import unused
 
-BROADCAST_ROWS = 20_000
 #: Rounds of keying anew without fewer collisions, after which a space of surrogates counts as exhausted.
 STALLED = 40
+#: Turns after which an address leaves a small private range for a large one.
+CROWDED = 3
 
 # Titles by gender, and the types' patterns, all told by what they start with.
 TITLES = {
-    "man": r"Mr|Mister|Herrn?|Monsieur|Sr|Señor|Don|господин|г-н",
-    "woman": r"Mrs|Ms|Miss|Frau|Mme|Madame|Mademoiselle|Sra|Señora|Doña|госпожа|г-жа",
+    "man": r"Mr|Mister|Herrn?|Monsieur|Sr|Señor|Don|господин|г-н|Κύριος|Κύριο",
+    "woman": r"Mrs|Ms|Miss|Frau|Mme|Madame|Mademoiselle|Sra|Señora|Doña|госпожа|г-жа|Κυρία|Κα",
 }
 _TITLE = rf"(?<!\p{{L}})(?:{TITLES['man']}|{TITLES['woman']})\.? (?=\p{{Lu}}\p{{L}})"
 PATTERNS = {
@@ -54,10 +56,16 @@ FIRST = {
     ("woman", "latin"): "Ada Alice Bella Clara Diana Emma Flora Helen Iris Julia Laura Lena Maria Nora Olga Paula Rosa Sofia Vera Wanda".split(),
     ("man", "cyrillic"): "Андрей Борис Виктор Глеб Денис Егор Игорь Кирилл Лев Максим Никита Олег Павел Роман Семён Тимур".split(),
     ("woman", "cyrillic"): "Алла Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Полина Раиса Софья Юлия".split(),
+    ("man", "greek"): "Αλέξανδρος Βασίλης Γιώργος Δημήτρης Ηλίας Θανάσης Κώστας Λεωνίδας Μανώλης Νίκος Πέτρος Σπύρος".split(),
+    ("woman", "greek"): "Αγγελική Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Χριστίνα".split(),
+}
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe go ha ka ke la le lo ma me mi na ne no pa pe ra re ri ro sa se ta te to".split(),
+    "cyrillic": "ба бе бо ва ве да де до за зе ка ке ко ла ле ло ма ме ми на не но па пе ра ре ри ро са се та то".split(),
+    "greek": "βα βε βο γα γε δα δε δο ζα ζε κα κε κο λα λε λο μα με μι να νε νο πα πε ρα ρε ρι ρο σα σε τα το".split(),
 }
-SYLLABLES = {"latin": "ba be bo da de do fa fe go ha ka ke la le lo ma me mi na ne no pa pe ra re ri ro sa se ta te to".split(), "cyrillic": "ба бе бо ва ве да де до за зе ка ке ко ла ле ло ма ме ми на не но па пе ра ре ри ро са се та то".split()}
-FIRST_ENDS = {("man", "latin"): "n", ("woman", "latin"): "na", ("man", "cyrillic"): "н", ("woman", "cyrillic"): "на"}
-ENDS = {("man", "latin"): "son", ("woman", "latin"): "son", ("man", "cyrillic"): "ов", ("woman", "cyrillic"): "ова"}
+FIRST_ENDS = {("man", "latin"): "n", ("woman", "latin"): "na", ("man", "cyrillic"): "н", ("woman", "cyrillic"): "на", ("man", "greek"): "νης", ("woman", "greek"): "να"}
+ENDS = {("man", "latin"): "son", ("woman", "latin"): "son", ("man", "cyrillic"): "ов", ("woman", "cyrillic"): "ова", ("man", "greek"): "ίδης", ("woman", "greek"): "ίδου"}
 
 #: Kinds of the words of names: surnames, and the names before them.
 NAMES = ("man", "woman", "man first", "woman first")
@@ -120,7 +128,7 @@ def _luhn(card: Column) -> Column:
 
 
 def _script(name: Column) -> Column:
-    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
 def _of(items: list[str], n: Column) -> Column:
@@ -164,14 +172,22 @@ def units(kind: Column, entity: Column) -> Column:
     return F.when(kind.isin("man", "woman"), named).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("unit"))))
 
 
-def _ip(entity: Column, digest: Column) -> Column:
-    """An address whose private ranges stay private."""
+def _ip(entity: Column, digest: Column, turn: Column) -> Column:
+    """An address whose private ranges stay private; where a small one is crowded, later turns take the largest."""
     part = lambda k: (F.pmod(_number(digest, 1 + 7 * k), F.lit(222 if k == 0 else 254)) + 1).cast("string")
-    range_ = F.regexp_extract(entity, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
+    own = F.regexp_extract(entity, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
+    range_ = F.when((F.length(own) > 4) & (turn > CROWDED), "10.").otherwise(own)
     out = F.when(range_ == "", F.concat_ws(".", part(0), part(1), part(2), part(3)))
     return out.when(F.length(range_) <= 4, F.concat(range_, F.concat_ws(".", part(1), part(2), part(3)))).otherwise(F.concat(range_, F.concat_ws(".", part(2), part(3))))
 
 
+def _longer(address: Column, digest: Column, turn: Column) -> Column:
+    """An e-mail address with a letter more before the @ for each turn, as far as the digest reaches."""
+    letters = F.translate(F.substring(digest, 17, 40), "0123456789", "ghijklmnop")
+    at = F.instr(address, "@")
+    return F.when(turn > 0, F.concat(F.left(address, at - 1), F.left(letters, turn), F.substr(address, at))).otherwise(address)
+
+
 def surrogate(key: str, kind: Column, entity: Column, turn: Column) -> Column:
     """The replacement of a unit; ``turn`` counts how often it was keyed anew."""
     head = F.when(kind == "card", F.left(entity, F.lit(1))).when(kind == "access", "AKIA").when(kind == "iban", F.left(entity, F.lit(2)))
@@ -180,25 +196,25 @@ def surrogate(key: str, kind: Column, entity: Column, turn: Column) -> Column:
     def made(s: Column) -> Column:
         body = F.substr(s.entity, F.length(s.head) + 1, F.length(s.entity) - F.length(s.head) - F.when(s.kind == "email", F.length(F.substring_index(s.entity, "@", -1)) - F.length(F.substring_index(F.substring_index(s.entity, "@", -1), ".", 1))).otherwise(0))
         new = F.concat(s.head, _reformed(body, s.digest))
-        plain = F.when(s.kind == "email", F.concat(new, F.lit(".example.org"))).when((s.kind == "phone") & s.entity.contains(") 555-"), F.regexp_replace(new, r"\) \d{3}-", ") 555-"))
+        plain = F.when(s.kind == "email", F.concat(_longer(new, s.digest, s.turn), F.lit(".example.org"))).when((s.kind == "phone") & s.entity.contains(") 555-"), F.regexp_replace(new, r"\) \d{3}-", ") 555-"))
         plain = plain.when((s.kind == "card") & s.valid, _luhn(new)).otherwise(new)
-        return F.when(s.kind == "ip", _ip(s.entity, s.digest)).when(s.kind.isin(*NAMES), _name(key, s.kind, s.entity, s.turn)).otherwise(plain)
+        return F.when(s.kind == "ip", _ip(s.entity, s.digest, s.turn)).when(s.kind.isin(*NAMES), _name(key, s.kind, s.entity, s.turn)).otherwise(plain)
 
     valid = (kind == "card") & (_luhn(entity) == entity)
     return _let(F.struct(kind.alias("kind"), entity.alias("entity"), turn.alias("turn"), head.alias("head"), valid.alias("valid"), _hash(key, kind, entity, turn).alias("digest")), made)
 
 
-def found(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``_parts`` (text between the entities) and ``_found`` (lead, units), null where there are none."""
-    raw = F.when(F.col(text).rlike(_SIGN), F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0)))
-    df = df.withColumn("_raw", raw)
-    some = F.size("_raw") > 0
+def found(df: DataFrame, text: str, parts: str, entities: str) -> DataFrame:
+    """``df`` with ``parts`` (text between the entities) and ``entities`` (lead, units), null where there are none."""
+    raw = unused("_raw", df.columns, [parts, entities])
+    df = df.withColumn(raw, F.when(F.col(text).rlike(_SIGN), F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))))
+    some = F.size(raw) > 0
 
     def told(e: Column) -> Column:
         return _let(F.struct(e.alias("whole"), _kind(e).alias("kind")), lambda s: F.struct(_lead(s.whole, s.kind).alias("lead"), s.whole.alias("whole"), s.kind.alias("kind")))
 
-    proper = F.transform(F.transform("_raw", told), lambda s: F.struct(s.lead.alias("lead"), units(s.kind, F.substr(s.whole, F.length(s.lead) + 1)).alias("units")))
-    return df.withColumn("_parts", F.when(some, F.split(F.col(text), _ANY, -1))).withColumn("_found", F.when(some, proper)).drop("_raw")
+    proper = F.transform(F.transform(raw, told), lambda s: F.struct(s.lead.alias("lead"), units(s.kind, F.substr(s.whole, F.length(s.lead) + 1)).alias("units")))
+    return df.withColumn(parts, F.when(some, F.split(F.col(text), _ANY, -1))).withColumn(entities, F.when(some, proper)).drop(raw)
 
 
 def collisions(entities: DataFrame, key: str) -> DataFrame:
@@ -208,15 +224,16 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     """
     kind = F.when(F.col("kind").isin("man", "woman"), "man").otherwise(F.col("kind"))
     known = cut(entities.select("kind", "unit").distinct())
-    turns = known.select("kind", "unit", F.lit(0).alias("turn"))
+    turns = cut(known.select("kind", "unit", F.lit(0).alias("turn")))
     fewest, stalled = None, 0
     while True:
-        # The surrogates' expression is large; behind the checkpoint the plans below stay small.
+        # The surrogates' expression is large; behind the written table the plans below stay small.
         now = cut(turns.withColumn("new", surrogate(key, F.col("kind"), F.col("unit"), F.col("turn"))).withColumn("class", kind))
         clash = now.groupBy("class", "new").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low < high")
         taken = now.join(clash, ["class", "new"]).filter("unit > low").select("kind", "unit")
         real = now.join(known.select(F.col("unit").alias("new"), kind.alias("class")).distinct(), ["class", "new"], "left_semi").select("kind", "unit")
         again = cut(taken.union(real).distinct())
+        drop(now)
         left = again.count()
         if not left:
             return turns.filter("turn > 0")
@@ -225,30 +242,30 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
             kinds = sorted(r.kind for r in again.select("kind").distinct().collect())
             raise ValueError(f"too few surrogates of the kinds {', '.join(kinds)}: {left} entities have none of their own")
         step = again.withColumn("more", F.lit(1))
+        before = turns
         turns = cut(turns.join(step, ["kind", "unit"], "left").select("kind", "unit", (F.col("turn") + F.coalesce("more", F.lit(0))).alias("turn")))
+        drop(before, again)
 
 
 def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replaces the entities of ``text`` and adds ``n_entities``."""
-    spark = df.sparkSession
     columns = [c for c in df.columns if c != "n_entities"]
-    marked = found(df.select(*columns), text)
-    each = F.explode(F.flatten(F.transform("_found", lambda e: e.units))).alias("e")
-    listed = marked.filter("_found is not null").select(each).select("e.kind", "e.unit")
+    df = df.select(*columns)
+    parts, entities, row, turns = (unused(name, columns) for name in ("_parts", "_entities", "_row", "_turns"))
+    each = F.explode(F.flatten(F.transform("entities", lambda e: e.units))).alias("e")
+    listed = found(df.select(F.col(text).alias("text")), "text", "parts", "entities").filter("entities is not null")
+    listed = cut(listed.select(F.xxhash64("text").alias("row"), each).select("row", "e.kind", "e.unit").distinct())
     exceptions = cut(collisions(listed, key))
-    n = exceptions.count()
-    turn = lambda e: F.lit(0)
-    if n:
-        code = lambda e: F.concat_ws("\x1f", e["kind"], e["unit"])
-        marked = marked.withColumn("_row", F.xxhash64(text))
-        listed = marked.filter("_found is not null").select("_row", each).select("_row", code(F.col("e")).alias("code")).distinct()
-        turns = listed.join(exceptions.select(F.concat_ws("\x1f", "kind", "unit").alias("code"), "turn"), "code")
-        turns = cut(turns.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("code", "turn"))).alias("_turns")))
-        marked = marked.join(F.broadcast(turns) if turns.count() <= BROADCAST_ROWS else turns, "_row", "left")
-        turn = lambda e: F.coalesce(F.element_at("_turns", code(e)), F.lit(0))
+    anew = listed.join(exceptions, ["kind", "unit"])
+    code = lambda kind, unit: F.concat_ws("\x1f", kind, unit)
+    held = cut(anew.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct(code("kind", "unit"), "turn"))).alias(turns)))
+    drop(listed, exceptions)
+    # A hash stands for a text; where two texts share one, each finds its own entities among the turns of both.
+    marked = found(df.withColumn(row, F.xxhash64(text)).join(held, row, "left"), text, parts, entities)
+    turn = lambda u: F.coalesce(F.element_at(turns, code(u["kind"], u["unit"])), F.lit(0))
     made = lambda e: F.array_join(F.transform(e.units, lambda u: surrogate(key, u["kind"], u["unit"], turn(u))), " ")
-    news = F.transform("_found", lambda e: F.concat(e.lead, made(e)))
-    pieces = F.zip_with("_parts", news, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    out = F.when(F.col("_found").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text))
+    news = F.transform(entities, lambda e: F.concat(e.lead, made(e)))
+    pieces = F.zip_with(parts, news, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    out = F.when(F.col(entities).isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text))
     picked = [out.alias(c) if c == text else F.col(c) for c in columns]
-    return marked.select(*picked, F.coalesce(F.size("_found"), F.lit(0)).cast("int").alias("n_entities"))
+    return marked.select(*picked, F.coalesce(F.size(entities), F.lit(0)).cast("int").alias("n_entities"))
