@@ -38,16 +38,17 @@ TITLES = {
     "man": r"Mr|Mister|Herrn?|Monsieur|Sr|Señor|Don|господин|г-н|Κύριος|Κύριο",
     "woman": r"Mrs|Ms|Miss|Frau|Mme|Madame|Mademoiselle|Sra|Señora|Doña|госпожа|г-жа|Κυρία|Κα",
 }
-_TITLE = rf"(?<!\p{{L}})(?:{TITLES['man']}|{TITLES['woman']})\.? (?=\p{{Lu}}\p{{L}})"
+#: Each pattern first looks at the next character alone, as most places of a text fail there.
+_TITLE = rf"(?=[{''.join(sorted({t[0] for x in TITLES.values() for t in x.split('|')}))}])(?<!\p{{L}})(?:{TITLES['man']}|{TITLES['woman']})\.? (?=\p{{Lu}}\p{{L}})"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\b(?:token|password|secret|api_key) ?= ?\"?[A-Za-z0-9]{12,}",
-    "access": r"\bAKIA[A-Z0-9]{16}\b",
-    "ip": r"\b\d{1,3}(?:\.\d{1,3}){3}\b(?!\.\d)",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "card": r"\b\d{4}(?:[ \-]?\d{4}){3}\b",
-    "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}[.\-]\d{4}\b|\b\d{3}-\d{3}-\d{4}\b",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "email": r"(?=[A-Za-z0-9._%+\-])(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?=[tpsa])\b(?:token|password|secret|api_key) ?= ?\"?[A-Za-z0-9]{12,}",
+    "access": r"(?=A)\bAKIA[A-Z0-9]{16}\b",
+    "ip": r"(?=\d)\b\d{1,3}(?:\.\d{1,3}){3}\b(?!\.\d)",
+    "ssn": r"(?=\d)\b\d{3}-\d{2}-\d{4}\b",
+    "card": r"(?=\d)\b\d{4}(?:[ \-]?\d{4}){3}\b",
+    "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}[.\-]\d{4}\b|(?=\d)\b\d{3}-\d{3}-\d{4}\b",
+    "iban": r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "name": _TITLE + r"\p{Lu}[\p{L}'’\-]+(?: \p{Lu}(?:[\p{L}'’\-]+|\.(?= \p{Lu})))*",
 }
 # First names by gender and script, and syllables of surnames by script.
