@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom import vocab
-from stackloom.functions.text import first_nonempty, nonempty, safe_title
+from stackloom.functions.text import first_nonempty, nonempty, safe_title, strip
 
+# A citation, and an author's name behind a file title.
 MARKER = r"\[@([0-9a-f]{8,12})\]"
+NAME_BEHIND = r"_([一-龥]{2,4})$"
 
 
 def marked(sections: DataFrame) -> DataFrame:
@@ -41,14 +43,19 @@ def renumber(sections: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def short_authors(authors: Column, title: Column, chinese: Column) -> Column:
-    """Up to three authors and 'and others'; without any, the end of a file name, or unknown."""
-    names = F.filter(F.transform(F.split(F.coalesce(authors, F.lit("")), "[,，;；]"), lambda x: F.trim(x)), lambda x: x != "")
+    """Up to three authors and 'and others'; without any, the name behind a file title, or unknown."""
+    names = F.filter(F.transform(F.split(F.coalesce(authors, F.lit("")), "[,，;；]"), strip), lambda x: x != "")
     more = F.when(F.size(names) <= 3, "").when(chinese, ", 等").otherwise(", et al")
-    end = nonempty(F.regexp_extract(title, "_([^_]+)$", 1))
-    none = F.coalesce(F.concat(end, F.lit(", 等")), F.when(chinese, "作者不详").otherwise("Unknown"))
+    none = F.coalesce(F.concat(nonempty(F.regexp_extract(title, NAME_BEHIND, 1)), F.lit(", 等")), F.when(chinese, "作者不详").otherwise("Unknown"))
     return F.when(F.size(names) > 0, F.concat(F.array_join(F.slice(names, 1, 3), ", "), more)).otherwise(none)
 
 
+def best_title(title: Column, title_zh: Column, title_en: Column, chinese: Column) -> Column:
+    """The title in the document's language; else the file title without the name behind it."""
+    own = F.when(chinese, nonempty(title_zh)).otherwise(nonempty(title_en))
+    return F.coalesce(own, F.regexp_replace(title, NAME_BEHIND, ""), F.lit(""))
+
+
 def imprint(place: Column, publisher: Column, year: Column) -> Column:
     house = F.concat_ws(": ", nonempty(place), nonempty(publisher))
     whole = F.concat_ws(", ", nonempty(house), nonempty(year))
@@ -58,8 +65,9 @@ def imprint(place: Column, publisher: Column, year: Column) -> Column:
 def reference(n: Column, doc_id: Column, m) -> Column:
     """The reference line of a document; ``m(name)`` gives a column of its metadata."""
     code = vocab.code(m("doc_type"))
-    title = first_nonempty(m("title_zh"), m("title_en"), m("title"))
-    lead = F.concat(short_authors(m("authors"), m("title"), F.coalesce(m("language") == "zh", F.lit(False))), F.lit(". "))
+    chinese = first_nonempty(m("language"), F.lit("zh")) == "zh"
+    title = best_title(m("title"), m("title_zh"), m("title_en"), chinese)
+    lead = F.concat(short_authors(m("authors"), m("title"), chinese), F.lit(". "))
     optional = F.when(first_nonempty(m("authors")) != "", lead).otherwise("")
     dotted = lambda c: F.coalesce(F.concat(F.lit(" "), nonempty(c), F.lit(".")), F.lit(""))
     link = F.concat(F.lit(" [["), safe_title(m("title")), F.lit("_"), F.left(doc_id, F.lit(8)), F.lit("]]"))

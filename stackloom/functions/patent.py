@@ -45,9 +45,10 @@ APPLICANT = r"\(\s*71\s*\)\s*申请人\s*[:：]?\s*([^\n]+)"
 TITLE = r"\(\s*54\s*\)\s*(?:发明名称|实用新型名称|发明创造名称)\s*[:：]?\s*([^\n]*)"
 IPC = r"\b([A-H]\d{2}[A-Z]\s?\d{1,4}\s?/\s?\d{1,4})"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-# Years of protection by the first letter of the kind, and stages.
+# Years of protection by the first letter of the kind, and stages: of US and European patents, and by the first letter of others.
 TERM_YEARS = {"A": 20, "B": 20, "C": 20, "U": 10, "Y": 10, "S": 15}
 PENDING, GRANTED, UNKNOWN = "申请公开（审查中）", "已授权", "未知"
+STAGES = {"A": "申请公布（审查中）", "B": "发明专利已授权", "C": "发明专利已授权（更正）", "U": "实用新型已授权", "Y": "实用新型已授权", "S": "外观设计已授权"}
 
 
 def marks(head: Column) -> Column:
@@ -71,21 +72,25 @@ def stage(no: Column) -> Column:
     first = F.left(k, F.lit(1))
     us = F.when((first == "A") & (k != "A"), PENDING).otherwise(GRANTED)
     ep = F.when(first == "A", PENDING).otherwise(GRANTED)
-    other = F.when(first == "A", PENDING).when(first.isin("B", "C", "U", "Y", "S"), GRANTED).otherwise(UNKNOWN)
+    other = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv]), first), F.lit(UNKNOWN))
     return F.when(k == "", UNKNOWN).when(country == "US", us).when(country == "EP", ep).otherwise(other)
 
 
 def date_text(raw: Column) -> Column:
-    """YYYY-MM-DD from digits with any separator, or from a date with an English month; '' if out of range."""
-    tight = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", "")
-    split, solid, words = r"^(\d{4})[./\-](\d{1,2})[./\-](\d{1,2})", r"^(\d{4})(\d{2})(\d{2})", r"^([A-Za-z]{3})[A-Za-z]*\.?(\d{1,2}),(\d{4})"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(tight, words, 1))).cast("string")
-    part = lambda k: F.when(tight.rlike(split), F.regexp_extract(tight, split, k)).when(tight.rlike(solid), F.regexp_extract(tight, solid, k))
-    y = F.coalesce(part(1), F.regexp_extract(tight, words, 3))
-    m = F.coalesce(part(2), month)
-    d = F.coalesce(part(3), F.regexp_extract(tight, words, 2))
-    ok = m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31) & (y != "")
-    return F.when(ok, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise("")
+    """YYYY-MM-DD of the first date written in digits, with or without separators, or of an English one at the start.
+
+    '' where there is none, or where digits give no date of the years 1900 to 2100.
+    """
+    text = strip(F.coalesce(raw, F.lit("")))
+    words = r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})\s*,\s*(\d{4})"
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(F.regexp_extract(text, words, 1), F.lit(3))))
+    english = F.concat_ws("-", F.regexp_extract(text, words, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, words, 2), 2, "0"))
+    tight = F.regexp_replace(text, r"(?U)\s+", "")
+    split, solid = r"(\d{4})[./\-](\d{1,2})[./\-](\d{1,2})", r"(\d{4})(\d{2})(\d{2})"
+    y, m, d = (F.when(tight.rlike(split), F.regexp_extract(tight, split, k)).otherwise(F.regexp_extract(tight, solid, k)) for k in (1, 2, 3))
+    ok = y.try_cast("int").between(1900, 2100) & m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
+    digits = F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+    return F.when(text.rlike(r"^\p{L}"), F.when(month > 0, english).otherwise("")).when(ok, digits).otherwise("")
 
 
 def expiry(no: Column, filed: Column) -> Column:

@@ -20,6 +20,12 @@ def path(folder: Column, img: Column) -> Column:
     return F.concat_ws("/", F.nullif(F.regexp_replace(folder, "/+$", ""), F.lit("")), F.replace(img, F.lit("\\"), F.lit("/")))
 
 
+def below(img: Column, root: Column) -> Column:
+    """A file's path below ``root``, with plain slashes; a path elsewhere stays."""
+    plain, top = F.replace(img, F.lit("\\"), F.lit("/")), F.concat(F.regexp_replace(F.replace(root, F.lit("\\"), F.lit("/")), "/+$", ""), F.lit("/"))
+    return F.when(plain.startswith(top), F.substr(plain, F.length(top) + 1)).otherwise(plain)
+
+
 def title(blocks: DataFrame) -> DataFrame:
     """(doc_id, title): the first text block of level 1."""
     return blocks.filter("type = 'text' and text_level = 1 and trim(text) <> ''").groupBy("doc_id").agg(F.min_by(strip(F.col("text")), "pos").alias("title"))

@@ -117,3 +117,45 @@ def ledger(details: DataFrame, papers: DataFrame, doc_type: str, today: Column,
     if keyword:
         out = out.filter(F.lower(F.coalesce("number", F.lit(""))).contains(keyword.lower()) | F.lower("title").contains(keyword.lower()))
     return out.orderBy(F.desc("dated"), "doc_id")
+
+
+#: What a document's metadata holds beside its analysis, all as text.
+_DETAILS = ["title_zh", "title_en", "doi", "keywords", "publisher", "pub_place", "edition", "patent_no", "filing_date", "legal_status", "status_checked_at", "doc_no", "url", "effective_date"]
+
+
+def meta(papers: DataFrame, details: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row a paper: title, language, what its analysis says, and over that what its details say.
+
+    Of the papers in ``ids(id)`` in any state; without ids, or with an empty table of them, of all exported ones.
+    """
+    some = ids is not None and ids.limit(1).count() > 0
+    rows = papers.join(ids.select("id").distinct(), "id", "left_semi") if some else papers.filter("status = 'EXPORTED'")
+    own = details.select(F.col("doc_id").alias("id"), *[F.col(c).alias(f"d_{c}") for c in details.columns if c != "doc_id"])
+    have = set(details.columns)
+    detail = lambda c: F.col(f"d_{c}").cast("string") if c in have else F.lit(None).cast("string")
+    analysis = F.try_parse_json("result_json")
+    told = lambda c: F.try_variant_get(analysis, f"$.{c}", "string")
+    both = rows.join(own, "id", "left")
+    return both.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce("title", F.lit("")).alias("title"),
+        first_nonempty(F.col("language"), F.lit("zh")).alias("language"),
+        *[first_nonempty(detail(c), told(c)).alias(c) for c in ("authors", "journal", "year")],
+        first_nonempty(told("tldr")).alias("tldr"),
+        *[first_nonempty(detail(c)).alias(c) for c in _DETAILS],
+        first_nonempty(detail("doc_type"), F.lit(vocab.DEFAULT_TYPE)).alias("doc_type"),
+    )
+
+
+def evidence_totals(evidence: DataFrame, markers: DataFrame) -> DataFrame:
+    """One row: pieces of evidence, and cited documents (``markers(doc_id)``)."""
+    return evidence.agg(F.count("*").alias("evidence")).join(markers.agg(F.count_distinct("doc_id").alias("documents")), F.lit(True))
+
+
+def asset_files(assets: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
+    """``assets(img_path, ...)`` with ``file``: its path under the first of the ``roots`` that has it in ``files(path)``; '' if none."""
+    bare = F.regexp_replace("path", "^file:/*", "/")
+    under = [F.when(bare.startswith(r.rstrip("/") + "/"), F.struct(F.lit(k).alias("rank"), F.substr(bare, F.lit(len(r.rstrip("/")) + 2)).alias("img_path"))) for k, r in enumerate(roots)]
+    held = files.select(bare.alias("file"), F.explode(F.array_compact(F.array(*under))).alias("u")).select("u.rank", "u.img_path", "file")
+    best = held.groupBy("img_path").agg(F.min_by("file", "rank").alias("file"))
+    return assets.join(best, "img_path", "left").withColumn("file", F.coalesce("file", F.lit("")))

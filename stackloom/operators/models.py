@@ -36,6 +36,11 @@ def hashing_embedder(dim: int = 64) -> Embed:
     return embed
 
 
+def query_text(question: str, instruction: str = "") -> str:
+    """What is embedded for a question: with an instruction before it, as documents never have."""
+    return f"Instruct: {instruction}\nQuery: {question}" if instruction else question
+
+
 def embed(chunks: DataFrame, model: Embed, config: Config = DEFAULT) -> DataFrame:
     """(chunk_id, vector): vectors of length one, cut to ``embedding_dim`` where the model gives more."""
 

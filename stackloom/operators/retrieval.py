@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom import vocab
+from stackloom.checkpoints import running_total
 from stackloom.config import DEFAULT, Config
 from stackloom.functions.text import clamp_score
 
 
+#: Questions that meet the chunks in one broadcast.
+QUESTIONS = 512
+
+
+def allowed_types(corpus: str) -> list[str] | None:
+    """The document types that a corpus name stands for: none for all of them, or the type itself."""
+    known = [t for t, *_ in vocab.DOC_TYPES]
+    if corpus not in ("all", *known):
+        raise ValueError(f"corpus must be all or one of {', '.join(known)}, not {corpus}")
+    return None if corpus == "all" else [corpus]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -41,14 +58,20 @@ def search(chunks: DataFrame, query: list[float], k: int = DEFAULT.top_k, cap: i
 def gather(chunks: DataFrame, questions: DataFrame, recall: int, keep: int, cap: int = DEFAULT.max_per_doc) -> DataFrame:
     """(section, chunk_id, doc_id, score): hits of all ``questions(section, question, vector)``, best score of each chunk.
 
-    The questions are a stated query set, a handful for each section; they meet the chunks by a
-    broadcast whose size the caller bounds, and hits are cut to ``recall`` a question before the merge.
+    The questions are a stated query set.  They meet the chunks in blocks of about ``QUESTIONS``, each
+    by a broadcast of its own; hits are cut to ``recall`` a question before the merge.
     """
     asked = questions.select("section", "question", "vector")
-    both = chunks.join(F.broadcast(asked), F.size("embedding") == F.size("vector")).select("section", "question", "chunk_id", "doc_id", dot(F.col("embedding"), F.col("vector")).alias("score"))
+    n_blocks = -(-asked.count() // QUESTIONS)
     per_doc = Window.partitionBy("section", "question", "doc_id").orderBy(F.desc("score"), "chunk_id")
     per_question = Window.partitionBy("section", "question").orderBy(F.desc("score"), "chunk_id")
-    best = both.withColumn("_d", F.row_number().over(per_doc)).filter(F.col("_d") <= cap).withColumn("_q", F.row_number().over(per_question)).filter(F.col("_q") <= recall)
+
+    def hits(block: int) -> DataFrame:
+        own = asked.filter(F.pmod(F.xxhash64("section", "question"), F.lit(max(n_blocks, 1))) == block)
+        both = chunks.join(F.broadcast(own), F.size("embedding") == F.size("vector")).select("section", "question", "chunk_id", "doc_id", dot(F.col("embedding"), F.col("vector")).alias("score"))
+        return both.withColumn("_d", F.row_number().over(per_doc)).filter(F.col("_d") <= cap).withColumn("_q", F.row_number().over(per_question)).filter(F.col("_q") <= recall)
+
+    best = reduce(DataFrame.union, map(hits, range(max(n_blocks, 1))))
     merged = best.groupBy("section", "chunk_id", "doc_id").agg(F.max("score").alias("score"))
     return per_section(merged, keep)
 
@@ -66,23 +89,38 @@ def evidence(judged: DataFrame, least: int = DEFAULT.min_score, keep: int = DEFA
 
 
 def document_vectors(chunks: DataFrame) -> DataFrame:
-    """(doc_id, vector): the mean of a document's vectors, of length one unless it is zero."""
-    parts = chunks.filter(F.size("embedding") > 0).select("doc_id", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("doc_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    vector = F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    rows = means.groupBy("doc_id").agg(vector.alias("mean"))
+    """(doc_id, vector): the mean of a document's vectors, of length one unless it is zero.
+
+    Of vectors of several dimensions in one document, the dimension that most have counts.
+    """
+    usable = chunks.filter((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull()))
+    sized = usable.select("doc_id", F.size("embedding").alias("dim"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    means = sized.groupBy("doc_id", "dim").agg(Summarizer.mean(F.col("v")).alias("v"), F.count("*").alias("n"))
+    rows = means.groupBy("doc_id").agg(F.max_by(vector_to_array("v"), F.struct("n", "dim")).alias("mean"))
     norm = F.sqrt(dot(F.col("mean"), F.col("mean")))
     return rows.select("doc_id", norm.alias("norm"), "mean").select("doc_id", F.when(F.col("norm") > 0, F.transform("mean", lambda x: x / F.col("norm"))).otherwise(F.col("mean")).alias("vector"))
 
 
 def topic_prune(vectors: DataFrame, topic: list[float], most: int = 80, small: int = 10) -> DataFrame:
-    """Documents close to a topic: those above the lowest three tenths, ``most`` at most; all of a small set."""
-    told = vectors.withColumn("score", dot(F.col("vector"), F.array(*map(F.lit, topic))))
-    n = told.count()
+    """Documents close to a topic: those above the lowest three tenths, ``most`` at most; all of a small set.
+
+    The floor is the score at its rank over all documents, which range partitions count.
+    """
+    told = vectors.select("doc_id", dot(F.col("vector"), F.array(*map(F.lit, topic))).alias("score"))
+    order = ["score", "doc_id"]
+    ranked = running_total(told.repartitionByRange(*order), F.lit(1), order, "_rank")
+    n = ranked.count()
     if n <= small:
-        return told.select("doc_id", "score")
-    floor = told.orderBy("score", "doc_id").limit(n * 3 // 10 + 1).agg(F.max("score").alias("floor"))
-    return told.join(F.broadcast(floor), F.col("score") >= F.col("floor")).orderBy(F.desc("score"), "doc_id").limit(most).select("doc_id", "score")
+        return ranked.select("doc_id", "score")
+    floor = ranked.filter(F.col("_rank") == n * 3 // 10).select(F.col("score").alias("floor"))
+    return ranked.join(F.broadcast(floor), F.col("score") >= F.col("floor")).orderBy(F.desc("score"), "doc_id").limit(most).select("doc_id", "score")
+
+
+def digest_lines(meta: DataFrame, kept: DataFrame, longest: int = 300) -> DataFrame:
+    """(n, doc_id, line): what an outline is asked from, a line a kept document; numbers count all documents, so they have gaps."""
+    rows = running_total(meta.select("doc_id", "title", "year", "tldr").repartitionByRange("doc_id"), F.lit(1), ["doc_id"], "_before").withColumn("n", F.col("_before") + 1)
+    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] 《"), "title", F.lit("》("), F.coalesce(F.nullif("year", F.lit("")), F.lit("年份不详")), F.lit(") "), "tldr")
+    return rows.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select("n", "doc_id", F.left(line, F.lit(longest)).alias("line"))
 
 
 def figures(captions: DataFrame, config: Config = DEFAULT) -> DataFrame:

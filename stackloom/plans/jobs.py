@@ -31,15 +31,14 @@ def index(papers: DataFrame, meta: DataFrame, details: DataFrame, config: Config
     return made.withColumn("chunk_id", F.xxhash64("doc_id", "chunk_index"))
 
 
-def detect(head: Column, titles: bool = True) -> Column:
+def detect(head: Column) -> Column:
     """Type and fields of a document from its first page: patent before standard; '' if neither."""
-    p, s = patent.fields(head), standard.fields(head, titles)
+    p, s = patent.fields(head), standard.fields(head)
     empty = F.lit("")
-    name = s["title"] if titles else empty
     named = lambda f: F.when(p.isNotNull(), f[0]).when(s.isNotNull(), f[1]).otherwise("")
     out = {
         "doc_type": (F.lit("patent"), F.lit("standard")),
-        "title": (p["title"], name),
+        "title": (p["title"], s["title"]),
         "patent_no": (p["patent_no"], empty),
         "doc_no": (empty, s["doc_no"]),
         "filing_date": (p["filing_date"], empty),
@@ -51,14 +50,50 @@ def detect(head: Column, titles: bool = True) -> Column:
     return F.struct(*[F.coalesce(named(f), F.lit("")).alias(c) for c, f in out.items()])
 
 
-def rescan_types(papers: DataFrame, details: DataFrame, head_chars: int = DEFAULT.head_chars, titles: bool = True) -> DataFrame:
+def rescan_types(papers: DataFrame, details: DataFrame, head_chars: int = DEFAULT.head_chars) -> DataFrame:
     """(doc_id, old_type, new_type, changed): a dry run of the detectors over all exported papers."""
-    now = state.exported(papers).select(F.col("id").alias("doc_id"), detect(F.left("markdown", F.lit(head_chars)), titles)["doc_type"].alias("new_type"))
+    now = state.exported(papers).select(F.col("id").alias("doc_id"), detect(F.left("markdown", F.lit(head_chars)))["doc_type"].alias("new_type"))
     old = details.select("doc_id", "doc_type")
     rows = now.join(old, "doc_id", "left").select("doc_id", catalog.kind().alias("old_type"), "new_type")
     return rows.withColumn("changed", (F.col("new_type") != "") & (F.col("new_type") != F.col("old_type")))
 
 
+def rescan_summary(rescanned: DataFrame) -> DataFrame:
+    """One row of ``rescan_types``: scanned, found (of a type that a detector told), newly (of another type than before)."""
+    found = F.col("new_type") != ""
+    return rescanned.agg(F.count("*").alias("scanned"), F.count_if(found).alias("found"), F.count_if(found & F.col("changed")).alias("newly"))
+
+
+def note_metadata(papers: DataFrame) -> DataFrame:
+    """(id, title, language, doc_type and the detected fields): detectors over the whole text; a paper where they find nothing."""
+    told = papers.select("id", "title", "language", detect(F.coalesce("markdown", F.lit(""))).alias("d"))
+    fields = [f"d.{c}" for c in ("patent_no", "doc_no", "filing_date", "effective_date", "authors", "publisher", "year")]
+    return told.select("id", "title", "language", *fields, text.first_nonempty(F.col("d.doc_type"), F.lit(vocab.DEFAULT_TYPE)).alias("doc_type"))
+
+
+def process_new(files: DataFrame, known: DataFrame, parsed: DataFrame, analyses: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """The single pass over a folder: (new papers, ids processed after it).
+
+    ``files(id, path)`` that are not ``known(id)``, with their ``parsed(id, title, markdown)`` text and
+    ``analyses(id, result_json)``; a text that is too short fails, one without analysis stays parsed.
+    """
+    fresh = files.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
+    rows = fresh.join(parsed, "id", "left").join(analyses.dropDuplicates(["id"]), "id", "left")
+    short = text.too_short(F.col("markdown"), config.min_text_chars)
+    status = F.when(short, "RESULT_PARSE_FAILED").when(F.col("result_json").isNotNull(), "EXPORTED").otherwise("PARSED")
+    papers = rows.select("id", "path", "title", "markdown", F.when(~short, F.col("result_json")).alias("result_json"), status.alias("status"), F.when(short, "too little text").alias("error_message"))
+    done = papers.filter("status = 'EXPORTED'").select("id")
+    return papers, known.select("id").union(done).distinct()
+
+
+def outline_digest(papers: DataFrame, details: DataFrame, chunks: DataFrame, topic: list[float]) -> DataFrame:
+    """The lines that an outline is asked from: of exported papers close to the topic; without vectors, of all."""
+    meta = catalog.meta(papers, details)
+    vectors = retrieval.document_vectors(chunks.join(meta.select("doc_id"), "doc_id", "left_semi"))
+    near = retrieval.topic_prune(vectors, topic)
+    return retrieval.digest_lines(meta, near if near.limit(1).count() else meta)
+
+
 def enrich(papers: DataFrame, details: DataFrame, layout: DataFrame, today: Column, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New details, assets and references of the papers that need them."""
     todo = state.needs_enrich(papers, details, force=force).select(F.col("id").alias("doc_id"), "head")

@@ -163,12 +163,12 @@ def vector_topk_typed(spark, sf):
     return _rounded(retrieval.capped(hits, 24, 4).select("chunk_id", "doc_id", "score"))
 
 
-@query(_SCORED + f", best AS ({_CAP.format(src='hits')}) SELECT chunk_id, b.doc_id, coalesce(d.source || '_' || d.doc_id, '') AS title, score FROM best b LEFT JOIN documents d ON d.doc_id::VARCHAR = b.doc_id")
+@query(_SCORED + f", best AS ({_CAP.format(src='hits')}) SELECT chunk_id, b.doc_id, coalesce(nullif(t.title_zh, ''), nullif(t.title, ''), d.source || '_' || d.doc_id, '') AS title, score FROM best b LEFT JOIN documents d ON d.doc_id::VARCHAR = b.doc_id LEFT JOIN details t ON t.n::VARCHAR = b.doc_id")
 def vector_search_meta(spark, sf):
     own = papers(spark, sf).withColumn("id", F.col("doc_id").cast("string"))
     rows = chunks(spark, sf).withColumns({"section_title": F.lit(""), "content": F.lit("")})
-    none = details(spark, sf).limit(0)
-    return _rounded(jobs.search(rows, own, none, query_vector(spark, sf), 24).select("chunk_id", "doc_id", "title", "score"))
+    known = details(spark, sf).withColumn("doc_id", F.col("n").cast("string"))
+    return _rounded(jobs.search(rows, own, known, query_vector(spark, sf), 24).select("chunk_id", "doc_id", "title", "score"))
 
 
 @query(
@@ -194,7 +194,7 @@ def doc_mean_vectors(spark, sf):
 
 
 @query(
-    """, groups AS (SELECT vec_id % 40 AS doc_id, embedding FROM embeddings), parts AS (SELECT doc_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM groups),
+    """, parts AS (SELECT doc_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM chunks),
 means AS (SELECT doc_id, i, avg(x) AS x FROM parts GROUP BY ALL), norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM means GROUP BY ALL),
 topic AS (SELECT unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE vec_id = 7),
 s AS (SELECT m.doc_id, sum(m.x / n.norm * t.y) AS score FROM means m JOIN norms n ON n.doc_id = m.doc_id JOIN topic t ON t.i = m.i GROUP BY ALL),
@@ -202,8 +202,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY score, doc_id) AS k, count(*) OVER (
 SELECT doc_id, round(score, 6) AS score FROM r WHERE n <= 10 OR k > n * 3 // 10 ORDER BY score DESC LIMIT 80"""
 )
 def topic_prune(spark, sf):
-    grouped = table(spark, sf, "embeddings").select((F.col("vec_id") % 40).alias("doc_id"), "embedding")
-    return _rounded(retrieval.topic_prune(retrieval.document_vectors(grouped), query_vector(spark, sf)))
+    return _rounded(retrieval.topic_prune(retrieval.document_vectors(chunks(spark, sf)), query_vector(spark, sf)))
 
 
 @query(
@@ -325,9 +324,11 @@ def resolve_title(spark, sf):
     return catalog.resolve(details(spark, sf), papers(spark, sf), "Title 1")
 
 
-@query(f", j AS (SELECT d.*, coalesce(nullif(title_zh, ''), nullif(d.title, ''), nullif(p.title, ''), '') AS shown FROM details d LEFT JOIN papers p ON p.id = d.doc_id) SELECT doc_id, {_KIND} AS doc_type, shown AS title FROM j WHERE n = 43 AND {_KIND} = 'standard'")
+@query(f", j AS (SELECT d.*, coalesce(nullif(title_zh, ''), nullif(d.title, ''), nullif(p.title, ''), '') AS shown FROM details d LEFT JOIN papers p ON p.id = d.doc_id) SELECT doc_id, {_KIND} AS doc_type, shown AS title FROM j WHERE n = (SELECT min(doc_id) FROM labels WHERE doc_id % 8 = 3)")
 def resolve_number(spark, sf):
-    return catalog.resolve(details(spark, sf), papers(spark, sf), "GB/T43-2008", "standard")
+    own = details(spark, sf)
+    n = own.filter(catalog.kind() == "standard").agg(F.min("n")).first()[0]
+    return catalog.resolve(own, papers(spark, sf), f"gb/t{n}-2008", "standard")
 
 
 _HIT = " OR ".join(f"coalesce(contains({_LOWER.format(c)}, 'src1'), false)" for c in ("p.title", "d.title", "d.authors", "d.doi", "d.keywords"))
@@ -340,7 +341,7 @@ def keyword_search(spark, sf):
 
 @query(
     f""", j AS (SELECT d.*, coalesce(nullif(title_zh, ''), nullif(d.title, ''), nullif(p.title, ''), '') AS shown, CASE WHEN n % 3 = 0 THEN 10 ELSE 20 END AS years FROM details d LEFT JOIN papers p ON p.id = d.doc_id WHERE {_KIND} = 'patent')
-SELECT doc_id, patent_no AS number, shown AS title, filing_date AS dated, legal_status, status_checked_at, '已授权' AS stage,
+SELECT doc_id, patent_no AS number, shown AS title, filing_date AS dated, legal_status, status_checked_at, CASE WHEN n % 3 = 0 THEN '实用新型已授权' ELSE '发明专利已授权' END AS stage,
   strftime(filing_date::DATE + to_years(years), '%Y-%m-%d') AS expiry, strftime(filing_date::DATE + to_years(years), '%Y-%m-%d') < '{TODAY}' AS expired FROM j"""
 )
 def ledger_list(spark, sf):
@@ -464,7 +465,7 @@ _PAGES = [
 ]
 
 
-@query(" SELECT * FROM (VALUES (1, 'CN112856361B', '2019-06-03', '一种装置', '张三 李四', '东方大学', '已授权', '2039-06-03', 7), (2, 'US10123456B2', '2016-06-03', '', '', '', '已授权', '2036-06-03', 2)) t(page, patent_no, filing_date, title, inventors, assignee, stage, expiry, marks)", tables=False)
+@query(" SELECT * FROM (VALUES (1, 'CN112856361B', '2019-06-03', '一种装置', '张三 李四', '东方大学', '发明专利已授权', '2039-06-03', 7), (2, 'US10123456B2', '2016-06-03', '', '', '', '已授权', '2036-06-03', 2)) t(page, patent_no, filing_date, title, inventors, assignee, stage, expiry, marks)", tables=False)
 def patent_detect(spark, sf):
     rows = spark.createDataFrame(_PAGES, "page int, head string").select("page", patent.fields(F.col("head")).alias("f")).filter("f is not null")
     return rows.select("page", "f.patent_no", "f.filing_date", "f.title", "f.inventors", "f.assignee", "f.stage", "f.expiry", "f.marks")
@@ -488,9 +489,104 @@ def standard_detect(spark, sf):
     return rows.select("page", "f.doc_no", "f.title", "f.issued", "f.effective", "f.year", "f.issuer")
 
 
-@query(" SELECT id AS doc_id, 'paper' AS old_type FROM papers WHERE status = 'EXPORTED' AND markdown <> '' AND false")
+#: Covers put before some documents' texts, as the tables hold no patents and standards.
+PATENT_COVER = "(10)授权公告号 CN 112856361 B\n(21)申请号 201910472305.X\n(22)申请日 2019.06.03\n(54)发明名称\n一种装置\n"
+STANDARD_COVER = "中华人民共和国国家标准\nGB/T 1677-2008\n增塑剂环氧值的测定\n2008-05-15 发布 2008-11-01 实施\n"
+
+
+def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of which a tenth begin with a patent's title page and a tenth with a standard's cover."""
+    cover = F.when(F.col("doc_id") % 10 == 3, PATENT_COVER).when(F.col("doc_id") % 10 == 7, STANDARD_COVER).otherwise("")
+    return papers(spark, sf_dir).withColumn("markdown", F.concat(cover, "markdown"))
+
+
+_TOLD = "CASE doc_id % 10 WHEN 3 THEN 'patent' WHEN 7 THEN 'standard' ELSE '' END"
+_RESCAN = f", r AS (SELECT p.id AS doc_id, {_KIND} AS old_type, {_TOLD.replace('doc_id', 'p.doc_id')} AS new_type FROM papers p LEFT JOIN details d ON d.doc_id = p.id WHERE status = 'EXPORTED' AND (p.doc_id % 10 IN (3, 7) OR markdown <> ''))"
+
+
+@query(_RESCAN + " SELECT doc_id, old_type, new_type, new_type <> '' AND new_type <> old_type AS changed FROM r")
 def rescan_types(spark, sf):
-    return jobs.rescan_types(papers(spark, sf), details(spark, sf), titles=False).filter("changed").select("doc_id", "old_type")
+    return jobs.rescan_types(covered(spark, sf), details(spark, sf))
+
+
+@query(_RESCAN + " SELECT count(*) AS scanned, count(*) FILTER (new_type <> '') AS found, count(*) FILTER (new_type <> '' AND new_type <> old_type) AS newly FROM r")
+def rescan_summary(spark, sf):
+    return jobs.rescan_summary(jobs.rescan_types(covered(spark, sf), details(spark, sf)))
+
+
+@query(
+    """ SELECT id, title, language, CASE doc_id % 10 WHEN 3 THEN 'patent' WHEN 7 THEN 'standard' ELSE 'paper' END AS doc_type, CASE WHEN doc_id % 10 = 3 THEN 'CN112856361B' ELSE '' END AS patent_no,
+  CASE WHEN doc_id % 10 = 7 THEN 'GB/T 1677-2008' ELSE '' END AS doc_no, CASE WHEN doc_id % 10 = 3 THEN '2019-06-03' ELSE '' END AS filing_date, CASE WHEN doc_id % 10 = 7 THEN '2008-11-01' ELSE '' END AS effective_date,
+  CASE doc_id % 10 WHEN 3 THEN '2019' WHEN 7 THEN '2008' ELSE '' END AS year FROM papers"""
+)
+def note_metadata(spark, sf):
+    return jobs.note_metadata(covered(spark, sf)).select("id", "title", "language", "doc_type", "patent_no", "doc_no", "filing_date", "effective_date", "year")
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with an analysis: whole for most, broken for some, none for others."""
+    whole = F.to_json(F.struct(F.concat(F.lit("Auth "), F.col("doc_id").cast("string")).alias("authors"), F.lit("J").alias("journal"), F.lit(1999).alias("year"), F.lit("short").alias("tldr")))
+    return papers(spark, sf_dir).withColumn("result_json", F.when(F.col("doc_id") % 3 == 0, whole).when(F.col("doc_id") % 3 == 1, "{broken"))
+
+
+_META = """, meta AS (SELECT p.id AS doc_id, p.title, coalesce(nullif(p.language, ''), 'zh') AS language,
+  coalesce(nullif(d.authors, ''), CASE WHEN p.doc_id % 3 = 0 THEN 'Auth ' || p.doc_id END, '') AS authors, CASE WHEN p.doc_id % 3 = 0 THEN 'J' ELSE '' END AS journal,
+  coalesce(d.year, CASE WHEN p.doc_id % 3 = 0 THEN '1999' END, '') AS year, CASE WHEN p.doc_id % 3 = 0 THEN 'short' ELSE '' END AS tldr, coalesce(d.title_zh, '') AS title_zh,
+  coalesce(d.doi, '') AS doi, coalesce(d.patent_no, '') AS patent_no, coalesce(nullif(d.doc_type, ''), 'paper') AS doc_type, p.status, p.doc_id AS n FROM papers p LEFT JOIN details d ON d.doc_id = p.id)"""
+_META_COLUMNS = ["doc_id", "title", "language", "authors", "journal", "year", "tldr", "title_zh", "doi", "patent_no", "doc_type"]
+
+
+@query(_META + f" SELECT {', '.join(_META_COLUMNS)} FROM meta WHERE status = 'EXPORTED'")
+def paper_meta(spark, sf):
+    return catalog.meta(_analysed(spark, sf), details(spark, sf)).select(*_META_COLUMNS)
+
+
+@query(_META + f" SELECT {', '.join(_META_COLUMNS)} FROM meta WHERE n % 5 = 0")
+def paper_meta_of_ids(spark, sf):
+    own = _analysed(spark, sf)
+    return catalog.meta(own, details(spark, sf), own.filter("doc_id % 5 = 0").select("id")).select(*_META_COLUMNS)
+
+
+@query(
+    _META
+    + """, m AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM meta WHERE status = 'EXPORTED')
+SELECT k AS n, doc_id, left('[' || k || '] 《' || title || '》(' || coalesce(nullif(year, ''), '年份不详') || ') ' || tldr, 300) AS line FROM m WHERE n % 2 = 0"""
+)
+def outline_lines(spark, sf):
+    own = _analysed(spark, sf)
+    return retrieval.digest_lines(catalog.meta(own, details(spark, sf)), own.filter("doc_id % 2 = 0").select(F.col("id").alias("doc_id")))
+
+
+#: Reference lines of all labelled documents: eight types, both languages, with and without each part.
+_PARTS = {
+    "language": ("CASE WHEN n % 2 = 0 THEN 'zh' ELSE 'en' END", lambda n: F.when(n % 2 == 0, "zh").otherwise("en")),
+    "file_title": ("'File ' || n || CASE WHEN n % 3 = 0 THEN '_张三丰' ELSE '' END", lambda n: F.concat(F.lit("File "), n.cast("string"), F.when(n % 3 == 0, "_张三丰").otherwise(""))),
+    "title_en": ("CASE WHEN n % 7 < 3 THEN 'Title ' || n ELSE '' END", lambda n: F.when(n % 7 < 3, F.concat(F.lit("Title "), n.cast("string"))).otherwise("")),
+    "names": ("CASE n % 4 WHEN 0 THEN '' WHEN 1 THEN 'Li A' WHEN 2 THEN 'Li A，Wu B; Xu C' ELSE 'Li A, Wu B, Xu C；Yu D' END", lambda n: F.when(n % 4 == 0, "").when(n % 4 == 1, "Li A").when(n % 4 == 2, "Li A，Wu B; Xu C").otherwise("Li A, Wu B, Xu C；Yu D")),
+    "publisher": ("CASE WHEN n % 5 < 3 THEN 'House' ELSE '' END", lambda n: F.when(n % 5 < 3, "House").otherwise("")),
+    "pub_place": ("CASE WHEN n % 11 < 6 THEN 'Town' ELSE '' END", lambda n: F.when(n % 11 < 6, "Town").otherwise("")),
+    "journal": ("CASE WHEN n % 13 < 8 THEN 'Journal' ELSE '' END", lambda n: F.when(n % 13 < 8, "Journal").otherwise("")),
+    "edition": ("CASE WHEN n % 17 < 9 THEN '2nd ed' ELSE '' END", lambda n: F.when(n % 17 < 9, "2nd ed").otherwise("")),
+    "url": ("CASE WHEN n % 19 < 9 THEN 'http://x/' || n ELSE '' END", lambda n: F.when(n % 19 < 9, F.concat(F.lit("http://x/"), n.cast("string"))).otherwise("")),
+}
+_CODES = " ".join(f"WHEN '{t}' THEN '{c}'" for t, c, *_ in vocab.DOC_TYPES)
+
+
+@query(
+    f""", d AS (SELECT * EXCLUDE (doc_type, doi), {_KIND} AS doc_type, coalesce(doi, '') AS doi, {', '.join(f'{x} AS {c}' for c, (x, _) in _PARTS.items())} FROM details),
+e AS (SELECT *, CASE WHEN language = 'zh' AND title_zh <> '' THEN title_zh WHEN language = 'en' AND title_en <> '' THEN title_en ELSE replace(file_title, '_张三丰', '') END AS best,
+  CASE doc_type {_CODES} END AS code, CASE n % 4 WHEN 1 THEN 'Li A' WHEN 2 THEN 'Li A, Wu B, Xu C' WHEN 3 THEN 'Li A, Wu B, Xu C, ' || if(language = 'zh', '等', 'et al')
+    ELSE CASE WHEN doc_type IN ('standard', 'web') THEN '' WHEN n % 3 = 0 THEN '张三丰, 等' WHEN language = 'zh' THEN '作者不详' ELSE 'Unknown' END END AS who,
+  CASE WHEN publisher <> '' AND pub_place <> '' THEN ' Town: House, 2010.' WHEN publisher <> '' THEN ' House, 2010.' WHEN pub_place <> '' THEN ' Town, 2010.' ELSE ' 2010.' END AS printed FROM d),
+f AS (SELECT *, '[' || n || '] ' || CASE WHEN who = '' THEN '' ELSE who || '. ' END || best AS lead FROM e)
+SELECT doc_id, lead || CASE code WHEN 'M' THEN '[M].' || CASE WHEN edition <> '' THEN ' 2nd ed.' ELSE '' END || printed WHEN 'P' THEN ': ' || patent_no || '[P]. ' || filing_date || '.'
+    WHEN 'S' THEN ': ' || doc_no || '[S].' || printed WHEN 'EB/OL' THEN '[EB/OL]. 2010.' || CASE WHEN url <> '' THEN ' ' || url || '.' ELSE '' END WHEN 'J' THEN '[J].' || CASE WHEN journal <> '' THEN ' Journal, 2010.' ELSE ' 2010.' END || CASE WHEN doi <> '' THEN ' DOI: ' || doi || '.' ELSE '' END
+    ELSE '[' || code || '].' || printed END || CASE WHEN code IN ('M', 'EB/OL') THEN '' ELSE ' [[' || file_title || '_' || left(doc_id, 8) || ']]' END AS line FROM f"""
+)
+def reference_lines(spark, sf):
+    rows = details(spark, sf).withColumns({c: f(F.col("n")) for c, (_, f) in _PARTS.items()})
+    rows = rows.withColumns({"authors": F.col("names"), "title": F.col("file_title"), "doc_type": catalog.kind()})
+    return rows.select("doc_id", citations.reference(F.col("n"), F.col("doc_id"), F.col).alias("line"))
 
 
 _SECTIONS = [(1, "One [@aaaaaaaa] and [@bbbbbbbb]. Bad [@cccccccc] and [@aaaaaaaa1]."), (2, "Again [@bbbbbbbb], then [@dddddddd].")]
@@ -518,7 +614,7 @@ def citation_filter(spark, sf):
     return jobs.assemble(*_review(spark))[0]
 
 
-@query(" SELECT * FROM (VALUES ('[1] Li A, Wu B, Xu C, et al. First_Li[J]. Journal, 2001. DOI: 10.1/x. [[First_Li_aaaaaaaa]]'), ('[2] Unknown. 第二[M]. 2002.'), ('[3] Ma E. Third[P]. 2003. [[Third_dddddddd]]')) t(line)", tables=False)
+@query(" SELECT * FROM (VALUES ('[1] Li A, Wu B, Xu C, et al. First_Li[J]. Journal, 2001. DOI: 10.1/x. [[First_Li_aaaaaaaa]]'), ('[2] Unknown. Second[M]. 2002.'), ('[3] Ma E. Third[P]. 2003. [[Third_dddddddd]]')) t(line)", tables=False)
 def format_reference(spark, sf):
     return jobs.assemble(*_review(spark))[1].select("line")
 

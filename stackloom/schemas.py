@@ -27,6 +27,7 @@ DETAILS = _schema(
 ASSETS = _schema("doc_id, asset_type, img_path, caption, page_idx int")
 REFERENCES = _schema("doc_id, ref_index int, raw_text")
 EVENTS = _schema("ts, mode, event, title, doc_id, status, error, count long, completed long, failed long")
+IDS = _schema("id")
 DEFAULTS = {"doc_type": "paper", "n_figures": 0, "n_tables": 0, "n_refs": 0, "section_title": ""}
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 from stackloom import schemas
 from stackloom.functions.text import nonempty
 
+# An ISBN, and a year.
+ISBN = r"ISBN[\s:：]*([0-9][0-9\-\s]{8,16}[0-9Xx])"
+YEAR = r"(19|20)\d{2}"
 EMPTY = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -92,11 +95,44 @@ def outline(lines: DataFrame) -> DataFrame:
     return told.filter(F.col("line").startswith("- ") & (F.col("section_no") > 0)).select("section_no", "section", F.trim(F.substr("line", F.lit(3))).alias("question"))
 
 
+def outline_title(lines: DataFrame) -> DataFrame:
+    """One row (title) of an outline in small Markdown: its last line with one #; null where there is none."""
+    text = F.trim("line")
+    return lines.filter(text.startswith("# ")).agg(F.max_by(F.trim(F.substr(text, F.lit(3))), "pos").alias("title"))
+
+
+def outline_json(text: DataFrame) -> DataFrame:
+    """(title, section_no, section, question) of outlines ``text(value)`` in JSON; a section without questions has a null one."""
+    kind = "title string, sections array<struct<heading:string,questions:array<string>>>"
+    told = text.select(F.from_json("value", kind).alias("o")).select("o.title", F.posexplode("o.sections").alias("k", "s"))
+    return told.select("title", (F.col("k") + 1).alias("section_no"), F.col("s.heading").alias("section"), F.explode_outer("s.questions").alias("question"))
+
+
+def book_meta(path: Column, head: Column) -> Column:
+    """Title, ISBN and year of a book by its file's name and the first pages."""
+    name = F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
+    found = lambda p, k: F.regexp_extract(F.coalesce(head, F.lit("")), p, k)
+    return F.struct(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("title"), F.trim(found(ISBN, 1)).alias("isbn"), found(YEAR, 0).alias("year"), F.lit("book").alias("doc_type"))
+
+
 def json_object(text: Column) -> Column:
-    """JSON of a model's answer: the whole text, or what stands between the outer braces; null if neither parses."""
-    whole = F.try_parse_json(text)
-    inner = F.try_parse_json(nonempty(F.regexp_extract(text, r"(?s)(\{.*\})", 1)))
-    return F.coalesce(whole, inner)
+    """JSON of a model's answer: the whole text, or the first object in it whose braces balance; null if neither parses.
+
+    Braces inside strings do not count.
+    """
+    inside = F.substr(text, F.instr(text, "{"))
+    tokens = F.regexp_extract_all(inside, F.lit(r'"(?:[^"\\]|\\.)*"|["{}]|[^"{}]+'), F.lit(0))
+    # depth: open braces; -1 once the object has ended, or a string that never ends has begun.
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("whole"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = F.when(s["depth"] < 0, -1).when(t == '"', -1).when(t == "{", s["depth"] + 1).when(t == "}", s["depth"] - 1).otherwise(s["depth"])
+        ended = (s["depth"] == 1) & (t == "}")
+        size = F.when(s["depth"] < 0, s["size"]).otherwise(s["size"] + F.length(t))
+        return F.struct(F.when(ended, -1).otherwise(depth).alias("depth"), size.alias("size"), (s["whole"] | ended).alias("whole"))
+
+    found = F.aggregate(tokens, state, step, lambda s: F.when(s["whole"], F.left(inside, s["size"])))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.when(F.instr(text, "{") > 0, found)))
 
 
 def epub_package(opf: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom import schemas
 from stackloom.functions.text import first_nonempty, safe_title
 
 
@@ -53,3 +54,9 @@ def review(sections: DataFrame, references: DataFrame, title: str) -> DataFrame:
     body = sections.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_no", "title", "markdown"))), lambda s: F.concat(F.lit("## "), s["section_no"].cast("string"), F.lit(". "), s["title"], F.lit("\n\n"), s["markdown"])), "\n\n").alias("body"))
     refs = references.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("refs"))
     return body.join(refs, F.lit(True)).select(F.concat(F.lit(f"# {title}\n\n"), "body", F.lit("\n\n## 参考文献\n\n"), "refs").alias("content"))
+
+
+def save_ids(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Adds the ids of ``new(id)`` to the stored table of processed ids, each once."""
+    kept = schemas.load(spark, path, schemas.IDS)
+    swap(kept.union(new.select("id")).filter("id is not null").distinct(), path)

@@ -221,3 +221,103 @@ def test_digest_numbers_over_many_partitions(spark):
             spark.conf.set(k, v)
     assert len(got) == 10_000
     assert all(r.n == int(r.id) + 1 for r in got)
+
+
+def test_chunks_follow_the_stated_rules():
+    """Expected chunks written out by hand: sentences stripped, packed by line ends, overlap from a sentence's start."""
+    sentence = "Sentence number one is here."
+    got = chunking.split(f"{sentence} " * 12, 100, 0)
+    assert [c for _, c in got] == ["\n ".join([sentence] * 3)] * 4
+    assert all(c == c.strip() for _, c in got)
+    # Overlap: the last 40 characters of the chunk before, from behind the first sentence end in them.
+    tail = "\n Sentence number one is here."
+    got = [c for _, c in chunking.split(f"{sentence} " * 6, 100, 40)]
+    assert got == ["\n ".join([sentence] * 3), tail + "\n" + "\n ".join([sentence] * 3)]
+    # A chunk before that is shorter than the overlap is repeated whole.
+    got = chunking.split("# H\n" + "a" * 45 + "\n\n" + "b" * 99, 100, 60)
+    assert got == [("H", "H\n" + "a" * 45), ("H", "H\n" + "a" * 45 + "\n" + "b" * 99)]
+    # Paragraphs are packed, joined by one line end; a small chunk takes in the next; bare text is cut by length.
+    assert chunking.split("p" * 40 + "\n\n" + "q" * 40 + "\n\n" + "r" * 90, 100, 0) == [("", "p" * 40 + "\n" + "q" * 40), ("", "r" * 90)]
+    assert chunking.split("s" * 30 + "\n\n" + "t" * 95, 100, 0) == [("", "s" * 30 + "\n" + "t" * 95)]
+    assert [len(c) for _, c in chunking.split("u" * 120 + "\n" + "v" * 310, 100, 0)] == [120, 100, 100, 100]
+    # No overlap across headings; the heading stands before its text; short ends are dropped.
+    got = chunking.split("## A\n" + "x" * 60 + "\n## B\n" + "y" * 60 + "\n## C\nz", 100, 20)
+    assert got == [("A", "A\n" + "x" * 60), ("B", "B\n" + "y" * 60)]
+
+
+def test_json_of_answers(spark):
+    cases = {
+        'so {"a": "}{", "b": {"c": "\\""}} and {"d": 1}': '{"a":"}{","b":{"c":"\\""}}',
+        "[1, 2]": "[1,2]",
+        "{open": None,
+        "none": None,
+        '{"a": "never ends}': None,
+        "} {\"e\": 2} tail }": '{"e":2}',
+        "{not json} {\"f\": 3}": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", files.json_object(F.col("t")).cast("string").alias("j")).collect()
+    assert {r.t: r.j for r in rows} == cases
+
+
+def test_dates_and_stages(spark):
+    dates = {"2019 .06 .03": "2019-06-03", "2021.03.08": "2021-03-08", "Mar. 8, 2021": "2021-03-08", "March 18 , 2021": "2021-03-18", "no 2021.03.08": "", "(2021/3/8)": "2021-03-08", "20210308": "2021-03-08", "1899.01.01": "", "2101.01.01": "", "2020.13.01": "", "": "", "Foo 3, 2020": ""}
+    rows = spark.createDataFrame([(k,) for k in dates], "t string").select("t", patent.date_text(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in rows} == dates
+    stages = {"CN1A": "申请公布（审查中）", "CN1B": "发明专利已授权", "CN1C": "发明专利已授权（更正）", "CN1U": "实用新型已授权", "CN1S": "外观设计已授权", "US1B2": "已授权", "US1A1": "申请公开（审查中）", "US1A": "已授权", "EP1A1": "申请公开（审查中）", "EP1B1": "已授权", "CN1": "未知", "": "未知", "JP1X": "未知"}
+    rows = spark.createDataFrame([(k,) for k in stages], "t string").select("t", patent.stage(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == stages
+
+
+def test_standard_titles(spark):
+    from stackloom.functions import standard
+
+    covers = [
+        (1, "中华人民共和国国家标准\nGB 1886.64-2015\n食 品 安 全 国 家 标 准\n食品添加剂 焦糖色\nNational food additive caramel colour\n2015-11-13发布\n2016-05-13实施", "食品安全国家标准 食品添加剂 焦糖色", "National food additive caramel colour"),
+        (2, "中华人民共和国国家标准\n代替 GB/T 1-1981\n犌犅／犜 1-2008\n犲犲犲犲犲\n中华人民共和国国家标准\n某某名称标准\n2008-05-15发布", "某某名称标准", ""),
+    ]
+    rows = spark.createDataFrame([c[:2] for c in covers], "k int, head string").select("k", standard.fields(F.col("head")).alias("f")).collect()
+    assert [(r.f.title, r.f.title_en) for r in sorted(rows, key=lambda r: r.k)] == [c[2:] for c in covers]
+
+
+def test_small_pieces(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    sinks.save_ids(spark, path, ids("b", "a", None))
+    sinks.save_ids(spark, path, ids("a", "c"))
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    assert retrieval.allowed_types("all") is None and retrieval.allowed_types("book") == ["book"]
+    with pytest.raises(ValueError):
+        retrieval.allowed_types("novel")
+    assert models.query_text("q", "do") == "Instruct: do\nQuery: q" and models.query_text("q") == "q"
+    assert one(spark, blocks.below(F.lit("/out/b\\i\\x.png"), F.lit("/out/b/"))) == "i/x.png"
+    book = one(spark, files.book_meta(F.lit("/d/My.Book.pdf"), F.lit("ISBN：978-7-04-012345-6\n出版 2019 年")))
+    assert (book.title, book.isbn, book.year) == ("My.Book", "978-7-04-012345-6", "2019")
+    outline = spark.createDataFrame([('{"title": "T", "sections": [{"heading": "S1", "questions": ["q1", "q2"]}, {"heading": "S2", "questions": []}]}',)], "value string")
+    assert [tuple(r) for r in files.outline_json(outline).orderBy("section_no", "question").collect()] == [("T", 1, "S1", "q1"), ("T", 1, "S1", "q2"), ("T", 2, "S2", None)]
+    lines = spark.createDataFrame([(0, "# Old"), (1, "# New "), (2, "## S")], "pos int, line string")
+    assert files.outline_title(lines).first().title == "New"
+    assets = spark.createDataFrame([("a/1.png",), ("b/2.png",), ("c/3.png",)], "img_path string")
+    found = spark.createDataFrame([("file:/two/a/1.png",), ("/one/a/1.png",), ("/two/b/2.png",)], "path string")
+    got = {r.img_path: r.file for r in catalog.asset_files(assets, found, ["/one", "/two/"]).collect()}
+    assert got == {"a/1.png": "/one/a/1.png", "b/2.png": "/two/b/2.png", "c/3.png": ""}
+    totals = catalog.evidence_totals(spark.range(5), spark.createDataFrame([("x",), ("x",), ("y",)], "doc_id string")).first()
+    assert (totals.evidence, totals.documents) == (5, 2)
+
+
+def test_single_pass(spark):
+    scanned = spark.createDataFrame([("a", "p1"), ("a", "p1"), ("b", "p2"), ("c", "p3"), ("k", "p4")], "id string, path string")
+    parsed = spark.createDataFrame([("a", "A", "x" * 300), ("b", "B", "short"), ("c", "C", "y" * 300)], "id string, title string, markdown string")
+    analyses = spark.createDataFrame([("a", "{}"), ("b", "{}")], "id string, result_json string")
+    papers, done = jobs.process_new(scanned, spark.createDataFrame([("k",)], "id string"), parsed, analyses)
+    assert {r.id: r.status for r in papers.collect()} == {"a": "EXPORTED", "b": "RESULT_PARSE_FAILED", "c": "PARSED"}
+    assert {r.id for r in done.collect()} == {"a", "k"}
+
+
+def test_questions_meet_chunks_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame([(k, f"d{k % 9}", rng.normal(size=4).tolist()) for k in range(60)], "chunk_id long, doc_id string, embedding array<double>")
+    asked = spark.createDataFrame([(k % 3, k, rng.normal(size=4).tolist()) for k in range(12)], "section long, question long, vector array<double>")
+    want = sorted(map(tuple, retrieval.gather(chunks, asked, 6, 8).collect()))
+    monkeypatch.setattr(retrieval, "QUESTIONS", 3)
+    assert sorted(map(tuple, retrieval.gather(chunks, asked, 6, 8).collect())) == want
+    assert retrieval.gather(chunks, asked.limit(0), 6, 8).count() == 0
