@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stackloom.checkpoints import cut, drop
 
-#: A key is hot if it has more than this share of all rows, so there are ``HOT`` hot keys at most.
-HOT = 200
+#: A key is hot if it has more than one in ``HOT`` of all rows and more than ``LEAST``; so there are fewer hot keys than ``HOT``.
+HOT = 100
+LEAST = 500
 
 
 def unused(name: str, *taken: list[str]) -> str:
@@ -19,25 +20,24 @@ def unused(name: str, *taken: list[str]) -> str:
     return name
 
 
-def hot_keys(sizes: DataFrame, *keys: str, times: str = "times") -> DataFrame:
-    """The hot ones of ``sizes(*keys, times)``, which has a row a key.  ``HOT`` rows at most."""
-    total = sizes.agg((F.sum(times) / HOT).alias("_least"))
-    return sizes.join(F.broadcast(total), F.col(times) > F.col("_least")).select(*keys)
+def hot_keys(sizes: DataFrame, *keys: str, times: str = "times") -> list[int]:
+    """Hashes of the hot keys of ``sizes(*keys, times)``, which has a row a key: less than ``HOT``, however many rows there are."""
+    total = sizes.agg(F.sum(times)).first()[0] or 0
+    return [r[0] for r in sizes.filter(F.col(times) > max(total / HOT, LEAST)).select(F.xxhash64(*keys)).collect()]
 
 
-def spread_join(rows: DataFrame, table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table``, which has a row a key; rows of the ``hot`` keys are dealt over all partitions.
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: list[int], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row a key; rows of the ``hot`` keys are dealt over many tasks.
 
-    The keys are the columns of ``hot``.  A hot key's row of ``table`` is copied for each partition; hot
-    keys are few, so their list is broadcast.
+    A hot key's row of ``table`` is copied for each of these, ``HOT`` times at most.
     """
-    keys = hot.columns
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    few = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    dealt = rows.join(few, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(n))).otherwise(0)).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
-    copied = table.join(few, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+    if not hot:
+        return rows.join(table, keys, how)
+    n = max(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), HOT), 1)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(n))).otherwise(0))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    return dealt.join(table.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -50,19 +50,19 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     degree = both.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("times"))
-    hubs = cut(hot_keys(degree, "id"))
+    hubs = hot_keys(degree, "id")
     label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        met = spread_join(both.select("a", F.col("b").alias("id")), label, hubs)
+        met = spread_join(both.select("a", F.col("b").alias("id")), label, ["id"], hubs)
         seen = met.groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
         near = cut(label.join(seen, "id").select("id", F.least("component", "seen").alias("near"), F.col("component").alias("old")))
         roots = hot_keys(near.groupBy("near").agg(F.count("*").alias("times")), "near")
         top = near.select(F.col("id").alias("near"), F.col("near").alias("far"))
-        step = cut(spread_join(near, top, roots, "left").select("id", F.least("near", F.coalesce("far", "near")).alias("component"), "old"))
+        step = cut(spread_join(near, top, ["near"], roots, "left").select("id", F.least("near", F.coalesce("far", "near")).alias("component"), "old"))
         drop(near, label)
         moved = step.filter(F.col("component") != F.col("old")).limit(1).count()
         label = step.select("id", "component")
         label._written = step._written
         if not moved:
-            drop(both, hubs)
+            drop(both)
             return label

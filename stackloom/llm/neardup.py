@@ -125,15 +125,15 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["a", "b", "far"]).filter(pa.array(far <= MAX_DIFFERENT))
 
 
-def _often(pairs: DataFrame, k: str) -> DataFrame:
-    """Ids that very many of the ``pairs`` have."""
+def _often(pairs: DataFrame, k: str) -> list[int]:
+    """Hashes of the ids that very many of the ``pairs`` have."""
     return hot_keys(pairs.groupBy(k).agg(F.count("*").alias("times")), k)
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the written table ``pairs(a, b)`` that sizes and signatures allow, with their distance."""
     side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}"))
-    both = spread_join(spread_join(pairs, side("a"), _often(pairs, "a")), side("b"), _often(pairs, "b"))
+    both = spread_join(spread_join(pairs, side("a"), ["a"], _often(pairs, "a")), side("b"), ["b"], _often(pairs, "b"))
     both = both.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     return both.select("a", "b", "s_a", "s_b").mapInArrow(tidied(_distances), "a long, b long, far int")
 
@@ -156,7 +156,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the written table ``pairs(a, b)`` whose full shingle sets are similar enough."""
     text = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"text_{k}"))
     pairs = pairs.select("a", "b")
-    both = spread_join(spread_join(pairs, text("b"), _often(pairs, "b")), text("a"), _often(pairs, "a")).select("a", "b", "text_a", "text_b")
+    both = spread_join(spread_join(pairs, text("b"), ["b"], _often(pairs, "b")), text("a"), ["a"], _often(pairs, "a")).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(tidied(_compare), "a long, b long")
 
 
@@ -226,12 +226,12 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clustered_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b), a spanning forest, among the ``members(key, id, n)`` of large keys."""
     first = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("times"))
-    stars = spread_join(members.select("key", "id"), first.drop("times"), hot_keys(first, "key"))
+    stars = spread_join(members.select("key", "id"), first.drop("times"), ["key"], hot_keys(first, "key"))
     cluster = components(stars.filter("a < id").select("a", F.col("id").alias("b")).distinct())
     sized = cut(cluster.join(members.select("id", "n").distinct(), "id"))
     most = F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)
     parts = cut(sized.groupBy("component").agg(F.ceil(most).cast("long").alias("parts"), F.count("*").alias("times")))
-    met = spread_join(sized, parts.drop("times"), hot_keys(parts, "component")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    met = spread_join(sized, parts.drop("times"), ["component"], hot_keys(parts, "component")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select(F.col("component").alias("cluster"), F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "id")
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -255,12 +255,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = chunk_keys(classes).withColumn("turn", F.xxhash64("id", "key"))
     held = keys.groupBy("key").agg(F.min("turn").alias("picked"), F.count("*").alias("members")).filter("members > 1")
     held = cut(held)
-    hot = cut(hot_keys(held, "key", times="members"))
-    shared = cut(spread_join(keys, held, hot))
+    hot = hot_keys(held, "key", times="members")
+    shared = cut(spread_join(keys, held, ["key"], hot))
     drop(held)
 
     hubs = shared.filter("turn = picked").select("key", F.col("id").alias("hub"))
-    stars = spread_join(shared.select("key", "id"), hubs, hot).filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    stars = spread_join(shared.select("key", "id"), hubs, ["key"], hot).filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     stars = cut(stars)
     first = cut(_near(stars, classes))
     drop(stars)
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = shared.select("key", "id", "n", "members").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = cut(split)
     torn = split.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    torn = cut(spread_join(split, torn, hot))
+    torn = cut(spread_join(split, torn, ["key"], hot))
     drop(shared, split, label)
     large = torn.filter(F.col("members") > LARGE).select("key", "id", "n")
     if large.limit(1).count():
@@ -285,11 +285,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = cut(left.join(right, ["key", "size"]).filter("a < b and c_a != c_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti"))
     near = cut(_near(pairs, classes))
     links = links.union(cut(confirm(near, docs).distinct()))
-    drop(torn, pairs, near, nearest, hot)
+    drop(torn, pairs, near, nearest)
     label = components(links)
 
     named = classes.join(label, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    out = spread_join(sets.drop("signature"), named, hot_keys(classes, *same), "left")
+    out = spread_join(sets.drop("signature"), named, same, hot_keys(classes, *same), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -158,7 +158,7 @@ def _sources(rows: DataFrame) -> DataFrame:
     first = rows.groupBy(*_SAME).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
     first = cut(first.select(*_SAME, "times", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start")))
     later = (F.col("doc_id") != F.col("source_id")) | (F.col("start") != F.col("source_start"))
-    return spread_join(rows, first.drop("times"), hot_keys(first, *_SAME)).filter(later)
+    return spread_join(rows, first.drop("times"), _SAME, hot_keys(first, *_SAME)).filter(later)
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def copies(docs: DataFrame) -> DataFrame:
     seeds = cut(texts.mapInArrow(tidied(_seed_rows), "seed long, place long, doc_id long"))
     twice = seeds.groupBy("seed").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("times")).filter("low < high")
     twice = cut(twice.select("seed", "times"))
-    holders = spread_join(seeds.select("seed", "doc_id"), twice.select("seed"), hot_keys(twice, "seed"))
+    holders = spread_join(seeds.select("seed", "doc_id"), twice.select("seed"), ["seed"], hot_keys(twice, "seed"))
     spans = copied.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("copied"))
     unsure = cut(holders.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")).join(spans, "doc_id", "left"))
     drop(seeds, twice)

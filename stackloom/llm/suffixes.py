@@ -191,7 +191,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = cut(told.groupBy(*same).agg(F.min(F.struct("doc_id", "seeds")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")))
     seeds = classes.select(F.col("low").alias("doc_id"), F.explode("first.seeds").alias("seed"))
     twice = cut(seeds.groupBy("seed").agg(F.count("*").alias("times")).filter("times > 1"))
-    wanted = cut(spread_join(seeds, twice.select("seed"), hot_keys(twice, "seed")).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
+    wanted = cut(spread_join(seeds, twice.select("seed"), ["seed"], hot_keys(twice, "seed")).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
     drop(twice)
     suffixes = texts.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(tidied(_suffixes), "right binary, left binary, doc_id long, at int")
     order = ["right", "doc_id", "at"]
@@ -213,14 +213,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     keys = ["key_a", "key_b"]
     places = windows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("start").alias("first"), F.max("start").alias("last"), F.count_if("open").alias("times"))
     places = cut(places.filter("times > 0 and (low < high or first < last)").select(*keys, "low", "high", "times"))
-    hidden = spread_join(windows.filter("open").select(*keys, "doc_id", "start"), places.drop("times"), hot_keys(places, *keys)).select("doc_id", "start", "low", "high")
+    hidden = spread_join(windows.filter("open").select(*keys, "doc_id", "start"), places.drop("times"), keys, hot_keys(places, *keys)).select("doc_id", "start", "low", "high")
     more = hidden.select("doc_id", "start", F.lit(LENGTH).alias("n_words"), F.explode(F.array("low", "high")).alias("other_id"))
     spans = cut(_by_doc(pairs.select("doc_id", "start", "n_words", "other_id").union(more)))
     drop(pairs, windows, places)
     all_of = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("n_words")))
     class_spans = classes.select(*same, "low", "high", "times").join(spans.withColumnRenamed("doc_id", "low"), "low", "left")
     class_spans = cut(class_spans.filter("low < high or spans is not null"))
-    out = spread_join(told.select("doc_id", *same).distinct(), class_spans.drop("times"), hot_keys(class_spans, *same))
+    out = spread_join(told.select("doc_id", *same).distinct(), class_spans.drop("times"), same, hot_keys(class_spans, *same))
     copied = F.col("low") < F.col("high")
     chosen = F.when(copied, all_of).otherwise(F.col("spans"))
     partners = F.when(copied, F.sort_array(F.array_distinct(F.concat(F.coalesce("partner_ids", F.array().cast("array<long>")), F.array(F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))))))).otherwise(F.col("partner_ids"))

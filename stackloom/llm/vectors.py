@@ -217,7 +217,7 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.select("id", "weight", *same).join(links, "id", "left").join(label, "id", "left")
     named = named.select(*same, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = spread_join(rows.drop("vector"), named, hot_keys(classes, *same, times="weight"), "left")
+    out = spread_join(rows.drop("vector"), named, same, hot_keys(classes, *same, times="weight"), "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -384,3 +384,20 @@ def test_secrets_without_digits_and_long_names(spark):
     assert re.fullmatch(r"key AKIA[A-Z]{16} here", out[2].text) and "ABCDEFGHIJ" not in out[2].text
     long, again = re.fullmatch(r"Mr\. \w+ \w+ (\w+) met Frau \w+ \w+ \w+\. Mr\. (\w+) left", out[3].text).groups()
     assert long == again != "Kowalski" and not re.search("Jan|Kowalski|Weber", out[3].text)
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    """Joins and components give the same rows where keys are split, with several keys, nulls and outer rows."""
+    from stackloom.llm import _jobs
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, "x" if k % 2 else None, k) for k in range(300)] + [(None, "x", 400)], "a long, b string, v long")
+    table = spark.createDataFrame([(k, b, f"{k}{b}") for k in range(5) for b in ("x", "y")], "a long, b string, w string")
+    monkeypatch.setattr(_jobs, "LEAST", 10)
+    hot = _jobs.hot_keys(rows.groupBy("a", "b").agg(F.count("*").alias("times")), "a", "b")
+    assert 0 < len(hot) <= _jobs.HOT
+    for how in ("inner", "left"):
+        got = sorted(map(str, _jobs.spread_join(rows, table, ["a", "b"], hot, how).collect()))
+        assert got == sorted(map(str, rows.join(table, ["a", "b"], how).collect()))
+    links = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 340)] + [(340, 350), (350, 5)]
+    got = {r.id: r.component for r in _jobs.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == components({x for link in links for x in link}, links)
