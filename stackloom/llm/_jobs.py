@@ -31,10 +31,9 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: list[in
 
     A hot key's row of ``table`` is copied for each of these, ``HOT`` times at most.
     """
-    if not hot:
-        return rows.join(table, keys, how)
     n = max(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), HOT), 1)
-    is_hot = F.xxhash64(*keys).isin(hot)
+    # Without hot keys a hash that hardly any key has stands in, so that the plan is the same at every size.
+    is_hot = F.xxhash64(*keys).isin(hot or [0])
     dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(n))).otherwise(0))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
     return dealt.join(table.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
