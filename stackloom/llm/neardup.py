@@ -1,7 +1,7 @@
 """Near-duplicate documents by a multi-index Hamming join of MinHash signatures (operator 2).
 
-A document's set is its distinct 4-word shingles (words between ASCII white space, A-Z folded); two
-documents are linked if 100 * |intersection| >= 80 * |union|.  Equal sets are one class from the
+A document's set is its distinct shingles of ``size`` words, five unless the caller asks for another
+size (words between ASCII white space, A-Z folded; shorter texts are one shingle); two documents are linked if 100 * |intersection| >= 80 * |union|.  Equal sets are one class from the
 start.  A class has a signature of ``CHUNKS * WIDTH`` symbols of 16 bits, one MinHash each, split into
 chunks.  By pigeonhole, of two signatures that differ in less than 2 * ``CHUNKS`` symbols, some chunk
 differs in one symbol at most; so for every chunk each single error is enumerated, by a key over the
@@ -25,6 +25,7 @@ gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from stackloom.llm._jobs import components, hot_keys, spread_join
 from stackloom.llm._trees import joined
 from stackloom.llm._words import Words, blocks, mix, signed, tidied
 
-SHINGLE = 4
+SHINGLE = 5
 PERCENT = 80
 CHUNKS, WIDTH = 8, 5
 MAX_DIFFERENT = 24
@@ -72,29 +73,29 @@ def shingle_sets(w: Words, size: int = SHINGLE) -> list[np.ndarray]:
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("signature", T.BinaryType())])
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, to, w in blocks(batch.column(1), lower=True):
-            sets = shingle_sets(w)
-            size = np.array([len(x) for x in sets])
-            full = np.flatnonzero(size)
+            sets = shingle_sets(w, size)
+            count = np.array([len(x) for x in sets])
+            full = np.flatnonzero(count)
             a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             marks = [b""] * len(sets)
             if len(full):
                 flat = np.concatenate(sets)
-                first = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+                first = np.concatenate([[0], np.cumsum(count[full])[:-1]])
                 a[full] = np.add.reduceat(flat, first)
                 b[full] = np.add.reduceat(mix(flat ^ _XOR[0]), first)
                 low = np.stack([np.minimum.reduceat((flat ^ x) * m, first) for x, m in zip(_XOR, _ODD)], 1)
                 for row, raw in zip(full.tolist(), (mix(low) >> np.uint64(48)).astype(np.uint16)):
                     marks[row] = raw.tobytes()
             ids = batch.column(0).slice(at, to - at)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(signed(a)), pa.array(signed(b)), pa.array(marks, pa.binary())], names=_SETS.names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(signed(a)), pa.array(signed(b)), pa.array(marks, pa.binary())], names=_SETS.names)
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Set size, two set hashes and signature of every whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_describe), _SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(partial(_describe, size=size)), _SETS)
 
 
 def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +139,11 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "s_a", "s_b").mapInArrow(tidied(_distances), "a long, b long, far int")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            sets = [[s for _, _, w in blocks(part.column(c), lower=True) for s in shingle_sets(w)] for c in (2, 3)]
+            sets = [[s for _, _, w in blocks(part.column(c), lower=True) for s in shingle_sets(w, size)] for c in (2, 3)]
             keep = []
             for x, y in zip(*sets):
                 both = np.concatenate([x, y])
@@ -152,12 +153,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Those of the written table ``pairs(a, b)`` whose full shingle sets are similar enough."""
     text = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"text_{k}"))
     pairs = pairs.select("a", "b")
     both = spread_join(spread_join(pairs, text("b"), ["b"], _often(pairs, "b")), text("a"), ["a"], _often(pairs, "a")).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(tidied(_compare), "a long, b long")
+    return both.mapInArrow(tidied(partial(_compare, size=size)), "a long, b long")
 
 
 def links_within(sets: list[np.ndarray], part: np.ndarray, pair: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +197,7 @@ def links_within(sets: list[np.ndarray], part: np.ndarray, pair: tuple[int, int]
     return hit, root[hit]
 
 
-def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cluster(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, part_a, part_b, part, id, text) come sorted; those of one task may span batches."""
     held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
     key = None
@@ -210,7 +211,7 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-        sets = [s for _, _, w in blocks(batch.column(5), lower=True) for s in shingle_sets(w)]
+        sets = [s for _, _, w in blocks(batch.column(5), lower=True) for s in shingle_sets(w, size)]
         edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
             mine = tuple(keys[a].tolist())
@@ -223,7 +224,7 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compare()
 
 
-def clustered_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+def clustered_links(members: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links (a, b), a spanning forest, among the ``members(key, id, n)`` of large keys."""
     first = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("times"))
     stars = spread_join(members.select("key", "id"), first.drop("times"), ["key"], hot_keys(first, "key"))
@@ -237,17 +238,17 @@ def clustered_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     keys = ["cluster", "part_a", "part_b"]
     rows = met.join(text, "id").select(*keys, "part", "id", "text").repartition(*keys).sortWithinPartitions(*keys)
-    out = cut(rows.mapInArrow(tidied(_cluster), "a long, b long").distinct())
+    out = cut(rows.mapInArrow(tidied(partial(_cluster, size=size)), "a long, b long").distinct())
     drop(cluster, sized, parts)
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the smallest id in the row's connected component of links.
     """
-    sets = cut(describe(docs))
+    sets = cut(describe(docs, size))
     same = ["set_a", "set_b", "n"]
     # Equal sets have equal signatures, so any one of them serves.
     classes = sets.filter("n > 0 and doc_id is not null").groupBy(*same)
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drop(stars)
     ends = first.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "far")
     nearest = cut(ends.groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
-    links = cut(confirm(nearest, docs).distinct())
+    links = cut(confirm(nearest, docs, size).distinct())
     drop(first)
     label = components(links)
 
@@ -277,14 +278,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drop(shared, split, label)
     large = torn.filter(F.col("members") > LARGE).select("key", "id", "n")
     if large.limit(1).count():
-        links = links.union(clustered_links(large, docs))
+        links = links.union(clustered_links(large, docs, size))
     small = torn.filter(F.col("members") <= LARGE)
-    size = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
-    left = small.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), size.alias("size"))
-    right = small.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
-    pairs = cut(left.join(right, ["key", "size"]).filter("a < b and c_a != c_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti"))
+    grade = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
+    left = small.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), grade.alias("grade"))
+    right = small.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.explode(F.array(grade - 1, grade, grade + 1)).alias("grade"))
+    pairs = cut(left.join(right, ["key", "grade"]).filter("a < b and c_a != c_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti"))
     near = cut(_near(pairs, classes))
-    links = links.union(cut(confirm(near, docs).distinct()))
+    links = links.union(cut(confirm(near, docs, size).distinct()))
     drop(torn, pairs, near, nearest)
     label = components(links)
 
@@ -294,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-#: DuckDB SQL for the rows of ``near_duplicates`` over a relation ``documents``.
+#: DuckDB SQL for the rows of ``near_duplicates`` with 4-word shingles over a relation ``documents``.
 SQL = r"""
 WITH RECURSIVE nd_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

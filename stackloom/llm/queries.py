@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, privacy, quality, rlz, suffixes, toxicity, vectors
 
 BPE_FILE = "word_bpe_49k.json"
+#: Words of a shingle in ``op2_minhash``.
+OP2_SHINGLE = 4
 #: The key of the surrogates; a real run passes a secret one of its own.
 PRIVACY_KEY = "stackloom"
 
@@ -27,7 +29,7 @@ def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), OP2_SHINGLE)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,21 +49,21 @@ def lowered(text):
     return words((text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
-def shingles(text):
+def shingles(text, size):
     w = lowered(text)
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("large", [24, 3])
-def test_near_duplicates(spark, monkeypatch, large):
+@pytest.mark.parametrize(("large", "size"), [(24, 4), (3, 4), (3, 5)])
+def test_near_duplicates(spark, monkeypatch, large, size):
     monkeypatch.setattr(neardup, "LARGE", large)
     monkeypatch.setattr(neardup, "PART", 7)
     docs = corpus(1)
-    sets = {d: shingles(t) for d, t in docs if d is not None}
+    sets = {d: shingles(t, size) for d, t in docs if d is not None}
     ids = sorted(sets)
     links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components(ids, links)
-    out = neardup.near_duplicates(spark.createDataFrame(docs, DOCS).withColumn("n", F.lit("clash")).withColumn("id", F.lit(1))).collect()
+    out = neardup.near_duplicates(spark.createDataFrame(docs, DOCS).withColumn("n", F.lit("clash")).withColumn("id", F.lit(1)), size).collect()
     assert len(out) == len(docs)
     for r in out:
         if r.doc_id is None:
@@ -316,7 +316,7 @@ def test_pipeline(spark, tmp_path):
     known = [d for d in labels if d in texts]
     right = sum((labels[d] == 1) == (d not in kept["toxicity"]) for d in known)
     assert right / len(known) > 0.97
-    sets = {d: shingles(texts[d]) for d in kept["toxicity"]}
+    sets = {d: shingles(texts[d], 5) for d in kept["toxicity"]}
     ids = sorted(sets)
     links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and len(sets[a]) * 5 >= len(sets[b]) * 4 and len(sets[b]) * 5 >= len(sets[a]) * 4 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = {d for d, c in components(ids, links).items() if d == c}
