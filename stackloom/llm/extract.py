@@ -15,6 +15,7 @@ through (existing ``text`` and ``n_chars`` are replaced); an empty table gives a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -30,8 +31,6 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style title template noscript textarea select svg math iframe object canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements nested deeper than this are read as if they were not there, but for hidden ones.
-DEPTH = 300
 SCOPE = frozenset("table td th ul ol dl div section article main aside nav header footer form body".split())
 #: Words in class, id and role, by what they say of an element.
 HINTS = {
@@ -59,46 +58,78 @@ def hints(value: str) -> frozenset[str]:
     return frozenset(_HINT[w] for w in [*whole, *parts] if w in _HINT)
 
 
+class _Open:
+    """An open element; ``path`` holds its block-level ancestors and itself, ``depth`` and ``scope`` count such elements."""
+
+    __slots__ = ("tag", "path", "depth", "scope")
+
+    def __init__(self, tag: str, path: tuple, depth: int, scope: int):
+        self.tag, self.path, self.depth, self.scope = tag, path, depth, scope
+
+
+_ROOT = _Open("", (), 0, 0)
+
+
+def extended(path: tuple, entry: tuple[str, frozenset[str]]) -> tuple:
+    """``path`` and ``entry``; of equal entries the last two stay, so that deep nesting costs no more than varied nesting.
+
+    No feature looks further: they are sets, the nearest entry with a hint, and the last two of some tags.
+    """
+    same = [k for k, x in enumerate(path) if x == entry]
+    return (*path, entry) if len(same) < 2 else (*path[: same[0]], *path[same[0] + 1 :], entry)
+
+
 class _Blocks(HTMLParser):
     """Leaf blocks as (text, path, link characters); a path is a tuple of (tag, hints)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, tuple, int]] = []
-        self.path: list[tuple[str, frozenset[str]]] = []
+        self.open: list[_Open] = []
+        #: How many elements are open by tag, by scope and tag, and inline ones by depth and tag: searches that would fail are not begun.
+        self.count: Counter = Counter()
         self.text: list[str] = []
         self.links = self.hidden = self.anchors = 0
 
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else _ROOT
+
     def flush(self) -> None:
         if self.text:
             words = "".join(self.text).split()
             if words:
-                self.blocks.append((" ".join(words), tuple(x for x in self.path if x[0] not in INLINE), self.links))
+                self.blocks.append((" ".join(words), self.top().path, self.links))
             self.text, self.links = [], 0
 
+    def counted(self, x: _Open, by: int) -> None:
+        for key in (x.tag, ("scope", x.scope, x.tag), ("inline", x.depth, x.tag)):
+            self.count[key] += by
+        self.hidden += by * (x.tag in HIDDEN)
+        self.anchors += by * (x.tag == "a")
+
     def cut(self, k: int) -> None:
-        self.hidden -= sum(t in HIDDEN for t, _ in self.path[k:])
-        self.anchors -= sum(t == "a" for t, _ in self.path[k:])
-        del self.path[k:]
+        while len(self.open) > k:
+            self.counted(self.open.pop(), -1)
+
+    def find(self, tags: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element with one of the ``tags``, which there must be."""
+        return next(k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag in tags)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
             if tag == "body":
                 self.cut(0)
-            ends = CLOSES.get(tag, ())
-            for k in range(len(self.path) - 1, -1, -1):
-                t = self.path[k][0]
-                if t == "p" or t in ends:
-                    self.cut(k)
-                    if t == "p":
-                        continue
-                    break
-                if t in SCOPE:
+            ends = {"p", *CLOSES.get(tag, ())}
+            while any(self.count["scope", self.top().scope, t] for t in ends):
+                k = self.find(ends)
+                found = self.open[k].tag
+                self.cut(k)
+                if found != "p":
                     break
         elif tag == "br":
             self.text.append(" ")
-        if tag in VOID or len(self.path) >= DEPTH and tag not in HIDDEN:
+        if tag in VOID:
             return
         said = frozenset()
         for name, value in attrs:
@@ -106,19 +137,17 @@ class _Blocks(HTMLParser):
                 said |= hints(value)
             elif name == "hidden" or name == "style" and value and "display:none" in value.replace(" ", ""):
                 said |= {"notice"}
-        self.path.append((tag, said))
-        self.hidden += tag in HIDDEN
-        self.anchors += tag == "a"
+        above = self.top()
+        block = tag not in INLINE
+        made = _Open(tag, extended(above.path, (tag, said)) if block else above.path, above.depth + block, above.scope + (tag in SCOPE))
+        self.open.append(made)
+        self.counted(made, 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.path) - 1, -1, -1):
-            if self.path[k][0] == tag:
-                self.cut(k)
-                return
-            if tag in INLINE and self.path[k][0] not in INLINE:
-                return
+        if self.count["inline", self.top().depth, tag] if tag in INLINE else self.count[tag]:
+            self.cut(self.find({tag}))
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -162,7 +191,7 @@ def block_features(k: int, n: int, text: str, links: int) -> tuple[str, ...]:
         f"end {end}",
         f"size and links {min(4, int(log2(words)) // 2)} {share} {end}",
         f"place {min(3, k)} {min(3, n - 1 - k)}",
-        f"sign {'©' in text[:40]}",
+        f"sign {'©' in text}",
     )
 
 
@@ -266,7 +295,7 @@ def train(pages: list[tuple[list, list[int]]], steps: int = 120, rate: float = 0
 MARK = "\x01"
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[list, list[int]]]:
+def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[list, list[int]]]:
     """Pages of varied layouts with the label of every leaf block, known as the pages are made."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[int(rng.integers(len(x)))]
@@ -285,7 +314,12 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[list, list[int]]]:
     def prose(a: int = 1, b: int = 6) -> str:
         return " ".join(sentence() for _ in range(int(rng.integers(a, b + 1))))
 
+    def code() -> str:
+        return pick("css", "c", "sc", "x", word()) + "-" + "".join(pick(*"abcdefghkmnpqrstuvwxyz0123456789") for _ in range(int(rng.integers(2, 7))))
+
     def attr(*names: str) -> str:
+        if opaque:
+            return f' class="{code()}"' if names and chance(0.8) else ""
         return f' {pick("class", "id", "class")}="{pick(*names)}"' if names and chance(0.85) else ""
 
     def links(a: int, b: int, tag: str = "li") -> str:
@@ -295,7 +329,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[list, list[int]]]:
         return pick(" | ", " ", " › ").join(rows)
 
     def boxed(names: tuple, tags: tuple, inner: str) -> str:
-        tag = pick(*tags)
+        tag = pick("div", "div", "div", "section") if opaque else pick(*tags)
         return f"<{tag}{attr(*names) if tag in ('div', 'section', 'td', 'p', 'ul') or chance(0.4) else ''}>{inner}</{tag}>"
 
     def junk(kind: str) -> str:
@@ -338,7 +372,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[list, list[int]]]:
         if chance(0.85):
             out.append(f"<h1>{good(pick(words(2, 10), sentence(3, 12)))}</h1>")
         for k in range(int(rng.integers(1, 12))):
-            what = pick(*["p"] * 8, "b", "h", "list", "quote", "table", "div")
+            what = pick(*["p"] * 8, "b", "h", "list", "quote", "table", "div", "pre")
             if what == "p":
                 out.append(f"<p>{good(prose(1, 7))}" + pick("</p>", "</p>", ""))
             elif what == "b":
@@ -350,6 +384,8 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[list, list[int]]]:
                 out.append("<ul>" + "".join(f"<li>{good(pick(words(1, 8), sentence()))}</li>" for _ in range(rows)) + "</ul>")
             elif what == "quote":
                 out.append(f"<blockquote>{good(prose(1, 3))}</blockquote>")
+            elif what == "pre":
+                out.append(f"<pre>{good(words(1, 4))} = {word()}({word()})</pre>")
             elif what == "table":
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{good(words(1, 3))}</td>" for _ in range(3)) + "</tr>" for _ in range(int(rng.integers(1, 4)))) + "</table>")
             else:
@@ -358,16 +394,22 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[list, list[int]]]:
                 out.append(junk(pick("ad", "share", "more", "form", "notice", "side")))
         return "".join(out)
 
+    def shell() -> str:
+        """Classes of wrappers; some hold a word that says nothing of what is inside."""
+        names = pick("wrapper", "container", "row", "col-8", "page", "layout", "grid", "inner", code(), code(), "nav-content", "menu-open", "with-sidebar", "no-sidebar", "footer-fixed", "has-comments")
+        return pick("", f' class="{names}"', f' class="{names}"', f' id="{names}"', ' role="main"' if chance(0.3) else "")
+
     pages = []
     while len(pages) < n:
         style = pick(*["plain"] * 6, "bars", "signs", "shout", "bare")
-        tag = pick("article", "article", "article", "main", "div", "div", "td")
+        opaque = chance(0.2)  # classes say nothing, and few elements do
+        tag = pick("div", "div", "div", "section", "main") if opaque else pick("article", "article", "article", "main", "div", "div", "td")
         names = ("article", "content", "post", "entry-content", "story", "main")
         head = "".join(junk(k) for k in ("notice", "top", "nav", "ad", "form") if chance({"nav": 0.8, "top": 0.5, "ad": 0.5}.get(k, 0.25)))
-        tail = "".join(junk(k) for k in ("share", "talk", "more", "side", "ad", "form", "notice", "foot") if chance({"foot": 0.85, "talk": 0.4, "side": 0.4}.get(k, 0.2)))
+        tail = "".join(junk(k) for k in ("share", "talk", "more", "side", "ad", "form", "notice", "foot") if not (opaque and k in ("talk", "side", "notice")) and chance({"foot": 0.85, "talk": 0.4, "side": 0.4}.get(k, 0.2)))
         side = junk("side") if chance(0.25) else ""
         inner = content()
-        if chance(0.15):
+        if chance(0.15) and not opaque:
             inner += junk("talk")
         if chance(0.1):
             inner = junk("share") + inner
@@ -376,7 +418,16 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[list, list[int]]]:
             main = f"<main>{main}</main>"
         if tag == "td":
             main = f"<table><tr>{boxed(('sidebar', 'menu'), ('td',), links(2, 6))}{main}</tr></table>"
-        blocks = leaf_blocks(f"<html><head><title>{words(2, 8)}</title></head><body>{head}{side}{main}{tail}</body></html>")
+        page = ""
+        around = int(rng.integers(0, 4)) if chance(0.5) else 0
+        whole = int(rng.integers(0, around + 1))  # so many wrappers hold the whole page, the others the main part
+        for k in range(around + 1):
+            if k == around - whole:
+                page = f"{head}{side}{page or main}{tail}"
+            if k < around:
+                outer = pick("div", "div", "section")
+                page = f"<{outer}{shell()}>{page or main}</{outer}>"
+        blocks = leaf_blocks(f"<html><head><title>{words(2, 8)}</title></head><body>{page}</body></html>")
         labels = [int(MARK in x[0]) for x in blocks]
         if any(labels):
             pages.append(([(x[0].replace(MARK, ""), x[1], x[2]) for x in blocks], labels))
