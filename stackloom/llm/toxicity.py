@@ -9,7 +9,11 @@ Features are hashed lower-case words and word prefixes, counted once a text; onl
 clearly commoner among positives than in unlabelled text get a weight, never below zero, so that much harmless text
 around a toxic passage does not hide it.  The fit uses
 ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled texts at most, picked by a hash of the id;
-every row is scored.
+every row is scored.  Spark counts the features of these texts; the driver gets one count for each of the
+``2**BITS`` features at most, and of the texts the chosen features alone.
+
+``from_labels`` takes the share of label 1 among the labels outside the held-out fold as prior, kept
+between ``LEAST_PRIOR`` and ``MOST_PRIOR``, so that few labels of one kind alone give a model as well.
 
 Null and empty texts have no features and score the bias alone (in 0..1, below 0.5 for a prior below
 a half); with no positives every score is 0.  Repeated rows score alike; other columns pass through,
@@ -23,10 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackloom.checkpoints import cut, drop
 from stackloom.llm import _sample
 from stackloom.llm._words import Words, blocks, byte_spans, freed, tidied
 
@@ -34,6 +40,7 @@ MAX_POSITIVE = 1500
 MAX_UNLABELLED = 6000
 BITS = 18
 MIN_LIFT = 2.0
+LEAST_PRIOR, MOST_PRIOR = 1e-3, 0.5
 PREFIXES = (4, 5, 6)
 
 
@@ -71,17 +78,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
 
 
+def chosen(count: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
+    """The features, sorted, that are clearly commoner among positives.
+
+    ``count`` has a row for each of positives and unlabelled texts, ``texts`` is how many there are.
+    """
+    share = [(c + 0.5) / (n + 1) for c, n in zip(count, texts)]
+    return np.flatnonzero((count[0] >= max(2, min(5, texts[0] // 20))) & (np.log(share[0] / share[1]) > MIN_LIFT))
+
+
 def fit_arrays(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 150, rate: float = 0.1) -> Model:
     """Each text is an array of distinct features."""
-    if not positive or not unlabelled:
-        return Model(np.empty(0, np.int64), np.empty(0, np.float32), -745.0)
     count = np.zeros((2, 1 << BITS), np.int64)
     for k, texts in enumerate((positive, unlabelled)):
         for x in texts:
             count[k, x] += 1
-    share = [(c + 0.5) / (len(x) + 1) for c, x in zip(count, (positive, unlabelled))]
-    lift = np.log(share[0] / share[1])
-    index = np.flatnonzero((count[0] >= max(2, min(5, len(positive) // 20))) & (lift > MIN_LIFT))
+    return fit_chosen(chosen(count, (len(positive), len(unlabelled))), positive, unlabelled, prior, steps, rate)
+
+
+def fit_chosen(index: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 150, rate: float = 0.1) -> Model:
+    """Weights of the features ``index``; features of the texts that are not in it are passed over."""
+    if not positive or not unlabelled:
+        return Model(np.empty(0, np.int64), np.empty(0, np.float32), -745.0)
     place = np.full(1 << BITS, -1, np.int32)
     place[index] = np.arange(len(index), dtype=np.int32)
 
@@ -112,12 +130,27 @@ def fit_arrays(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
 
 
 def _text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(positive, unlabelled, found) of rows (text, positive, unlabelled): the distinct features of each text."""
     for batch in batches:
-        for at, to, w in blocks(batch.column(1), lower=True, letters=True):
+        for at, to, w in blocks(batch.column(0), lower=True, letters=True):
             rows, found = once(*features(w))
-            cut = np.searchsorted(rows, np.arange(to - at + 1))
-            lists = [found[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(lists, pa.binary())], names=["doc_id", "found"])
+            cut_at = np.searchsorted(rows, np.arange(to - at + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cut_at), pa.array(found.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, to - at), batch.column(2).slice(at, to - at), lists], names=["positive", "unlabelled", "found"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, positives, unlabelled): in how many texts of the partition, by kind."""
+    count = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        found = batch.column(2)
+        sizes = found.value_lengths().to_numpy(zero_copy_only=False)
+        flat = found.flatten().to_numpy()
+        for k in (0, 1):
+            of_kind = np.repeat(batch.column(k).to_numpy(zero_copy_only=False).astype(bool), sizes)
+            count[k] += np.bincount(flat[of_kind], minlength=1 << BITS)
+    feature = np.flatnonzero(count.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int32)), *(pa.array(c[feature]) for c in count)], names=["feature", "positives", "unlabelled"])
 
 
 def fit(docs: DataFrame, positives: DataFrame, prior: float, usable: Column | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -130,18 +163,33 @@ def fit(docs: DataFrame, positives: DataFrame, prior: float, usable: Column | No
     rest = _sample.spread(pool, max_unlabelled).withColumn("positive", F.lit(False))
     # Both samples are limited above, so what is broadcast has a fixed bound.
     ids = good.union(rest).groupBy("doc_id").agg(F.max("positive").alias("positive"), (F.count("*") > F.max("positive").cast("int")).alias("unlabelled"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    found = texts.mapInArrow(tidied(_text_features), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", T.BinaryType())]))
-    kinds = {r[0]: (r[1], r[2]) for r in ids.collect()}
-    positive, unlabelled = [], []
-    for doc_id, raw in found.toLocalIterator():
-        x = np.frombuffer(bytes(raw), np.int32)
-        if kinds[doc_id][0]:
-            positive.append(x)
-        if kinds[doc_id][1]:
-            unlabelled.append(x)
-    model = fit_arrays(positive, unlabelled, prior)
-    del positive, unlabelled, kinds
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "positive", "unlabelled")
+    found = cut(texts.mapInArrow(tidied(_text_features), "positive boolean, unlabelled boolean, found array<int>"))
+    kinds = found.agg(*(F.count_if(k) for k in ("positive", "unlabelled"))).first()
+    count = np.zeros((2, 1 << BITS), np.int64)
+    # One row a feature, 2**BITS at most.
+    sums = found.mapInArrow(tidied(_counted), "feature int, positives long, unlabelled long").groupBy("feature").agg(F.sum("positives"), F.sum("unlabelled")).toArrow()
+    for k in (0, 1):
+        count[k, sums.column(0).to_numpy()] = sums.column(k + 1).to_numpy()
+    index = chosen(count, tuple(kinds))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[index] = True
+        for batch in batches:
+            for kind, flag in enumerate(("positive", "unlabelled")):
+                lists = batch.filter(batch.column(flag)).column("found")
+                flat = lists.flatten().to_numpy()
+                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+                kept = np.concatenate([[0], np.cumsum(wanted[flat])])[np.concatenate([[0], ends]).astype(np.int64)]
+                few = pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(flat[wanted[flat]]))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(few), pa.int32()), few], names=["kind", "found"])
+
+    kept = found.mapInArrow(tidied(narrowed), "kind int, found array<int>").toArrow()
+    positive, unlabelled = ([np.asarray(x, np.int64) for x in kept.filter(pc.equal(kept["kind"], k))["found"].to_pylist()] for k in (0, 1))
+    drop(found)
+    model = fit_chosen(index, positive, unlabelled, prior)
+    del positive, unlabelled, count, sums, kept
     freed()
     return model
 
@@ -167,4 +215,4 @@ def from_labels(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: in
     usable = _sample.bucket(F.col("doc_id"), folds) != held_out
     known = labels.filter(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    return fit(docs, known.filter("toxic = 1"), min(max(prior or 0.0, 1e-3), 0.5), usable)
+    return fit(docs, known.filter("toxic = 1"), min(max(prior or 0.0, LEAST_PRIOR), MOST_PRIOR), usable)
