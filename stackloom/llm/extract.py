@@ -408,6 +408,10 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[list, list[int]]]:
         head = "".join(junk(k) for k in ("notice", "top", "nav", "ad", "form") if chance({"nav": 0.8, "top": 0.5, "ad": 0.5}.get(k, 0.25)))
         tail = "".join(junk(k) for k in ("share", "talk", "more", "side", "ad", "form", "notice", "foot") if not (opaque and k in ("talk", "side", "notice")) and chance({"foot": 0.85, "talk": 0.4, "side": 0.4}.get(k, 0.2)))
         side = junk("side") if chance(0.25) else ""
+        if chance(0.12):  # fragments that begin, or end, with the main text
+            head = side = ""
+        if chance(0.12):
+            tail = ""
         inner = content()
         if chance(0.15) and not opaque:
             inner += junk("talk")
