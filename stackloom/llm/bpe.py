@@ -8,7 +8,8 @@ Merging works on many words at once.  All new distinct words of a batch lie in o
 index maps each adjacent pair to all its positions; ranks are applied in ascending order from a
 heap, and each merge updates only the lists of the pairs beside it.
 
-Rows are independent: no shuffle, no group, and memory is bounded by a batch and by the word cache.
+Rows are independent: no shuffle, no group, and memory is bounded by a batch and by the caches of words
+and pieces, which a worker keeps for its later tasks: the ``CACHE_WORDS`` newest entries of each, and as many before them.
 Null and empty texts give no tokens and an empty decoded text; repeated rows repeat; other columns
 pass through; an empty table gives an empty table.
 """
@@ -18,7 +19,6 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -32,11 +32,27 @@ from pyspark.sql import types as T
 
 from stackloom.llm._words import tidied
 
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 ROWS = 256
 _models: dict[str, Model] = {}
 
 
+class Recent:
+    """A bounded dict: entries that no batch has asked for while ``limit`` newer ones came are forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that have no entry; the others are young entries from now on."""
+        new = keys - self.young.keys()
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young, new = self.young, {}, set(keys)
+        again = new & self.old.keys()
+        self.young.update((k, self.old[k]) for k in again)
+        return new - again
+
+
 class Model:
     """Vocabulary, merge ranks and pre-tokenization of one tokenizer file, with a bounded word cache."""
 
@@ -62,12 +78,15 @@ class Model:
         for token, k in [*vocab.items(), *self.special.items()]:
             names[k] = token
         self.names = pa.array(names, pa.large_string())
-        self.cache: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        self.cache.clear()
-        self.known.clear()
+        self.words, self.known = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        # Symbols before any merge: a byte, or 256 and a word's last byte.
+        self.symbols = np.array([*self.inner, *self.last])
+        local = {k: at for at, k in enumerate(self.symbols.tolist())}
+        self.first_rank = np.full((512, 512), -1, np.int32)
+        for pair, k in self.rank.items():
+            a, b = local.get(pair >> 20), local.get(pair & 0xFFFFF)
+            if a is not None and b is not None:
+                self.first_rank[a, b] = k
 
     def split(self, text: str) -> list[str]:
         """Words between white space; special tokens stand alone."""
@@ -85,38 +104,32 @@ class Model:
 
     def learn(self, words: Iterable[str]) -> None:
         """Add the ids of new words to the cache; pieces that several words share are merged once."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         split: dict[str, list[str]] = {}
         for word in words:
             if word in self.special:
-                self.cache[word] = np.int32(self.special[word]).tobytes()
+                self.words.young[word] = np.int32(self.special[word]).tobytes()
             else:
                 plain = word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")
                 split[word] = self.pieces(plain.lower())
-        known = self.known
-        new = list({p for pieces in split.values() for p in pieces if p not in known})
-        symbols, bounds = [], [0]
-        for piece in new:
-            raw = piece.encode()
-            symbols += [self.inner[b] for b in raw[:-1]]
-            symbols.append(self.last[raw[-1]])
-            bounds.append(len(symbols))
-        for piece, ids in zip(new, merge(symbols, bounds, self.rank, self.pairs)):
-            known[piece] = array("i", ids).tobytes()
-        for word, pieces in split.items():
-            self.cache[word] = b"".join([known[p] for p in pieces])
+        new = list(self.known.missing({p for pieces in split.values() for p in pieces}))
+        known = self.known.young
+        if new:
+            raw = [p.encode() for p in new]
+            ends = np.cumsum([len(x) for x in raw])
+            local = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+            local[ends - 1] += 256
+            symbols = merge(self.symbols[local], ends, occurrences(self.first_rank, local, ends), self.rank, self.pairs)
+            left = symbols >= 0
+            ids = symbols[left].astype(np.int32).tobytes()
+            bounds = [0, *(4 * np.cumsum(left)[ends - 1]).tolist()]
+            known.update(zip(new, map(ids.__getitem__, map(slice, bounds, bounds[1:]))))
+        self.words.young.update((word, b"".join([known[p] for p in pieces])) for word, pieces in split.items())
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         split = [self.split(t) for t in texts]
-        seen = set().union(*split)
-        if new := seen - self.cache.keys():
-            if len(self.cache) > CACHE_WORDS:
-                new = seen
+        if new := self.words.missing(set().union(*split)):
             self.learn(new)
-        ids = [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        ids = [b"".join(map(self.words.young.__getitem__, words)) for words in split]
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
@@ -135,24 +148,29 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def merge(symbols: list[int], bounds: list[int], rank: dict[int, int], pairs: list[tuple[int, int, int]]) -> list[list[int]]:
-    """Byte-pair merges of many words at once; ``bounds`` are the words' ends in ``symbols``.
+def occurrences(first_rank: np.ndarray, local: np.ndarray, ends: np.ndarray) -> dict[int, list[int]]:
+    """The occurrence index before any merge: rank of a pair -> positions of its first symbol, ascending."""
+    ranks = first_rank[local[:-1], local[1:]]
+    ranks[ends[:-1] - 1] = -1  # the next symbol is another word's
+    at = np.flatnonzero(ranks >= 0)
+    at = at[np.argsort(ranks[at], kind="stable")]
+    edges = [0, *(np.flatnonzero(np.diff(ranks[at])) + 1).tolist(), len(at)]
+    return {int(ranks[at[a]]): at[a:b].tolist() for a, b in zip(edges, edges[1:]) if a < b}
+
+
+def merge(initial: np.ndarray, ends: np.ndarray, index: dict[int, list[int]], rank: dict[int, int], pairs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Byte-pair merges of many words at once; ``ends`` are the words' ends in the symbols.
 
-    ``rank`` has the rank of a pair (first * 2**20 + second), ``pairs`` the symbols of a rank and what
-    they become.  ``places`` is the occurrence index: rank of a pair -> positions of its first symbol.
+    ``index`` has the occurrences of the first pairs, ``rank`` the rank of a pair (first * 2**20 + second),
+    ``pairs`` the symbols of a rank and what they become.  A symbol that a merge took in becomes -1.
     """
-    n = len(symbols)
-    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    for b in bounds[1:]:
-        following[b - 1] = -1
-    for b in bounds[:-1]:
-        if b < n:
-            before[b] = -1
-    places: dict[int, list[int]] = defaultdict(list)
+    n = len(initial)
+    following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    following[ends - 1] = -1
+    before[[0, *ends[:-1]]] = -1
+    symbols, following, before = initial.tolist(), following.tolist(), before.tolist()
+    places: dict[int, list[int]] = defaultdict(list, index)
     find = rank.get
-    for at in range(n - 1):
-        if (k := find((symbols[at] << 20) + symbols[at + 1])) is not None and following[at] >= 0:
-            places[k].append(at)
     active = list(places)
     heapq.heapify(active)
     while active:
@@ -189,7 +207,7 @@ def merge(symbols: list[int], bounds: list[int], rank: dict[int, int], pairs: li
                         heapq.heappush(active, k)
                     places[k] += rest
                 break
-    return [[s for s in symbols[bounds[w] : bounds[w + 1]] if s >= 0] for w in range(len(bounds) - 1)]
+    return np.array(symbols)
 
 
 def model(path: str) -> Model:
@@ -209,8 +227,6 @@ def _append(df: DataFrame, column: str, new: list[tuple[str, T.DataType]], make)
                 part = batch.slice(at, ROWS)
                 made = make(part.column(column))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, *(n for n, _ in new)])
-        for used in _models.values():
-            used.forget()
 
     return df.mapInArrow(tidied(run), schema)
 
