@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, privacy, quality, rlz, suffixes, toxicity, vectors
+from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, pivots, privacy, quality, rlz, suffixes, toxicity, vectors
 
 BPE_FILE = "word_bpe_49k.json"
 #: Words of a shingle in ``op2_minhash``.
@@ -76,6 +76,11 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors_ = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pivots.top_k(vectors_, vectors_.filter("vec_id % 20 = 0"))
+
+
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_minhash": op2_minhash,
@@ -87,10 +92,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
+    "op13_pivots": op13_pivots,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_substrings": rlz.SQL,
     "op10_vectors": vectors.SQL,
+    "op13_pivots": pivots.SQL,
     "op2_minhash": neardup.SQL.format(documents="documents"),
 }
