@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, bpe, decontaminate, extract, neardup, pivots, privacy, quality, rlz, suffixes, toxicity, vectors
+from stackloom.llm import _sample, align, bpe, decontaminate, extract, neardup, pivots, privacy, quality, rlz, suffixes, toxicity, vectors
 
 BPE_FILE = "word_bpe_49k.json"
+#: The tokenizers A and B of ``op11_align``.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Words of a shingle in ``op2_minhash``.
 OP2_SHINGLE = 4
 #: The key of the surrogates; a real run passes a secret one of its own.
@@ -76,6 +78,11 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, *map(tokenizer_path, ALIGNED)).drop("groups")
+
+
 def op13_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors_ = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return pivots.top_k(vectors_, vectors_.filter("vec_id % 20 = 0"))
@@ -92,6 +99,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
+    "op11_align": op11_align,
     "op13_pivots": op13_pivots,
 }
 
