@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import _sample, align, bpe, decontaminate, extract, neardup, pivots, privacy, quality, rlz, suffixes, toxicity, vectors
+from stackloom.llm import _sample, align, bpe, decontaminate, extract, lexical, neardup, pivots, privacy, quality, rlz, suffixes, toxicity, vectors
 
 BPE_FILE = "word_bpe_49k.json"
 #: The tokenizers A and B of ``op11_align``.
@@ -83,6 +83,10 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(docs, *map(tokenizer_path, ALIGNED)).drop("groups")
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors_ = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return pivots.top_k(vectors_, vectors_.filter("vec_id % 20 = 0"))
@@ -100,12 +104,14 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
     "op11_align": op11_align,
+    "op12_search": op12_search,
     "op13_pivots": op13_pivots,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_substrings": rlz.SQL,
     "op10_vectors": vectors.SQL,
+    "op12_search": lexical.SQL,
     "op13_pivots": pivots.SQL,
     "op2_minhash": neardup.SQL.format(documents="documents"),
 }
