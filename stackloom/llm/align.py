@@ -360,7 +360,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = False,
     """A row for each row of ``docs(doc_id, text)``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups, groups_sha256."""
     indexed = index(docs, path_a, path_b, keep_groups, links)
     scores = cut(pair_counts(indexed, path_b).select("pair", "links", "best"))
-    postings = indexed.filter("pair is not null").select(*_POSTING).join(scores, "pair").withColumn("posted", F.lit(1)).drop("pair")
+    # Merged at every size: a broadcast of a small table would only hide how shuffles grow.
+    postings = indexed.filter("pair is not null").select(*_POSTING).join(scores.hint("merge"), "pair").withColumn("posted", F.lit(1)).drop("pair")
     rows = indexed.filter("pair is null").select(*_DOC).withColumn("posted", F.lit(0))
     met = rows.unionByName(postings, allowMissingColumns=True).repartition("container").sortWithinPartitions("container", "posted")
     out = cut(met.mapInArrow(_summed, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, n_best long, count_sum long"))
