@@ -9,18 +9,21 @@ whose labels are known as they are made, so no labelled data are needed at run t
 
 Pages are independent: no shuffle, no group.  Null and empty html, and pages without main blocks,
 give an empty text; broken markup is read leniently; repeated rows repeat; other columns pass
-through (existing ``text`` and ``n_chars`` are replaced); an empty table gives an empty table.
+through (existing ``text`` and ``n_chars``, in any case of letters, are replaced); an empty table gives an empty table.
+Caches are bounded, and so is the work of an element, however deep and varied the nesting.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from html.parser import HTMLParser
 from math import log2
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style title template noscript textarea select svg math iframe object canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table td th ul ol dl div section article main aside nav header footer form body".split())
+#: Other tags count as one and the same, as no feature of theirs is ever learnt.
+KNOWN = INLINE | VOID | HIDDEN | SCOPE | frozenset("html head p h1 h2 h3 h4 h5 h6 li dt dd tr thead tbody tfoot caption blockquote pre figure figcaption address details summary fieldset legend hgroup center button option optgroup menu search dialog".split())
+KINDS = frozenset("article main nav header footer aside form".split())
+#: Entries of a path beyond which its older part is merged, and entries at its end that stay as they are.
+LONG_PATH, PATH_END = 24, 8
 #: Words in class, id and role, by what they say of an element.
 HINTS = {
     "menu": "nav navigation navbar menu breadcrumb breadcrumbs crumbs toc pagination pager tabs skip toolbar",
@@ -51,13 +59,19 @@ _TOKENS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@cache
 def hints(value: str) -> frozenset[str]:
+    return _hints(value) if len(value) > 128 else _known_hints(value)
+
+
+def _hints(value: str) -> frozenset[str]:
     whole = value.lower().split()
     parts = [x.lower() for x in _TOKENS.findall(_CAMEL.sub(" ", value))]
     return frozenset(_HINT[w] for w in [*whole, *parts] if w in _HINT)
 
 
+_known_hints = lru_cache(4096)(_hints)
+
+
 class _Open:
     """An open element; ``path`` holds its block-level ancestors and itself, ``depth`` and ``scope`` count such elements."""
 
@@ -71,12 +85,26 @@ _ROOT = _Open("", (), 0, 0)
 
 
 def extended(path: tuple, entry: tuple[str, frozenset[str]]) -> tuple:
-    """``path`` and ``entry``; of equal entries the last two stay, so that deep nesting costs no more than varied nesting.
+    """``path`` and ``entry``; of equal entries the last two stay, and the older part of a long path is merged by tag.
 
-    No feature looks further: they are sets, the nearest entry with a hint, and the last two of some tags.
+    No feature looks further: they are sets, the nearest entry with a hint, and the last two of some tags.  So a path's
+    length is bounded by the number of known tags, however deep and varied the nesting.
     """
     same = [k for k, x in enumerate(path) if x == entry]
-    return (*path, entry) if len(same) < 2 else (*path[: same[0]], *path[same[0] + 1 :], entry)
+    path = (*path, entry) if len(same) < 2 else (*path[: same[0]], *path[same[0] + 1 :], entry)
+    return path if len(path) <= LONG_PATH else merged(path)
+
+
+def merged(path: tuple) -> tuple:
+    """A path of the same features: one entry for each tag of its older part, then the older entries that are looked for, then its end."""
+    old, end = path[:-PATH_END], path[-PATH_END:]
+    kinds = [k for k, (tag, _) in enumerate(old) if tag in KINDS]
+    tags: dict[str, frozenset[str]] = {}
+    for k, (tag, said) in enumerate(old):
+        if k not in kinds or len(kinds) > 2:
+            tags[tag] = tags.get(tag, frozenset()) | said
+    kept = {*[k for k, (_, said) in enumerate(old) if said][-1:], *kinds[-2:]}
+    return (*tags.items(), *(old[k] for k in sorted(kept)), *end)
 
 
 class _Blocks(HTMLParser):
@@ -139,7 +167,7 @@ class _Blocks(HTMLParser):
                 said |= {"notice"}
         above = self.top()
         block = tag not in INLINE
-        made = _Open(tag, extended(above.path, (tag, said)) if block else above.path, above.depth + block, above.scope + (tag in SCOPE))
+        made = _Open(tag, extended(above.path, (tag if tag in KNOWN else "", said)) if block else above.path, above.depth + block, above.scope + (tag in SCOPE))
         self.open.append(made)
         self.counted(made, 1)
 
@@ -169,14 +197,14 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
     return parser.blocks
 
 
-@cache
+@lru_cache(4096)
 def path_features(path: tuple) -> tuple[str, ...]:
     out = {f"in {tag}" for tag, _ in path} | {f"hint {h}" for _, said in path for h in said}
     if path:
         out.add(f"tag {path[-1][0]}")
     near = [h for _, said in reversed(path) for h in sorted(said)]
     out.add(f"near {near[0] if near else '-'}")
-    kinds = [t for t, _ in path if t in ("article", "main", "nav", "header", "footer", "aside", "form")]
+    kinds = [t for t, _ in path if t in KINDS]
     out.add(f"kinds {' '.join(kinds[-2:])}")
     return tuple(sorted(out))
 
@@ -210,7 +238,7 @@ class Field:
         out, get = [], self.weight.get
         for k, (text, path, links) in enumerate(blocks):
             if (score := self._paths.get(path)) is None:
-                if len(self._paths) > 50_000:
+                if len(self._paths) > 20_000:
                     self._paths.clear()
                 score = self._paths[path] = sum(get(f, 0.0) for f in path_features(path))
             out.append(score + sum([get(f, 0.0) for f in block_features(k, len(blocks), text, links)]))
@@ -438,15 +466,29 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[list, list[int]]]:
     return pages
 
 
+WEIGHTS = Path(__file__).with_name("extract_weights.json")
+
+
+def fitted() -> Field:
+    return train(labelled_pages())
+
+
+def save(field: Field) -> None:
+    """Writes the weights that ``default_field`` reads: ``python -m stackloom.llm.extract`` does it for ``fitted()``."""
+    rounded = {f: round(w, 5) for f, w in sorted(field.weight.items())}
+    WEIGHTS.write_text(json.dumps({"weight": rounded, "step": field.step, "start": field.start}, indent=0, ensure_ascii=False) + "\n", encoding="utf-8")
+
+
 @cache
 def default_field() -> Field:
-    return train(labelled_pages())
+    """The field fitted on ``labelled_pages()``, as stored; fitted anew where the file is missing."""
+    return Field(**json.loads(WEIGHTS.read_text(encoding="utf-8"))) if WEIGHTS.exists() else fitted()
 
 
 def extract(df: DataFrame, html: str = "html", field: Field | None = None) -> DataFrame:
     """Adds ``text``, the main text of the whole page, and ``n_chars``, its code points."""
     field = field or default_field()
-    names = [c for c in df.columns if c not in ("text", "n_chars")]
+    names = [c for c in df.columns if c.lower() not in ("text", "n_chars")]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,3 +500,7 @@ def extract(df: DataFrame, html: str = "html", field: Field | None = None) -> Da
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+if __name__ == "__main__":
+    save(fitted())
