@@ -10,6 +10,8 @@ heap, and each merge updates only the lists of the pairs beside it.
 
 Rows are independent: no shuffle, no group, and memory is bounded by a batch and by the caches of words
 and pieces, which a worker keeps for its later tasks: the ``CACHE_WORDS`` newest entries of each, and as many before them.
+Only words and pieces of up to 64 characters are kept, so an entry has some hundred bytes and the caches a bound in bytes;
+longer ones, as in texts without spaces, are encoded anew in each batch.
 Null and empty texts give no tokens and an empty decoded text; repeated rows repeat; other columns
 pass through; an empty table gives an empty table.
 """
@@ -30,29 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackloom.llm._recent import Recent
 from stackloom.llm._words import tidied
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 ROWS = 256
 _models: dict[str, Model] = {}
 
 
-class Recent:
-    """A bounded dict: entries that no batch has asked for while ``limit`` newer ones came are forgotten."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Those of ``keys`` that have no entry; the others are young entries from now on."""
-        new = keys - self.young.keys()
-        if len(self.young) + len(new) > self.limit:
-            self.old, self.young, new = self.young, {}, set(keys)
-        again = new & self.old.keys()
-        self.young.update((k, self.old[k]) for k in again)
-        return new - again
-
-
 class Model:
     """Vocabulary, merge ranks and pre-tokenization of one tokenizer file, with a bounded word cache."""
 
@@ -130,6 +117,8 @@ class Model:
         if new := self.words.missing(set().union(*split)):
             self.learn(new)
         ids = [b"".join(map(self.words.young.__getitem__, words)) for words in split]
+        self.words.trim()
+        self.known.trim()
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 

@@ -52,6 +52,33 @@ def test_extract_held_out_pages():
     assert wrong / total < 0.02
 
 
+def test_extract_bounds_paths_and_caches():
+    """Varied nesting and ids of their own leave neither long paths nor growing caches; long paths keep their features."""
+    varied = "".join(f"<t{k} class='c{k} menu'>x{k} " for k in range(3000)) + "<article class='post'><p>A sentence.</p></article>"
+    assert max(len(path) for _, path, _ in extract.leaf_blocks(varied)) <= extract.LONG_PATH
+    rng = np.random.default_rng(4)
+    tags, said = sorted(extract.KNOWN - extract.INLINE - extract.VOID), sorted(extract.HINTS)
+    for _ in range(200):
+        entries = [(str(rng.choice(tags)), frozenset(rng.choice(said, int(rng.integers(0, 3))))) for _ in range(60)]
+        path = ()
+        for entry in entries:
+            path = extract.extended(path, entry)
+        assert extract.path_features(path) == extract.path_features(tuple(entries))
+        assert len(path) <= len(extract.KNOWN) + extract.LONG_PATH + 3
+    for k in range(6000):
+        extract.leaf_blocks(f"<div id='post-{k}' class='c{k} {'w' * 200}{k}'>x</div>")
+    assert extract._known_hints.cache_info().currsize <= 4096
+    assert extract.path_features.cache_info().maxsize == 4096
+
+
+def test_extract_stored_weights_are_those_fitted(spark):
+    stored, fitted = extract.default_field(), extract.fitted()
+    assert stored.weight.keys() == fitted.weight.keys()
+    assert all(abs(stored.weight[k] - w) < 1e-3 for k, w in fitted.weight.items())
+    df = spark.createDataFrame([(1, "<p>A sentence stands here.</p>", "old", 1)], "page_id long, html string, Text string, N_Chars int")
+    assert extract.extract(df).columns == ["page_id", "html", "text", "n_chars"]
+
+
 def test_viterbi_is_the_best_path():
     field = extract.default_field()
     rng = np.random.default_rng(1)
@@ -109,6 +136,16 @@ def test_bpe_query_matches_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_caches_are_bounded():
+    model = bpe.Model(queries.tokenizer_path())
+    model.words.limit = model.known.limit = 1000
+    for k in range(30):
+        model.encode([f"{'x' * 2000}{k}", "汉字" * 1000 + str(k), " ".join(f"w{k}y{j}" for j in range(400))])
+        for cache in (model.words, model.known):
+            assert len(cache.young) <= 1000 and len(cache.old) <= 1000
+            assert all(len(w) <= 64 for w in [*cache.young, *cache.old])
+
+
 # --- decontamination --------------------------------------------------------------------------------------------
 
 
