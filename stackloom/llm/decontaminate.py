@@ -11,8 +11,9 @@ missed tokens, no short item is lost.  Rows are padded, so that items may overha
 Of longer items, stretches whose matches lie so scattered that no mask fits them stay unseen.
 
 The benchmark is a stated query set: its tokens are hashed and counted by Spark and broadcast in blocks
-of ``BLOCK_TOKENS`` tokens and one item at most, one pass over the documents for each block, so its size
-has no bound, the driver holds one block at a time, and no document text is shuffled.
+of ``BLOCK_TOKENS`` tokens and one item at most, one pass over the documents for each block.  With one block no
+document is shuffled.  With more, each pass writes the leaks of its texts by two hashes of the text, and a join brings them to the
+documents; so the driver and each Python worker hold one block at a time, however many there are.
 
 Null and empty texts hold nothing; null, empty and repeated items are passed over, or reported each
 under its own id; items without a token are never found.  Repeated documents are reported alike;
@@ -23,25 +24,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackloom.checkpoints import cut, running_total
+from stackloom.checkpoints import cut, drop, running_total
+from stackloom.llm._jobs import hot_keys, spread_join, unused
 from stackloom.llm._words import Words, blocks, mix, signed, tidied
 
 # Token positions that count (1) and that are ignored (0).
-MASKS = ("1111111", "1101100111", "11100101101", "101100011101")
+MASKS = ("1111111", "1101100111", "11100101101", "101100011101", "1011001101", "110001010011")
 MIN_MATCH = 13
 SHORT_SHARE = 0.8
 #: The most tokens of which SHORT_SHARE is less than MIN_MATCH.
 SHORT = 15
 PAD = 3
 BLOCK_TOKENS = 1_000_000
+#: Hits that are expanded at a time, and tokens that are compared at a time.
+HITS, CELLS = 1_000_000, 1_000_000
 _BITS = 22
 _COEFFICIENTS = np.random.default_rng(31).integers(1, 1 << 63, (len(MASKS) + 64, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_matched", T.IntegerType()), T.StructField("doc_token", T.IntegerType()), T.StructField("item_token", T.IntegerType()), T.StructField("n_tokens", T.IntegerType())])
@@ -101,11 +107,18 @@ def padded(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return token, row
 
 
-def _lookup(keys: np.ndarray, places: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index into ``key``, place) of every equal key."""
+def _lookup(keys: np.ndarray, places: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index into ``key``, place) of every equal key, in slices of about HITS."""
     lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-    n = hi - lo
-    return np.repeat(np.arange(len(key)), n), places[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    hit = np.flatnonzero(hi > lo)
+    lo, n = lo[hit], (hi - lo)[hit]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    at = 0
+    while at < len(hit):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + HITS, side="right")) - 1)
+        size = n[at:to]
+        yield np.repeat(hit[at:to], size), places[np.repeat(lo[at:to] - upto[at:to] + upto[at], size) + np.arange(upto[to] - upto[at])]
+        at = to
 
 
 @dataclass
@@ -144,17 +157,14 @@ class Index:
             short.append((n, [ordered(key[::n], at) for key in short_seeds(joined, n)]))
         return cls(item, token, first, long, short, bitmap)
 
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, document token less item token, item token) of every equal seed."""
-        rows, gaps, theres = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def hits(self, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, document token less item token, item token) of every equal seed, HITS at a time."""
         for keep, salt, keys, places in self.long:
             at, key = seeds(w.hash, w.row, keep, salt)
             maybe = np.flatnonzero(self.bitmap[key >> np.uint64(64 - _BITS)])
-            of, there = _lookup(keys, places, key[maybe])
-            here = at[maybe][of]
-            rows.append(w.row[here])
-            gaps.append(here - there)
-            theres.append(there)
+            for of, there in _lookup(keys, places, key[maybe]):
+                here = at[maybe[of]]
+                yield w.row[here], here - there, there
         if self.short:
             token, row = padded(w)
         for n, masks in self.short:
@@ -162,31 +172,68 @@ class Index:
             middle = row[n // 2 : n // 2 + max(len(token) - n + 1, 0)]
             for (keys, places), key in zip(masks, short_seeds(token, n)):
                 maybe = np.flatnonzero(self.bitmap[key >> np.uint64(64 - _BITS)] & (middle >= 0))
-                of, there = _lookup(keys, places, key[maybe])
-                here = maybe[of]
-                rows.append(middle[here])
-                gaps.append(here - PAD * (middle[here] + 1) - there)
-                theres.append(there)
-        return np.concatenate(rows), np.concatenate(gaps), np.concatenate(theres)
+                for of, there in _lookup(keys, places, key[maybe]):
+                    here = maybe[of]
+                    yield middle[here], here - PAD * (middle[here] + 1) - there, there
 
     def leaks(self, w: Words) -> list[list[dict]]:
-        """The best stretch of every item that a row holds."""
-        out: list[dict[int, dict]] = [{} for _ in range(w.n_rows)]
-        rows, gaps, there = self.hits(w)
-        if len(rows):
+        """The best stretch of every item that a row holds, of equal ones that of the first diagonal.
+
+        Pairs of item and diagonal are verified once a mask and slice of hits, many at a time: hot seeds, as of an opening that many items
+        share, cost a few array operations for each pair and no more.
+        """
+        out: list[dict[int, tuple]] = [{} for _ in range(w.n_rows)]
+        n_items, reach = len(self.item), len(self.token) + 1
+        for rows, gaps, there in self.hits(w):
             item = np.searchsorted(self.first, there, side="right") - 1
-            pairs = np.unique(np.stack([rows, item, gaps]), axis=1)
-            for row, k, gap in pairs.T.tolist():
-                lo = max(int(self.first[k]), int(w.first[row]) - gap)
-                hi = min(int(self.first[k + 1]), int(w.first[row + 1]) - gap)
-                same = self.token[lo:hi] == w.hash[lo + gap : hi + gap]
-                size = int(self.first[k + 1] - self.first[k])
-                need = needed(size)
-                a, b = best_stretch(same)
-                matched = int(same[a:b].sum())
-                if matched >= need and matched > out[row].get(k, {"n_matched": 0})["n_matched"]:
-                    out[row][k] = {"item_id": int(self.item[k]), "n_matched": matched, "doc_token": lo + a + gap - int(w.first[row]), "item_token": lo + a - int(self.first[k]), "n_tokens": b - a}
-        return [sorted(x.values(), key=lambda y: (y["item_id"], y["doc_token"])) for x in out]
+            key = np.unique((rows * n_items + item) * (len(w.hash) + 2 * reach) + gaps + reach)
+            pair, gap = np.divmod(key, len(w.hash) + 2 * reach)
+            row, item = np.divmod(pair, n_items)
+            for found in self.verified(w, row, item, gap - reach):
+                for r, k, matched, doc, own, size in zip(*(x.tolist() for x in found)):
+                    if k not in out[r] or (-matched, doc - own) < out[r][k][:2]:
+                        out[r][k] = (-matched, doc - own, doc, own, size)
+        names = ("item_id", "n_matched", "doc_token", "item_token", "n_tokens")
+        made = ([dict(zip(names, (int(self.item[k]), -m, doc, own, size))) for k, (m, _, doc, own, size) in x.items()] for x in out)
+        return [sorted(x, key=lambda y: (y["item_id"], y["doc_token"])) for x in made]
+
+    def verified(self, w: Words, row: np.ndarray, item: np.ndarray, gap: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, item, matched, document token, item token, tokens) of the diagonals whose best stretch is long enough."""
+        lo = np.maximum(self.first[item], w.first[row] - gap)
+        size = np.minimum(self.first[item + 1], w.first[row + 1] - gap) - lo
+        need = np.array([needed(n) for n in range(SHORT + 2)])[np.minimum(np.diff(self.first)[item], SHORT + 1)]
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] >= need[order]]
+        at = 0
+        while at < len(order):
+            # So many that their widest row still makes a table of CELLS.
+            to = at + max(1, int(np.searchsorted(np.arange(1, len(order) - at + 1) * size[order[at:]], CELLS, side="right")))
+            some, at = order[at:to], to
+            place = np.arange(int(size[some[-1]]))
+            inside = place < size[some, None]
+            own = np.minimum(lo[some, None] + place, len(self.token) - 1)
+            same = (self.token[own] == w.hash[np.minimum(own + gap[some, None], len(w.hash) - 1)]) & inside
+            able = np.flatnonzero(same.sum(axis=1) >= need[some])
+            some, same = some[able], same[able]
+            begin, end = best_stretches(same, size[some])
+            sums = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+            each = np.arange(len(some))
+            matched = sums[each, end] - sums[each, begin]
+            ok = matched >= need[some]
+            some, begin, end, matched = some[ok], begin[ok], end[ok], matched[ok]
+            start = lo[some] + begin
+            yield row[some], item[some], matched, start + gap[some] - w.first[row[some]], start - self.first[item[some]], end - begin
+
+
+def best_stretches(same: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``same``, as far as its ``size``: the first stretch with the highest score; a match counts 1, another token -2."""
+    each = np.arange(len(same))
+    sums = np.concatenate([np.zeros((len(same), 1), np.int64), np.cumsum(np.where(same, 1, -2), axis=1)], axis=1)
+    gain = sums - np.minimum.accumulate(sums, axis=1)
+    gain[np.arange(sums.shape[1]) > size[:, None]] = -1
+    end = gain.argmax(axis=1)
+    begin = np.where(np.arange(sums.shape[1]) <= end[:, None], sums, sums.max(initial=0) + 1).argmin(axis=1)
+    return begin, end
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
@@ -218,28 +265,52 @@ def _item_blocks(benchmark: DataFrame, limit: int) -> Iterator[Index]:
         yield Index.of(part.column("item_id").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), first)
 
 
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("n_matched", pa.int32()), ("doc_token", pa.int32()), ("item_token", pa.int32()), ("n_tokens", pa.int32())]))
+
+
+def _with_leaks(docs: DataFrame, block: Index, names: list[str], only: bool = False) -> DataFrame:
+    """``docs`` with the leaks of one block's items; ``only`` rows that have some."""
+    index = docs.sparkSession.sparkContext.broadcast(block)
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("leaks", T.ArrayType(LEAK))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, w in blocks(batch.column("text"), lower=True, letters=True):
+                part = batch.slice(at, to - at)
+                made = pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(index.value.leaks(w), _KIND)], names=[*names, "leaks"])
+                yield made.filter(pc.greater(pc.list_value_length(made.column("leaks")), 0)) if only else made
+
+    return docs.mapInArrow(tidied(run), schema)
+
+
 def flag(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Adds ``leaks``: for each benchmark item that the whole text holds, its best stretch."""
-    names = [c for c in docs.columns if c != "leaks"]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("leaks", T.ArrayType(LEAK))])
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_matched", pa.int32()), ("doc_token", pa.int32()), ("item_token", pa.int32()), ("n_tokens", pa.int32())]))
-    out = docs.select(*names).withColumn("leaks", F.array().cast(T.ArrayType(LEAK)))
-    for block in _item_blocks(benchmark, block_tokens):
-        index = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                before = batch.column("leaks")
-                for at, to, w in blocks(batch.column("text"), lower=True, letters=True):
-                    found = index.value.leaks(w)
-                    old = before.slice(at, to - at)
-                    if len(old.flatten()):
-                        found = [sorted(x + y, key=lambda z: (z["item_id"], z["doc_token"])) for x, y in zip(old.to_pylist(), found)]
-                    made = pa.array(found, kind)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in names), made], names=[*names, "leaks"])
-
-        out = out.mapInArrow(tidied(run), schema)
-    return out
+    names = [c for c in docs.columns if c.lower() != "leaks"]
+    docs = docs.select(*names)
+    made = _item_blocks(benchmark, block_tokens)
+    first, second = next(made, None), next(made, None)
+    if first is None:
+        return docs.withColumn("leaks", F.array().cast(T.ArrayType(LEAK)))
+    if second is None:
+        return _with_leaks(docs, first, names)
+    # Each block's leaks are written before the next block is made: a pass and a Python worker of its own.
+    one, two, held = (unused(c, names) for c in ("_text_a", "_text_b", "_leaks"))
+    told = docs.select("text", F.xxhash64("text").alias(one), F.xxhash64(F.lit(1), "text").alias(two))
+    parts = [cut(_with_leaks(told, block, ["text", one, two], only=True).drop("text").dropDuplicates([one, two])) for block in chain([first, second], made)]
+    texts = reduce(DataFrame.union, parts).groupBy(one, two).agg(F.array_sort(F.flatten(F.collect_list("leaks")), _earlier).alias(held))
+    texts = cut(texts)
+    drop(*parts)
+    # Null texts have a key as well, so that a join deals them like other frequent texts.
+    keyed = docs.withColumns({one: F.xxhash64("text"), two: F.xxhash64(F.lit(1), "text")})
+    hot = hot_keys(keyed.groupBy(one, two).agg(F.count("*").alias("times")), one, two)
+    out = spread_join(keyed, texts, [one, two], hot, "left")
+    return out.select(*names, F.coalesce(held, F.array().cast(T.ArrayType(LEAK))).alias("leaks"))
+
+
+def _earlier(x: Column, y: Column) -> Column:
+    """Order of leaks by item and place."""
+    key = lambda z: F.struct(z["item_id"], z["doc_token"])
+    return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
 
 
 def rows(flagged: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on single rows: extraction, tokens, decontamination, toxicity, quality."""
 
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.llm import bpe, decontaminate, extract, quality, queries, toxicity
+from stackloom.llm._words import blocks
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.1"
@@ -199,6 +201,64 @@ def test_decontaminate_short_items(spark):
         assert got == want
 
 
+def _index(texts):
+    tokens = [w.hash[a:b] for _, _, w in blocks(pa.array(texts), lower=True, letters=True) for a, b in itertools.pairwise(w.first)]
+    return decontaminate.Index.of(np.arange(len(texts)), np.concatenate(tokens), np.concatenate([[0], np.cumsum([*map(len, tokens)])]))
+
+
+def test_decontaminate_long_items_against_all_diagonals():
+    """Items of more than SHORT tokens with replaced ones: nothing is found that the rule denies, and hardly anything is missed."""
+    rng = np.random.default_rng(7)
+    items, docs, want = [], [], []
+    for k in range(1500):
+        n, share = int(rng.choice([16, 18, 20, 25, 40])), float(rng.choice([0.1, 0.2, 0.3]))
+        item = [f"i{k}x{j}" for j in range(n)]
+        doc = [f"z{k}q{j}" if rng.random() < share else x for j, x in enumerate(item)]
+        lead = [f"d{k}y{j}" for j in range(int(rng.integers(0, 9)))]
+        best = 0
+        for gap in range(-n + 1, len(lead) + n):
+            same = np.array([0 <= p + gap < len(lead) + n and (lead + doc)[p + gap] == x for p, x in enumerate(item)])
+            a, b = decontaminate.best_stretch(same)
+            best = max(best, int(same[a:b].sum()))
+        items.append(" ".join(item))
+        docs.append(" ".join(lead + doc))
+        want.append(best if best >= decontaminate.needed(n) else 0)
+    got = [x for _, _, w in blocks(pa.array(docs), lower=True, letters=True) for x in _index(items).leaks(w)]
+    for k, (leaks, best) in enumerate(zip(got, want)):
+        assert not leaks or (best and [x["item_id"] for x in leaks] == [k] and leaks[0]["n_matched"] <= best)
+    assert sum(bool(x) for x in got) >= 0.99 * sum(x > 0 for x in want)
+
+
+def test_decontaminate_best_stretches():
+    rng = np.random.default_rng(9)
+    same, size = rng.random((500, 30)) < 0.6, rng.integers(0, 31, 500)
+    same &= np.arange(30) < size[:, None]
+    begin, end = decontaminate.best_stretches(same, size)
+    assert [(int(a), int(b)) for a, b in zip(begin, end)] == [decontaminate.best_stretch(x[:n]) for x, n in zip(same, size)]
+
+
+def test_decontaminate_hot_opening():
+    """Many items that begin alike, and a text that repeats this beginning."""
+    opening = "which of the following statements about the topic is"
+    index = _index([f"{opening} " + " ".join(f"w{k}x{j}" for j in range(12)) for k in range(20_000)])
+    for _, _, w in blocks(pa.array([f"{opening} " * 20 + " ".join(f"w7x{j}" for j in range(12)), "x" * 100_000 + " y" * 100_000]), lower=True, letters=True):
+        began = time.process_time()
+        assert [[x["item_id"] for x in leaks] for leaks in index.leaks(w)] == [[7], []][: w.n_rows]
+        assert time.process_time() - began < 5
+
+
+def test_decontaminate_many_blocks(spark):
+    """Blocks have a pass each; nulls, copies and clashing names stay as with one block."""
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(20))) for k in range(15)]
+    docs = [(k, f"a {items[k % 15][1]} b {items[(k + 4) % 15][1]}" if k % 2 else "plain words") for k in range(30)] + [(50, None), (51, ""), (52, None), (None, items[3][1])] + [(60 + k, items[1][1]) for k in range(20)]
+    df = spark.createDataFrame([(k, t, "x", "y") for k, t in docs], "doc_id long, text string, _text_a string, Leaks string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (decontaminate.flag(df, bench, n) for n in (1_000_000, 40))
+    assert many.columns == one.columns == ["doc_id", "text", "_text_a", "leaks"]
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert "MapInArrow" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decontaminate_blocks_by_true_tokens(spark):
     bench = spark.createDataFrame([(k, "\n".join(f"i{k}x{j}" for j in range(20))) for k in range(10)], "item_id long, text string")
     sizes = [len(x.token) for x in decontaminate._item_blocks(bench, 40)]
