@@ -13,10 +13,8 @@ from stackloom.operators import blocks, catalog, models, retrieval, state
 
 def search(chunks: DataFrame, papers: DataFrame, details: DataFrame, query: list[float], k: int = 10, corpus: list[str] | None = None, config: Config = DEFAULT) -> DataFrame:
     """The best chunks with their paper's title: (chunk_id, doc_id, title, section_title, score, preview)."""
-    hits = retrieval.scored(chunks, query)
-    if corpus:
-        hits = retrieval.typed(hits, details, corpus)
-    best = retrieval.capped(hits, k, config.max_per_doc)
+    found = retrieval.search(retrieval.typed(chunks, details, corpus) if corpus else chunks, query, k, config.max_per_doc)
+    best = chunks.join(F.broadcast(found.select("chunk_id", "score")), "chunk_id")  # k rows
     titled = best.join(papers.select(F.col("id").alias("doc_id"), F.col("title").alias("file_title")), "doc_id", "left").join(details.select("doc_id", "title_zh", F.col("title").alias("own_title")), "doc_id", "left")
     title = text.first_nonempty(F.col("title_zh"), F.col("own_title"), F.col("file_title"))
     return titled.select("chunk_id", "doc_id", title.alias("title"), "section_title", "score", F.left("content", F.lit(120)).alias("preview")).orderBy(F.desc("score"), "chunk_id")

@@ -159,8 +159,8 @@ def _chunk_types(spark, sf):
 
 @query(_SCORED + ", typed AS (SELECT * FROM hits WHERE doc_id::INTEGER % 3 <> 2)" + _CAP.format(src="typed"))
 def vector_topk_typed(spark, sf):
-    hits = retrieval.typed(retrieval.scored(chunks(spark, sf), query_vector(spark, sf)), _chunk_types(spark, sf), ["paper", "book"])
-    return _rounded(retrieval.capped(hits, 24, 4).select("chunk_id", "doc_id", "score"))
+    allowed = retrieval.typed(chunks(spark, sf), _chunk_types(spark, sf), ["paper", "book"])
+    return _rounded(retrieval.search(allowed, query_vector(spark, sf)).select("chunk_id", "doc_id", "score"))
 
 
 @query(_SCORED + f", best AS ({_CAP.format(src='hits')}) SELECT chunk_id, b.doc_id, coalesce(nullif(t.title_zh, ''), nullif(t.title, ''), d.source || '_' || d.doc_id, '') AS title, score FROM best b LEFT JOIN documents d ON d.doc_id::VARCHAR = b.doc_id LEFT JOIN details t ON t.n::VARCHAR = b.doc_id")
