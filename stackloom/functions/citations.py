@@ -51,9 +51,9 @@ def short_authors(authors: Column, title: Column, chinese: Column) -> Column:
 
 
 def best_title(title: Column, title_zh: Column, title_en: Column, chinese: Column) -> Column:
-    """The title in the document's language; else the file title without the name behind it."""
+    """The title in the document's language; else the file title without the name behind it, or unknown."""
     own = F.when(chinese, nonempty(title_zh)).otherwise(nonempty(title_en))
-    return F.coalesce(own, F.regexp_replace(title, NAME_BEHIND, ""), F.lit(""))
+    return F.coalesce(own, F.regexp_replace(title, NAME_BEHIND, ""), F.lit("未知文献"))
 
 
 def imprint(place: Column, publisher: Column, year: Column) -> Column:

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 IMAGE_TAG = r"(?i)<img\b[^>]*>"
 REFERENCES_LINE = r"(?md)^#{0,6}\s*(?:参考文献|References|REFERENCES|Bibliography)\s*[:：]?\s*$"
-_BODY = r".{0,20}\n(.*?)(?=\n#{1,3}\s|\z)"
-SECTIONS = ["abstract|摘要", "introduction|引言|背景|research background", "method|方法|methodology|approach", "result|结果|experiment|实验", "conclusion|结论|discussion|讨论"]
+SECTIONS = [
+    r"(?sid)(?:^|\n)#{1,3}\s*(?:abstract|摘要).{0,20}\n(.*?)(?=\n#{1,3}\s|\z)",
+    r"(?sid)(?:^|\n)#{1,3}\s*(?:introduction|引言|背景|research background).{0,20}\n(.*?)(?=\n#{1,3}\s|\z)",
+    r"(?sid)(?:^|\n)#{1,3}\s*(?:method|方法|methodology|approach).{0,20}\n(.*?)(?=\n#{1,3}\s|\z)",
+    r"(?sid)(?:^|\n)#{1,3}\s*(?:result|结果|experiment|实验).{0,20}\n(.*?)(?=\n#{1,3}\s|\z)",
+    r"(?sid)(?:^|\n)#{1,3}\s*(?:conclusion|结论|discussion|讨论).{0,20}\n(.*?)(?=\n#{1,3}\s|\z)",
+]
 ABSTRACTS = [
-    r"(?sid)(?:^|\n)#{1,3}\s*(?:abstract|摘要|📌\s*摘要|🎯\s*摘要)" + _BODY,
+    r"(?sid)(?:^|\n)#{1,3}\s*(?:abstract|摘要|📌\s*摘要|🎯\s*摘要).{0,20}\n(.*?)(?=\n#{1,3}\s|\z)",
     r"(?sid)(?:^|\n)(?:［|\[)\s*摘\s*要\s*(?:］|\])\s*(.*?)(?=\n|$)",
     r"(?sid)(?:^|\n)摘\s*要\s*[:：]\s*(.*?)(?=\n|$)",
     r"(?sid)(?:^|\n)Abstract\s*[:：]\s*(.*?)(?=\n|$)",
@@ -62,7 +67,7 @@ def abstract(text: Column) -> Column:
 
 def key_sections(text: Column, limit: int = 40_000) -> Column:
     """The main sections; without any, head and tail of a long text."""
-    found = [nonempty(strip(F.regexp_extract(text, rf"(?sid)(?:^|\n)#{{1,3}}\s*(?:{p})" + _BODY, 0))) for p in SECTIONS]
+    found = [nonempty(strip(F.regexp_extract(text, p, 0))) for p in SECTIONS]
     joined = F.concat_ws("\n\n", *found)
     head, tail = limit * 2 // 3, limit - limit * 2 // 3
     rest = F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(OMITTED), F.right(text, F.lit(tail))))

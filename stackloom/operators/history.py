@@ -41,5 +41,5 @@ def daily(events: DataFrame, days: int | None = None, today: Column | None = Non
 
 
 def recent_failures(events: DataFrame, n: int = 5, order: str = "ord") -> DataFrame:
-    """The last failed or quarantined events."""
+    """The last failed or quarantined events, by the place in the log that ``sources.files.events`` gives."""
     return events.filter(F.col("status").isin("failed", "quarantined")).orderBy(F.desc(order)).limit(n)

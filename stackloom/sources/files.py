@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackloom import schemas
-from stackloom.functions.text import nonempty
+from stackloom.checkpoints import running_total
 
 # An ISBN, and a year.
 ISBN = r"ISBN[\s:：]*([0-9][0-9\-\s]{8,16}[0-9Xx])"
@@ -54,15 +54,36 @@ def layout_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "pos", text("type"), text("sub_type"), text("text"), number("text_level"), text("img_path"), number("page_idx"), captions.alias("captions"), items)
 
 
+#: Names that ``sinks.append_events`` gives: time in nanoseconds, and the part of one write.
+WRITTEN = r"^(\d{19,})-(\d+)\.json"
+
+
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """The event log without unreadable lines; ``ord`` is the place in the file."""
+    """The event log without unreadable lines; ``ord`` orders its lines as they were written.
+
+    ``path`` is a file or a folder of files.  ``ord`` has the time of a file (of its name where
+    ``append_events`` gave it, else of its last change), its name, the start of the block that a task reads, and the line's place among
+    the task's.  So it does not depend on how Spark packs files into tasks.
+    """
+    kind = T.StructType([*schemas.EVENTS, T.StructField("timestamp", T.StringType()), T.StructField("_bad", T.StringType())])
     try:
-        rows = spark.read.schema(T.StructType([*schemas.EVENTS, T.StructField("_bad", T.StringType())])).option("columnNameOfCorruptRecord", "_bad").json(path)
+        rows = spark.read.schema(kind).option("columnNameOfCorruptRecord", "_bad").json(path)
     except AnalysisException as e:
         if e.getCondition() not in EMPTY:
             raise
-        return spark.createDataFrame([], T.StructType([*schemas.EVENTS, T.StructField("ord", T.LongType())]))
-    return rows.withColumn("ord", F.monotonically_increasing_id()).filter("_bad is null and ts is not null").drop("_bad")
+        order = "struct<time:timestamp,file:string,start:bigint,line:bigint>"
+        return spark.createDataFrame([], schemas.EVENTS).withColumn("ord", F.lit(None).cast(order))
+    name = F.col("_metadata.file_name")
+    stamp = F.regexp_extract(name, WRITTEN, 1)
+    time = F.when(stamp != "", F.timestamp_micros(F.substr(stamp, F.lit(1), F.length(stamp) - 3).cast("long"))).otherwise(F.col("_metadata.file_modification_time"))
+    place = F.struct(time.alias("time"), name.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    rows = rows.withColumns({"ord": place, "ts": F.coalesce("ts", "timestamp")})
+    return rows.filter("_bad is null and ts is not null").select(*schemas.EVENTS.names, "ord")
+
+
+def numbered(log: DataFrame) -> DataFrame:
+    """``events`` with ``n``, the number of each line over the whole log, from 1."""
+    return running_total(log.repartitionByRange("ord"), F.lit(1), ["ord"], "n").withColumn("n", F.col("n") + 1)
 
 
 def batch_results(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,39 @@ def requests(papers: DataFrame, prompt: str, model: str) -> DataFrame:
     return papers.filter("markdown is not null").select(F.to_json(F.struct(F.col("id").alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))).alias("value"))
 
 
+def event_lines(rows: DataFrame) -> DataFrame:
+    """(value): a JSON line an event of ``rows(ts, mode, event, title, doc_id, status, error, extra)``, in their order.
+
+    Missing columns and null values take their defaults, success and empty text.  ``extra`` is a JSON object of further keys, any of
+    which wins over the event's own; what is no object adds nothing.
+    """
+    defaults = {"ts": "", "mode": "", "event": "", "title": "", "doc_id": "", "status": "success", "error": ""}
+    value = lambda c, d: (F.coalesce(F.col(c).cast("string"), F.lit(d)) if c in rows.columns else F.lit(d)).alias(c)
+    kind = "map<string,variant>"
+    own = F.from_json(F.to_json(F.struct(*[value(c, d) for c, d in defaults.items()])), kind)
+    more = F.from_json("extra", kind) if "extra" in rows.columns else F.lit(None).cast(kind)
+    told = rows.select(own.alias("own"), F.coalesce(more, F.create_map().cast(kind)).alias("more"))
+    kept = F.map_filter("own", lambda k, _: ~F.map_contains_key("more", k))
+    return told.select(F.to_json(F.map_concat(kept, "more")).alias("value"))
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+    """Appends events to the log in the folder ``path``, in the order of their partitions and of the rows in each.
+
+    ``events`` are JSON lines ``value``, or rows whose columns are the keys.  The files are written aside and then renamed, so that their names tell
+    when they were written and their order in one write, whatever happens to their times later.  One writer at a time.
+    """
+    lines = events if events.columns == ["value"] else events.select(F.to_json(F.struct("*")).alias("value"))
+    spark = events.sparkSession
+    aside = f"{path}/_{uuid.uuid4().hex}"
+    lines.write.text(aside)
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    stamp = time.time_ns()
+    parts = sorted(f.getPath().getName() for f in fs.listStatus(to(aside)) if f.getLen())
+    for k, name in enumerate(n for n in parts if n.startswith("part-")):
+        fs.rename(to(f"{aside}/{name}"), to(f"{path}/{stamp}-{k:06}.json"))
+    fs.delete(to(aside), True)
 
 
 def note_name(title: Column, doc_id: Column) -> Column:

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom import schemas
-from stackloom.operators import intake, retrieval
-from stackloom.sources import store
+from stackloom.functions import citations, standard
+from stackloom.operators import history, intake, retrieval
+from stackloom.sources import files as readers
+from stackloom.sources import sinks, store
 
 PAPER = "id string, title string, status string, markdown string"
 
@@ -191,3 +193,61 @@ def test_intake_of_one_large_batch(spark):
         if not used or pages <= 2000 - used:
             used, n = used + pages, n + 1
     assert rows["ok"] == (n, used) and rows["deferred"][0] == 1_000_000 - n
+
+
+# --- event log --------------------------------------------------------------------------------------------------
+
+
+def test_log_lines_come_as_they_were_written(spark, tmp_path):
+    """Appends of different sizes, of which Spark packs several into one task, and one of several parts."""
+    path, want = str(tmp_path / "log"), []
+    for day, n in enumerate((3, 30, 1, 12, 400, 2)):
+        rows = [(f"2024-01-0{day + 1} 00:00:00", "batch", f"e{day}-{k}", "failed" if k % 2 else "success") for k in range(n)]
+        want += [r[2] for r in rows]
+        df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, ts string, mode string, event string, status string")
+        sinks.append_events(df.repartitionByRange(4 if n > 100 else 1, "k").sortWithinPartitions("k").drop("k"), path)
+    log = readers.events(spark, path)
+    assert [r.event for r in log.orderBy("ord").collect()] == want
+    assert [r.event for r in readers.numbered(log).orderBy("n").collect()] == want
+    assert sorted(r.n for r in readers.numbered(log).collect()) == list(range(1, len(want) + 1))
+    failed = [e for e in want if int(e.split("-")[1]) % 2]
+    assert [r.event for r in history.recent_failures(log).collect()] == failed[-5:][::-1]
+    for name in os.listdir(path):  # copying a log gives its files other times
+        os.utime(f"{path}/{name}", (1_700_000_000 + hash(name) % 1000,) * 2)
+    assert [r.event for r in readers.events(spark, path).orderBy("ord").collect()] == want
+
+
+def test_one_log_file_in_many_blocks(spark, tmp_path):
+    path = tmp_path / "history.jsonl"
+    path.write_text("".join(f'{{"timestamp": "2024-01-01 00:00:00", "mode": "batch", "event": "e{k}", "status": "failed"}}\n' + ("broken\n" if k % 50 == 0 else "") for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        log = readers.events(spark, str(path))
+        assert log.rdd.getNumPartitions() > 5
+        assert [r.event for r in log.orderBy("ord").collect()] == [f"e{k}" for k in range(3000)]
+        assert [r.event for r in history.recent_failures(log).collect()] == [f"e{k}" for k in range(2999, 2994, -1)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_extra_keys_win(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", "batch", "batch_submitted", '{"count": 3, "status": "failed", "batch_id": "b1"}'), ("2024-01-02 00:00:00", "book", "book_added", None), ("2024-01-03 00:00:00", "book", None, "[1]")]
+    lines = sinks.event_lines(spark.createDataFrame(rows, "ts string, mode string, event string, extra string").coalesce(1))
+    sinks.append_events(lines, str(tmp_path / "log"))
+    assert '"batch_id":"b1"' in lines.first().value
+    got = readers.events(spark, str(tmp_path / "log")).orderBy("ord").collect()
+    assert [(r.event, r.status, r["count"], r.title) for r in got] == [("batch_submitted", "failed", 3, ""), ("book_added", "success", None, ""), ("", "success", None, "")]
+
+
+# --- small rules ------------------------------------------------------------------------------------------------
+
+
+def test_described_standards_and_unknown_titles(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    say = lambda *x: one(standard.describe(*map(F.lit, x)))
+    assert say("GB/T 1677-2008", "2008-11-01", "现行", "2024-05-01") == "GB/T 1677-2008 | 2008-11-01 实施 | 状态 现行（2024-05-01 核实）"
+    assert say("", "", "", "") == "编号未识别 | 状态 未核实"
+    assert say("A", "", "废止", "") == "A | 状态 废止"
+    none = F.lit(None).cast("string")
+    assert one(citations.best_title(none, none, none, F.lit(True))) == "未知文献"
+    assert one(standard.lines(F.lit("a\x0bb\x0cc\x85d\u2028e\u2029f\r\ng"))) == list("abcdefg")
