@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom import vocab
+from stackloom.checkpoints import running_total
 from stackloom.functions.text import first_nonempty, nonempty, safe_title, strip
 
 # A citation, and an author's name behind a file title.
@@ -28,18 +29,19 @@ def valid(markers: DataFrame, docs: DataFrame) -> DataFrame:
 def numbered(markers: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, prefix, n): documents numbered by first appearance."""
     first = valid(markers, docs).groupBy("doc_id", "prefix").agg(F.min(F.struct("section_no", "pos")).alias("at"))
-    # One review's cited documents: a short list.
-    return first.select("doc_id", "prefix", F.row_number().over(Window.orderBy("at")).cast("long").alias("n"))
+    return running_total(first.repartitionByRange("at"), F.lit(1), ["at"], "_before").select("doc_id", "prefix", (F.col("_before") + 1).alias("n"))
 
 
 def renumber(sections: DataFrame, numbers: DataFrame) -> DataFrame:
     """Sections with their markers as numbers; markers without one are removed."""
-    maps = numbers.agg(F.map_from_entries(F.collect_list(F.struct("prefix", "n"))).alias("numbers"))
-    parts = F.split("markdown", MARKER, -1)
     found = F.regexp_extract_all("markdown", F.lit(MARKER), F.lit(1))
-    both = sections.join(F.broadcast(maps), F.lit(True)).select("section_no", parts.alias("parts"), found.alias("found"), F.coalesce("numbers", F.create_map().cast("map<string,bigint>")).alias("numbers"))
-    text = F.zip_with("parts", "found", lambda p, m: F.concat(p, F.coalesce(F.concat(F.lit("["), F.try_element_at("numbers", m).cast("string"), F.lit("]")), F.lit(""))))
-    return both.select("section_no", F.array_join(text, "").alias("markdown"))
+    pieces = F.arrays_zip(F.split("markdown", MARKER, -1).alias("text"), found.alias("prefix"))
+    each = sections.select("section_no", F.posexplode(pieces).alias("pos", "p")).select("section_no", "pos", "p.text", "p.prefix")
+    told = each.join(numbers.select("prefix", "n"), "prefix", "left")
+    text = F.concat("text", F.coalesce(F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]")), F.lit("")))
+    # A section's own pieces.
+    joined = told.groupBy("section_no").agg(F.sort_array(F.collect_list(F.struct("pos", text.alias("text")))).alias("all"))
+    return joined.select("section_no", F.array_join(F.transform("all", lambda x: x["text"]), "").alias("markdown"))
 
 
 def short_authors(authors: Column, title: Column, chinese: Column) -> Column:

@@ -6,13 +6,17 @@ labelled documents with a type by id, chunks are embeddings with their label as
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom import vocab
+from stackloom import schemas, vocab
+from stackloom.checkpoints import folder
 from stackloom.functions import chunking, citations, patent, standard, text
 from stackloom.operators import blocks, catalog, history, intake, retrieval, state
 from stackloom.plans import jobs
+from stackloom.sources import files, sinks, store
 
 TODAY = "2024-06-30"
 
@@ -194,7 +198,7 @@ def doc_mean_vectors(spark, sf):
 
 
 @query(
-    """, parts AS (SELECT doc_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM chunks),
+    """, parts AS (SELECT (chunk_id // 2)::VARCHAR AS doc_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM chunks),
 means AS (SELECT doc_id, i, avg(x) AS x FROM parts GROUP BY ALL), norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM means GROUP BY ALL),
 topic AS (SELECT unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE vec_id = 7),
 s AS (SELECT m.doc_id, sum(m.x / n.norm * t.y) AS score FROM means m JOIN norms n ON n.doc_id = m.doc_id JOIN topic t ON t.i = m.i GROUP BY ALL),
@@ -202,7 +206,9 @@ r AS (SELECT *, row_number() OVER (ORDER BY score, doc_id) AS k, count(*) OVER (
 SELECT doc_id, round(score, 6) AS score FROM r WHERE n <= 10 OR k > n * 3 // 10 ORDER BY score DESC LIMIT 80"""
 )
 def topic_prune(spark, sf):
-    return _rounded(retrieval.topic_prune(retrieval.document_vectors(chunks(spark, sf)), query_vector(spark, sf)))
+    # Documents of two chunks each: hundreds of them, so that both the floor and the cap cut.
+    pairs = chunks(spark, sf).withColumn("doc_id", F.expr("cast(chunk_id div 2 as string)"))
+    return _rounded(retrieval.topic_prune(retrieval.document_vectors(pairs), query_vector(spark, sf)))
 
 
 @query(
@@ -422,52 +428,92 @@ def chunk_stats(spark, sf):
     return _chunked(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("char_len").alias("longest"), F.sum("char_len").alias("chars"))
 
 
-#: Small layouts, pages and reviews, as the tables hold none.
-_BLOCKS = [
-    ("a", 0, "text", None, "Short note", 1, None, 0, {}, None),
-    ("a", 1, "text", None, "see doi 10.1000/abc.5). More", None, None, 0, {}, None),
-    ("a", 2, "image", None, None, None, "images\\f1.jpg", 1, {"image_caption": ["Fig. 1", "Growth"]}, None),
-    ("a", 3, "table", None, None, None, "images/t1.jpg", 2, {"table_caption": ["Table 1"], "other": ["x"]}, None),
-    ("a", 4, "list", "ref_text", None, None, None, 3, {}, ["[1] First.", " ", "[2] Second."]),
-    ("b", 0, "chart", None, None, None, "images/c.jpg", 0, {}, None),
-    ("b", 1, "list", "ref_text", None, None, None, 1, {}, ["[1] Only."]),
-]
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout blocks of all documents: their text, and planted titles, pictures, tables, charts, references and DOIs, as the tables hold none."""
+    n, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    none = F.lit(None).cast("string")
+    lists = lambda *x: F.array(*x).cast("array<string>")
+    held = lambda *kv: F.create_map(*kv).cast("map<string,array<string>>")
+
+    def block(pos, kind, when=None, sub=none, text_=none, path=none, page=0, captions=None, items=None):
+        fields = {"pos": F.lit(pos), "type": F.lit(kind), "sub_type": sub, "text": text_, "text_level": F.lit(1 if pos == 0 else None).cast("int"), "img_path": path, "page_idx": F.lit(page), "captions": held() if captions is None else captions, "items": F.lit(None).cast("array<string>") if items is None else items}
+        made = F.struct(*[c.alias(k) for k, c in fields.items()])
+        return made if when is None else F.when(when, made)
+
+    blocks_ = F.array(
+        block(0, "text", text_=F.concat(F.lit("Title "), s)),
+        block(1, "text", text_=F.concat(F.coalesce("text", F.lit("")), F.when(n % 6 == 0, F.concat(F.lit(" see doi 10.1000/abc."), s, F.lit("). More"))).otherwise(""))),
+        block(2, "image", n % 3 == 0, path=F.concat(F.lit("images\\f"), s, F.lit(".jpg")), page=1, captions=held(F.lit("image_caption"), lists(F.concat(F.lit("Fig. "), s), F.lit("Growth")))),
+        block(3, "table", n % 4 == 1, path=F.concat(F.lit("images/t"), s, F.lit(".jpg")), page=2, captions=held(F.lit("table_caption"), lists(F.concat(F.lit("Table "), s)), F.lit("other"), lists(F.lit("x")))),
+        block(4, "list", n % 5 == 2, sub=F.lit("ref_text"), page=3, items=lists(F.concat(F.lit("[1] First "), s, F.lit(".")), F.lit(" "), F.lit("[2] Second."))),
+        block(5, "chart", n % 7 == 0, path=F.lit("images/c.jpg")),
+        block(6, "list", n % 10 == 2, sub=F.lit("ref_text"), page=4, items=lists(F.lit("[3] Third."))),
+        block(7, "image", n % 11 == 0, page=4),
+    )
+    return table(spark, sf_dir, "documents").select(s.alias("doc_id"), F.explode(F.array_compact(blocks_)).alias("b")).select("doc_id", "b.*")
 
 
-def _layout(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_BLOCKS, "doc_id string, pos int, type string, sub_type string, text string, text_level int, img_path string, page_idx int, captions map<string,array<string>>, items array<string>")
+_ASSETS = """ WITH assets AS (SELECT doc_id::VARCHAR AS doc_id, 'figure' AS asset_type, 'images/f' || doc_id || '.jpg' AS img_path, 'Fig. ' || doc_id || ' Growth' AS caption, 1 AS page_idx FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id::VARCHAR, 'table', 'images/t' || doc_id || '.jpg', 'Table ' || doc_id, 2 FROM documents WHERE doc_id % 4 = 1
+  UNION ALL SELECT doc_id::VARCHAR, 'figure', 'images/c.jpg', '', 0 FROM documents WHERE doc_id % 7 = 0),
+refs AS (SELECT doc_id::VARCHAR AS doc_id, 1 AS ref_index, '[1] First ' || doc_id || '.' AS raw_text FROM documents WHERE doc_id % 5 = 2
+  UNION ALL SELECT doc_id::VARCHAR, 2, '[2] Second.' FROM documents WHERE doc_id % 5 = 2 UNION ALL SELECT doc_id::VARCHAR, 3, '[3] Third.' FROM documents WHERE doc_id % 10 = 2)"""
 
 
-@query(" SELECT * FROM (VALUES ('a', 'figure', 'images/f1.jpg', 'Fig. 1 Growth', 1), ('a', 'table', 'images/t1.jpg', 'Table 1', 2), ('b', 'figure', 'images/c.jpg', '', 0)) t(doc_id, asset_type, img_path, caption, page_idx)", tables=False)
+@query(_ASSETS + " SELECT * FROM assets", tables=False)
 def blocks_assets(spark, sf):
-    return blocks.assets(_layout(spark))
+    return blocks.assets(_layout(spark, sf))
 
 
-@query(" SELECT * FROM (VALUES ('a', 1, '[1] First.'), ('a', 2, '[2] Second.'), ('b', 1, '[1] Only.')) t(doc_id, ref_index, raw_text)", tables=False)
+@query(_ASSETS + " SELECT * FROM refs", tables=False)
 def blocks_refs(spark, sf):
-    return blocks.references(_layout(spark))
+    return blocks.references(_layout(spark, sf))
 
 
-@query(" SELECT doc_id, n_figures::BIGINT AS n_figures, n_tables::BIGINT AS n_tables, n_refs::BIGINT AS n_refs FROM (VALUES ('a', 1, 1, 2), ('b', 1, 0, 1)) t(doc_id, n_figures, n_tables, n_refs)", tables=False)
+@query(
+    _ASSETS
+    + """ SELECT doc_id, coalesce(n_figures, 0)::BIGINT AS n_figures, coalesce(n_tables, 0)::BIGINT AS n_tables, coalesce(n_refs, 0)::BIGINT AS n_refs
+  FROM (SELECT doc_id, count(*) FILTER (asset_type = 'figure') AS n_figures, count(*) FILTER (asset_type = 'table') AS n_tables FROM assets GROUP BY 1) FULL JOIN (SELECT doc_id, count(*) AS n_refs FROM refs GROUP BY 1) USING (doc_id)""",
+    tables=False,
+)
 def blocks_counts(spark, sf):
-    return blocks.counts(blocks.assets(_layout(spark)), blocks.references(_layout(spark)))
+    own = _layout(spark, sf)
+    return blocks.counts(blocks.assets(own), blocks.references(own))
 
 
-@query(" SELECT 'a' AS doc_id, '10.1000/abc.5' AS doi", tables=False)
+@query(
+    r""" SELECT doc_id, doi FROM (SELECT doc_id::VARCHAR AS doc_id, rtrim(regexp_extract(coalesce(text, '') || CASE WHEN doc_id % 6 = 0 THEN ' see doi 10.1000/abc.' || doc_id || '). More' ELSE '' END, '10\.\d{4,9}/[^\s"<>\]]+'), '.,;:)）。，；') AS doi FROM documents) WHERE doi <> ''""",
+    tables=False,
+)
 def doi_extract(spark, sf):
-    return blocks.dois(_layout(spark))
+    return blocks.dois(_layout(spark, sf))
+
 
+def _number(c):
+    return F.col(c).cast("string")
 
-_PAGES = [
-    (1, "(10)授权公告号 CN 112856361 B\n(21)申请号 201910472 305.X\n(22)申请日 2019 .06 .03\n(73)专利权人 东方大学地址 650599 某省\n(72)发明人 张三 李四\n(54)发明名称\n一种装置\n(57)摘要 A01B 3/02"),
-    (2, "United States Patent\nPatent No.: US 10,123,456 B2\n(22) Filed: Jun. 3, 2016\n(54) Device"),
-    (3, "A paper that cites a United States Patent once."),
-]
 
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, head): documents behind title pages of Chinese grants (two of ten), of American patents, or none."""
+    n = F.col("doc_id")
+    day = F.date_format(F.date_add(F.lit("2001-02-03").cast("date"), (n % 3000).cast("int")), "yyyy .MM .dd")
+    grant = F.concat(F.lit("(10)授权公告号 CN "), (n + 100000000).cast("string"), F.when(n % 10 == 3, " B").otherwise(" U"), F.lit("\n(21)申请号 201910472 305.X\n(22)申请日 "), day, F.lit("\n(73)专利权人 东方大学 地址 650599 某省\n(72)发明人 张三 李四\n(54)发明名称\n一种装置\n(57)摘要 A01B 3/02\n"))
+    american = F.concat(F.lit("United States Patent\nPatent No.: US "), F.format_number(n + 10000000, 0), F.lit(" B2\n(22) Filed: Jun. 3, 2016\n(54) Device\n"))
+    head = F.when(n % 10 == 3, grant).when(n % 10 == 4, grant).when(n % 10 == 6, american).when(n % 10 == 8, "A paper that cites a United States Patent once.\n").otherwise("")
+    return table(spark, sf_dir, "documents").select(n.alias("page"), F.concat(head, F.coalesce("text", F.lit(""))).alias("head"))
 
-@query(" SELECT * FROM (VALUES (1, 'CN112856361B', '2019-06-03', '一种装置', '张三 李四', '东方大学', '发明专利已授权', '2039-06-03', 7), (2, 'US10123456B2', '2016-06-03', '', '', '', '已授权', '2036-06-03', 2)) t(page, patent_no, filing_date, title, inventors, assignee, stage, expiry, marks)", tables=False)
+
+@query(
+    """ SELECT doc_id AS page, CASE WHEN doc_id % 10 = 6 THEN 'US' || (10000000 + doc_id) || 'B2' ELSE 'CN' || (100000000 + doc_id) || CASE WHEN doc_id % 10 = 3 THEN 'B' ELSE 'U' END END AS patent_no,
+  CASE WHEN doc_id % 10 = 6 THEN '2016-06-03' ELSE strftime(DATE '2001-02-03' + (doc_id % 3000)::INTEGER, '%Y-%m-%d') END AS filing_date, CASE WHEN doc_id % 10 = 6 THEN '' ELSE '一种装置' END AS title,
+  CASE WHEN doc_id % 10 = 6 THEN '' ELSE '张三 李四' END AS inventors, CASE WHEN doc_id % 10 = 6 THEN '' ELSE '东方大学' END AS assignee,
+  CASE doc_id % 10 WHEN 6 THEN '已授权' WHEN 3 THEN '发明专利已授权' ELSE '实用新型已授权' END AS stage,
+  strftime(CASE WHEN doc_id % 10 = 6 THEN DATE '2016-06-03' ELSE DATE '2001-02-03' + (doc_id % 3000)::INTEGER END + to_years(CASE WHEN doc_id % 10 = 4 THEN 10 ELSE 20 END), '%Y-%m-%d') AS expiry,
+  CASE WHEN doc_id % 10 = 6 THEN 2 ELSE 7 END AS marks FROM documents WHERE doc_id % 10 IN (3, 4, 6)""",
+    tables=False,
+)
 def patent_detect(spark, sf):
-    rows = spark.createDataFrame(_PAGES, "page int, head string").select("page", patent.fields(F.col("head")).alias("f")).filter("f is not null")
+    rows = _paged(spark, sf).select("page", patent.fields(F.col("head")).alias("f")).filter("f is not null")
     return rows.select("page", "f.patent_no", "f.filing_date", "f.title", "f.inventors", "f.assignee", "f.stage", "f.expiry", "f.marks")
 
 
@@ -476,19 +522,37 @@ def patent_stage_expiry(spark, sf):
     return details(spark, sf).select("doc_id", "patent_no", patent.expiry(F.col("patent_no"), F.col("filing_date")).alias("expiry"))
 
 
-_COVERS = [
-    (1, "中 华 人 民 共 和 国 国 家 标 准\n犌犅<sup>/</sup>T 1677—2008\n代替 GB/T 1677—1981\n增塑剂环氧值的测定\nDetermination of epoxy value\n2008-05-15 发布 2008-11-01 实施\n国家质量监督检验检疫总局"),
-    (2, "INTERNATIONAL STANDARD\nICS 67.200\nISO 5509:2000\nFats and oils preparation of esters"),
-    (3, "A paper with GB/T 1.1—2009."),
-]
+def _standards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, head): documents behind covers of national and international standards, or none."""
+    n = F.col("doc_id")
+    no = (n % 9000 + 1000).cast("string")
+    national = F.concat(F.lit("中 华 人 民 共 和 国 国 家 标 准\n犌犅<sup>/</sup>T "), no, F.lit("—2008\n代替 GB/T "), no, F.lit("—1981\n增塑剂环氧值的测定\nDetermination of epoxy value\n2008-05-15 发布 2008-11-01 实施\n国家质量监督检验检疫总局\n"))
+    international = F.concat(F.lit("INTERNATIONAL STANDARD\nICS 67.200\nISO "), no, F.lit(":2000\nFats and oils preparation of esters\n"))
+    head = F.when(n % 10 == 7, national).when(n % 10 == 2, international).when(n % 10 == 5, "A paper with GB/T 1.1—2009.\n").otherwise("")
+    return table(spark, sf_dir, "documents").select(n.alias("page"), F.concat(head, F.coalesce("text", F.lit(""))).alias("head"))
 
 
-@query(" SELECT * FROM (VALUES (1, 'GB/T 1677-2008', '增塑剂环氧值的测定', '2008-05-15', '2008-11-01', '2008', '国家质量监督检验检疫总局'), (2, 'ISO 5509:2000', '', '', '', '2000', '')) t(page, doc_no, title, issued, effective, year, issuer)", tables=False)
+@query(
+    """ SELECT doc_id AS page, CASE WHEN doc_id % 10 = 7 THEN 'GB/T ' || (doc_id % 9000 + 1000) || '-2008' ELSE 'ISO ' || (doc_id % 9000 + 1000) || ':2000' END AS doc_no, CASE WHEN doc_id % 10 = 7 THEN '增塑剂环氧值的测定' ELSE '' END AS title,
+  CASE WHEN doc_id % 10 = 7 THEN '2008-05-15' ELSE '' END AS issued, CASE WHEN doc_id % 10 = 7 THEN '2008-11-01' ELSE '' END AS effective, CASE WHEN doc_id % 10 = 7 THEN '2008' ELSE '2000' END AS year,
+  CASE WHEN doc_id % 10 = 7 THEN '国家质量监督检验检疫总局' ELSE '' END AS issuer FROM documents WHERE doc_id % 10 IN (2, 7)""",
+    tables=False,
+)
 def standard_detect(spark, sf):
-    rows = spark.createDataFrame(_COVERS, "page int, head string").select("page", standard.fields(F.col("head")).alias("f")).filter("f is not null")
+    rows = _standards(spark, sf).select("page", standard.fields(F.col("head")).alias("f")).filter("f is not null")
     return rows.select("page", "f.doc_no", "f.title", "f.issued", "f.effective", "f.year", "f.issuer")
 
 
+@query(
+    """ SELECT doc_id, coalesce(nullif(doc_no, ''), '编号未识别') || CASE WHEN n % 3 = 0 THEN ' | 2008-11-01 实施' ELSE '' END || ' | 状态 ' || CASE WHEN legal_status = '' THEN '未核实' ELSE legal_status || '（' || status_checked_at || ' 核实）' END AS line
+  FROM (SELECT * REPLACE (CASE WHEN n % 7 = 0 THEN '' ELSE doc_no END AS doc_no) FROM details)"""
+)
+def standard_lines(spark, sf):
+    n = F.col("n")
+    line = standard.describe(F.when(n % 7 == 0, "").otherwise(F.col("doc_no")), F.when(n % 3 == 0, "2008-11-01"), F.col("legal_status"), F.col("status_checked_at"))
+    return details(spark, sf).select("doc_id", line.alias("line"))
+
+
 #: Covers put before some documents' texts, as the tables hold no patents and standards.
 PATENT_COVER = "(10)授权公告号 CN 112856361 B\n(21)申请号 201910472305.X\n(22)申请日 2019.06.03\n(54)发明名称\n一种装置\n"
 STANDARD_COVER = "中华人民共和国国家标准\nGB/T 1677-2008\n增塑剂环氧值的测定\n2008-05-15 发布 2008-11-01 实施\n"
@@ -589,44 +653,127 @@ def reference_lines(spark, sf):
     return rows.select("doc_id", citations.reference(F.col("n"), F.col("doc_id"), F.col).alias("line"))
 
 
-_SECTIONS = [(1, "One [@aaaaaaaa] and [@bbbbbbbb]. Bad [@cccccccc] and [@aaaaaaaa1]."), (2, "Again [@bbbbbbbb], then [@dddddddd].")]
-_CITED = [
-    ("aaaaaaaa11", "paper", "First_Li", "", "", "Li A, Wu B, Xu C, Yu D", "Journal", "2001", "10.1/x"),
-    ("bbbbbbbb22", "book", "Second", "第二", "", "", "", "2002", ""),
-    ("dddddddd33", "patent", "Third", "", "Third", "Ma E", "", "2003", ""),
-]
+def _review(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A section a document, which cites itself, another document, and two that there are not; and the cited documents."""
+    own = papers(spark, sf_dir)
+    mark = lambda c: F.concat(F.lit("[@"), F.left(_key(c), F.lit(8)), F.lit("]"))
+    told = own.withColumn("other", F.col("doc_id") * 7 % 101)
+    text_ = F.concat(F.lit("One "), mark("doc_id"), F.lit(" and "), mark("other"), F.lit(". Bad [@00000000], "), F.lit("[@zz] and "), mark("doc_id"), F.lit("."))
+    sections = told.select((1000000 - F.col("doc_id")).alias("section_no"), text_.alias("markdown"))
+    n = F.col("doc_id")
+    kinds = {"doc_type": F.when(n % 3 == 0, "paper").when(n % 3 == 1, "book").otherwise("patent"), "title": F.concat(F.lit("File"), _number("doc_id")), "title_zh": F.lit(""), "title_en": F.when(n % 2 == 0, F.concat(F.lit("Title "), _number("doc_id"))).otherwise(""), "authors": F.when(n % 5 < 3, "Li A, Wu B, Xu C, Yu D").otherwise(""), "journal": F.lit("Journal"), "year": F.lit("2001"), "doi": F.when(n % 4 == 0, "10.1/x").otherwise("")}
+    rest = {c: F.lit("") for c in ("pub_place", "publisher", "edition", "patent_no", "filing_date", "doc_no", "url")}
+    docs = own.select(F.col("id").alias("doc_id"), *[c.alias(k) for k, c in (kinds | rest | {"language": F.lit("en")}).items()])
+    return sections, docs
 
 
-def _review(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    docs = spark.createDataFrame(_CITED, "doc_id string, doc_type string, title string, title_zh string, title_en string, authors string, journal string, year string, doi string")
-    rest = {c: F.lit("") for c in ("pub_place", "publisher", "edition", "patent_no", "filing_date", "doc_no", "url")}
-    return spark.createDataFrame(_SECTIONS, "section_no int, markdown string"), docs.withColumns(rest | {"language": F.lit("en")})
+_NUMBERS = """, s AS (SELECT 1000000 - doc_id AS section_no, doc_id AS own, doc_id * 7 % 101 AS other FROM papers),
+m AS (SELECT section_no, 0 AS pos, left(sha256(own::VARCHAR), 8) AS prefix FROM s UNION ALL SELECT section_no, 1, left(sha256(other::VARCHAR), 8) FROM s),
+k AS (SELECT left(id, 8) AS prefix, max(id) AS id FROM papers GROUP BY 1), f AS (SELECT k.id, k.prefix, min(section_no * 10 + pos) AS spot FROM m JOIN k USING (prefix) GROUP BY ALL),
+numbers AS (SELECT id, prefix, row_number() OVER (ORDER BY spot) AS n FROM f)"""
 
 
-@query(" SELECT * FROM (VALUES ('aaaaaaaa11', 1::BIGINT), ('bbbbbbbb22', 2::BIGINT), ('dddddddd33', 3::BIGINT)) t(doc_id, n)", tables=False)
+@query(_NUMBERS + " SELECT id AS doc_id, n FROM numbers")
 def citation_numbering(spark, sf):
-    sections, docs = _review(spark)
+    sections, docs = _review(spark, sf)
     return citations.numbered(citations.marked(sections), docs).select("doc_id", "n")
 
 
-@query(" SELECT * FROM (VALUES (1, 'One [1] and [2]. Bad  and .'), (2, 'Again [2], then [3].')) t(section_no, markdown)", tables=False)
+@query(
+    _NUMBERS
+    + """ SELECT section_no, 'One ' || coalesce('[' || a.n || ']', '') || ' and ' || coalesce('[' || b.n || ']', '') || '. Bad , [@zz] and ' || coalesce('[' || a.n || ']', '') || '.' AS markdown
+  FROM s LEFT JOIN numbers a ON a.prefix = left(sha256(own::VARCHAR), 8) LEFT JOIN numbers b ON b.prefix = left(sha256(other::VARCHAR), 8)"""
+)
 def citation_filter(spark, sf):
-    return jobs.assemble(*_review(spark))[0]
+    return jobs.assemble(*_review(spark, sf))[0]
 
 
-@query(" SELECT * FROM (VALUES ('[1] Li A, Wu B, Xu C, et al. First_Li[J]. Journal, 2001. DOI: 10.1/x. [[First_Li_aaaaaaaa]]'), ('[2] Unknown. Second[M]. 2002.'), ('[3] Ma E. Third[P]. 2003. [[Third_dddddddd]]')) t(line)", tables=False)
+@query(
+    _NUMBERS
+    + """, c AS (SELECT u.n, p.id, p.doc_id AS d FROM numbers u JOIN papers p ON p.id = u.id),
+l AS (SELECT n, id, d, '[' || n || '] ' || CASE WHEN d % 5 < 3 THEN 'Li A, Wu B, Xu C, et al' ELSE 'Unknown' END || '. ' || CASE WHEN d % 2 = 0 THEN 'Title ' || d ELSE 'File' || d END AS lead, ' [[File' || d || '_' || left(id, 8) || ']]' AS link FROM c)
+SELECT lead || CASE d % 3 WHEN 0 THEN '[J]. Journal, 2001.' || CASE WHEN d % 4 = 0 THEN ' DOI: 10.1/x.' ELSE '' END || link WHEN 1 THEN '[M]. 2001.' ELSE '[P]. 2001.' || link END AS line FROM l"""
+)
 def format_reference(spark, sf):
-    return jobs.assemble(*_review(spark))[1].select("line")
+    return jobs.assemble(*_review(spark, sf))[1].select("line")
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as book files of five folders."""
+    n = F.col("doc_id")
+    verdict = F.when(n % 13 == 5, "corrupt").when(n % 17 == 3, "transient").otherwise("ok")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("day"), (n % 5).cast("string")).alias("batch"), F.lpad(n.cast("string"), 9, "0").alias("name"), (n % 10 == 1).alias("known"), (n % 10 == 2).alias("epub"), verdict.alias("verdict"), (n * 37 % 90).alias("pages"))
 
 
 @query(
-    """ SELECT * FROM (VALUES ('day1', 'a', 'ok', 6::BIGINT), ('day1', 'b', 'deferred', 0::BIGINT), ('day1', 'c', 'ok', 2::BIGINT), ('day2', 'a', 'skipped', 0::BIGINT), ('day2', 'b', 'ok', 40::BIGINT), ('day2', 'c', 'quarantined', 0::BIGINT), ('day2', 'd', 'ok', 0::BIGINT), ('day2', 'e', 'deferred', 0::BIGINT)) t(batch, name, outcome, pages)""",
+    """ WITH RECURSIVE books AS (SELECT 'day' || doc_id % 5 AS batch, lpad(doc_id::VARCHAR, 9, '0') AS name, doc_id % 10 = 1 AS known, doc_id % 10 = 2 AS epub, doc_id * 37 % 90 AS pages,
+  CASE WHEN doc_id % 13 = 5 THEN 'corrupt' WHEN doc_id % 17 = 3 THEN 'transient' ELSE 'ok' END AS verdict FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY name) AS k, CASE WHEN known THEN 'skipped' WHEN epub THEN 'ok' WHEN verdict = 'corrupt' THEN 'quarantined' WHEN verdict = 'transient' THEN 'failed' END AS settled FROM books),
+steps AS (SELECT batch, ''::VARCHAR AS name, 0::BIGINT AS k, ''::VARCHAR AS outcome, 0::BIGINT AS pages, 0::BIGINT AS used FROM (SELECT DISTINCT batch FROM placed)
+  UNION ALL SELECT p.batch, p.name, p.k, coalesce(p.settled, CASE WHEN s.used > 0 AND p.pages > 1000 - s.used THEN 'deferred' ELSE 'ok' END),
+    CASE WHEN p.settled IS NULL AND NOT (s.used > 0 AND p.pages > 1000 - s.used) THEN p.pages ELSE 0 END, s.used + CASE WHEN p.settled IS NULL AND NOT (s.used > 0 AND p.pages > 1000 - s.used) THEN p.pages ELSE 0 END
+  FROM steps s JOIN placed p ON p.batch = s.batch AND p.k = s.k + 1)
+SELECT batch, name, outcome, pages FROM steps WHERE k > 0""",
     tables=False,
 )
 def intake_budget(spark, sf):
-    day1 = [("day1", n, False, False, "ok", p) for n, p in (("a", 6), ("b", 6), ("c", 2))]
-    day2 = [("day2", "a", True, False, "ok", 5), ("day2", "b", False, False, "ok", 40), ("day2", "c", False, False, "corrupt", 0), ("day2", "d", False, True, "ok", 0), ("day2", "e", False, False, "ok", 1)]
-    return intake.decide(spark.createDataFrame(day1 + day2, "batch string, name string, known boolean, epub boolean, verdict string, pages long"), 10)
+    return intake.decide(_books(spark, sf), 1000)
+
+
+#: Buckets of the stores that queries write.
+BUCKETS = 16
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[store.Store, list[int]]:
+    """A store of all papers after an upsert of a few, some of them new; and the buckets it wrote anew."""
+    own = papers(spark, sf_dir)
+    made = store.Store(spark, f"{folder(spark)}/{uuid.uuid4().hex}", schemas.PAPERS, "id", BUCKETS)
+    made.upsert(schemas.conform(own.filter("doc_id % 300 <> 7"), schemas.PAPERS))
+    few = own.filter("doc_id % 150 = 7").withColumns({"status": F.lit("EXPORTED"), "title": F.lit("again")})
+    return made, made.upsert(schemas.conform(few, schemas.PAPERS))
+
+
+@query(" SELECT id, CASE WHEN doc_id % 150 = 7 THEN 'again' ELSE title END AS title, CASE WHEN doc_id % 150 = 7 THEN 'EXPORTED' ELSE status END AS status, markdown FROM papers WHERE doc_id % 300 <> 7 OR doc_id % 150 = 7")
+def store_upsert(spark, sf):
+    return _stored(spark, sf)[0].read().select("id", "title", "status", "markdown")
+
+
+@query(f" SELECT b AS bucket, count(*) AS n, bool_or(again) AS rewritten FROM (SELECT (('0x' || left(md5(id), 8))::BIGINT % {BUCKETS})::INTEGER AS b, doc_id % 150 = 7 AS again FROM papers) GROUP BY 1")
+def store_buckets(spark, sf):
+    made, touched = _stored(spark, sf)
+    rows = made.read().groupBy(store.bucket(F.col("id"), BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
+    return rows.withColumn("rewritten", F.col("bucket").isin(touched))
+
+
+@query(" SELECT event, status, event_id, n FROM (SELECT *, row_number() OVER (ORDER BY (event_id * 5 + 3) % 4, event_id) AS n FROM (SELECT event_id, event_type AS event, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status FROM events)) WHERE status = 'failed'", tables=False)
+def log_failures(spark, sf):
+    """Events appended in four writes, each of several files and in another order than of ids, and numbered as the log has them."""
+    e = table(spark, sf, "events")
+    rows = e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.lit("batch").alias("mode"), F.col("event_type").alias("event"), F.when(F.col("event_id") % 5 == 0, "failed").otherwise("success").alias("status"), F.to_json(F.struct(F.col("event_id").alias("count"))).alias("extra"))
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    for k in range(4):
+        own = rows.filter((F.col("event_id") * 5 + 3) % 4 == k)
+        sinks.append_events(sinks.event_lines(own.repartitionByRange(3, "event_id").sortWithinPartitions("event_id")), path)
+    return files.numbered(files.events(spark, path)).filter("status = 'failed'").select("event", "status", F.col("count").alias("event_id"), "n")
+
+
+@query(
+    """ WITH RECURSIVE c AS (SELECT doc_id % 50 AS section, 'img/' || (doc_id * 13 % 200) AS img_path, (doc_id * 37 % 1000) / 1000.0::DOUBLE AS score, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE 'caption' END AS caption FROM documents),
+g AS (SELECT section, img_path, max(score) AS score FROM c WHERE score >= 0.2 AND trim(caption) <> '' GROUP BY ALL),
+l AS (SELECT section, row_number() OVER (ORDER BY section) AS k, list(img_path ORDER BY score DESC, img_path) AS paths FROM g GROUP BY section),
+r AS (SELECT 0::BIGINT AS k, 0::BIGINT AS section, []::VARCHAR[] AS used, []::VARCHAR[] AS placed
+  UNION ALL SELECT l.k, l.section, list_concat(r.used, list_filter(list_filter(l.paths, lambda p: NOT list_contains(r.used, p))[1:2], lambda p: substr(p, 5)::INTEGER % 3 <> 0)),
+    list_filter(list_filter(l.paths, lambda p: NOT list_contains(r.used, p))[1:2], lambda p: substr(p, 5)::INTEGER % 3 <> 0) FROM r JOIN l ON l.k = r.k + 1),
+o AS (SELECT section, unnest(placed) AS img_path FROM r WHERE k > 0)
+SELECT o.section, o.img_path, g.score FROM o JOIN g ON g.section = o.section AND g.img_path = o.img_path""",
+    tables=False,
+)
+def figures_choice(spark, sf):
+    """Figures of fifty sections; a third of the files is missing."""
+    n = F.col("doc_id")
+    rows = table(spark, sf, "documents").select((n % 50).alias("section"), F.concat(F.lit("img/"), (n * 13 % 200).cast("string")).alias("img_path"), F.when(n % 9 == 0, " ").otherwise("caption").alias("caption"), ((n * 37 % 1000) / F.lit(1000.0)).alias("score"))
+    have = rows.filter("cast(substr(img_path, 5) as int) % 3 <> 0").select(F.col("img_path").alias("path")).distinct()
+    return retrieval.figures(rows, have).select("section", "img_path", "score")
 
 
 @query(" SELECT p_partkey AS doc_id, k + 1 AS part, k * 10 AS first_page, least(k * 10 + 10, p_size) - 1 AS last_page FROM (SELECT p_partkey, p_size, unnest(range(0, (p_size + 9) // 10))::INTEGER AS k FROM part)", tables=False)
