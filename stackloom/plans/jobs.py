@@ -31,7 +31,10 @@ def index(papers: DataFrame, meta: DataFrame, details: DataFrame, config: Config
 
 def detect(head: Column) -> Column:
     """Type and fields of a document from its first page: patent before standard; '' if neither."""
-    p, s = patent.fields(head), standard.fields(head)
+    return text.let(F.struct(patent.fields(head).alias("p"), standard.fields(head).alias("s")), lambda both: _detected(both["p"], both["s"]))
+
+
+def _detected(p: Column, s: Column) -> Column:
     empty = F.lit("")
     named = lambda f: F.when(p.isNotNull(), f[0]).when(s.isNotNull(), f[1]).otherwise("")
     out = {
