@@ -29,7 +29,8 @@ def hot_keys(sizes: DataFrame, *keys: str, times: str = "times") -> list[int]:
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: list[int], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table``, which has a row a key; rows of the ``hot`` keys are dealt over many tasks.
 
-    A hot key's row of ``table`` is copied for each of these, ``HOT`` times at most.
+    A hot key's row of ``table`` is copied for each of these, ``HOT`` times at most.  Rows are dealt by a hash of all their
+    columns, so ``rows`` should hold one that tells rows of a key apart; rows that are wholly alike go to one task.
     """
     n = max(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), HOT), 1)
     # Without hot keys a hash that hardly any key has stands in, so that the plan is the same at every size.

@@ -13,7 +13,10 @@ with another's, or with an entity that occurs, are keyed anew until none collide
 get longer thereby, small private IP ranges give way to a large one, and where a fixed format has too
 few surrogates an error says so.  Texts are searched twice: once to list the entities with a hash of
 their text, which also tells which texts hold entities keyed anew, and once to replace them.  The turns
-of such texts come by a join, a broadcast only where Spark knows the written table to be small.
+of such texts come by a join, a broadcast only where Spark knows the written table to be small; otherwise texts are shuffled by their
+hash, frequent ones and those without entities dealt over all tasks.
+
+Names are found behind a title only: a name alone is not told from other words and stays.
 
 Null texts stay null, empty ones empty; documents without entities stay as they are; repeated rows
 are treated alike; other columns pass through (an existing ``n_entities`` is replaced), working
@@ -22,11 +25,13 @@ columns take names that are free; empty tables give empty tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.checkpoints import cut, drop
-from stackloom.llm._jobs import unused
+from stackloom.llm._jobs import hot_keys, spread_join, unused
 
 #: Rounds of keying anew without fewer collisions, after which a space of surrogates counts as exhausted.
 STALLED = 40
@@ -133,12 +138,13 @@ def _script(name: Column) -> Column:
 
 
 def _of(items: list[str], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, items)), (F.pmod(n, F.lit(len(items))) + 1).cast("int"))
+    # One literal that Spark folds into an array; a literal an item would make the plan, and the calls that build it, many times larger.
+    return F.element_at(F.split(F.lit(" ".join(items)), " "), (F.pmod(n, F.lit(len(items))) + 1).cast("int"))
 
 
-def _syllables(letters: str, digest: Column, turn: Column, least: int) -> Column:
-    """A capitalised word of ``least`` syllables, and of one more for each turn, as far as the digest reaches."""
-    parts = [_of(SYLLABLES[letters], _number(digest, 1 + 7 * k)) for k in range(9)]
+def _syllables(letters: str, numbers: list[Column], turn: Column, least: int) -> Column:
+    """A capitalised word of ``least`` syllables, and of one more for each turn, as far as the numbers reach."""
+    parts = [_of(SYLLABLES[letters], n) for n in numbers]
     return F.initcap(F.concat(*parts[:least], *(F.when(turn > k, part).otherwise("") for k, part in enumerate(parts[least:]))))
 
 
@@ -154,9 +160,12 @@ def _name(key: str, kind: Column, name: Column, turn: Column) -> Column:
 
     def made(s: Column) -> Column:
         out = whole
+        numbers = {c: [_number(s[c], 1 + 7 * k) for k in range(9)] for c in ("last", "first")}
+        last = {x: _syllables(x, numbers["last"], turn, 4) for x in SYLLABLES}
+        later = {x: _syllables(x, numbers["first"], turn - 1, 3) for x in SYLLABLES}
         for (gender, letters), end in ENDS.items():
-            surname = F.concat(_syllables(letters, s["last"], turn, 4), F.lit(end))
-            first = F.when(turn == 0, _of(FIRST[gender, letters], _number(s["first"], 1))).otherwise(F.concat(_syllables(letters, s["first"], turn - 1, 3), F.lit(FIRST_ENDS[gender, letters])))
+            surname = F.concat(last[letters], F.lit(end))
+            first = F.when(turn == 0, _of(FIRST[gender, letters], numbers["first"][0])).otherwise(F.concat(later[letters], F.lit(FIRST_ENDS[gender, letters])))
             out = F.when((kind == gender) & (script == letters), surname).when((kind == f"{gender} first") & (script == letters), first).otherwise(out)
         return out
 
@@ -173,12 +182,19 @@ def units(kind: Column, entity: Column) -> Column:
     return F.when(kind.isin("man", "woman"), named).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("unit"))))
 
 
+#: First parts of addresses of which some are not public: private, shared, loopback, link-local, for tests.
+_MIXED = (10, 100, 127, 169, 172, 192, 198, 203)
+
+
 def _ip(entity: Column, digest: Column, turn: Column) -> Column:
-    """An address whose private ranges stay private; where a small one is crowded, later turns take the largest."""
-    part = lambda k: (F.pmod(_number(digest, 1 + 7 * k), F.lit(222 if k == 0 else 254)) + 1).cast("string")
-    own = F.regexp_extract(entity, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
+    """An address whose private and local ranges stay, and that stays public otherwise; where a small range is crowded, later turns take the largest private one."""
+    part = lambda k: (F.pmod(_number(digest, 1 + 7 * k), F.lit(254)) + 1).cast("string")
+    public = F.pmod(_number(digest, 1), F.lit(223 - len(_MIXED))) + 1
+    for n in _MIXED:
+        public = public + F.when(public >= n, 1).otherwise(0)
+    own = F.regexp_extract(entity, r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
     range_ = F.when((F.length(own) > 4) & (turn > CROWDED), "10.").otherwise(own)
-    out = F.when(range_ == "", F.concat_ws(".", part(0), part(1), part(2), part(3)))
+    out = F.when(range_ == "", F.concat_ws(".", public.cast("string"), part(1), part(2), part(3)))
     return out.when(F.length(range_) <= 4, F.concat(range_, F.concat_ws(".", part(1), part(2), part(3)))).otherwise(F.concat(range_, F.concat_ws(".", part(2), part(3))))
 
 
@@ -219,33 +235,45 @@ def found(df: DataFrame, text: str, parts: str, entities: str) -> DataFrame:
 
 
 def collisions(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, unit, turn) of the distinct ``entities(kind, unit)`` that have to be keyed anew.
+    """(kind, unit, turn) of the distinct ``entities(kind, unit)`` that have to be keyed anew, in a written table.
 
-    A surrogate collides with that of a smaller entity of its kind, or with any entity that occurs.
+    A surrogate collides with that of a smaller unit of its kind, or with any unit that occurs.  What collides is keyed anew, against
+    all that have found a surrogate, and nothing else is looked at again.
     """
     kind = F.when(F.col("kind").isin("man", "woman"), "man").otherwise(F.col("kind"))
     known = cut(entities.select("kind", "unit").distinct())
-    turns = cut(known.select("kind", "unit", F.lit(0).alias("turn")))
-    fewest, stalled = None, 0
+    real = known.select(F.col("unit").alias("new"), kind.alias("class")).distinct()
+    settled: list[DataFrame] = []
+    written: list[DataFrame] = []
+    again, turn, fewest, stalled = known, 0, None, 0
     while True:
         # The surrogates' expression is large; behind the written table the plans below stay small.
-        now = cut(turns.withColumn("new", surrogate(key, F.col("kind"), F.col("unit"), F.col("turn"))).withColumn("class", kind))
-        clash = now.groupBy("class", "new").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low < high")
-        taken = now.join(clash, ["class", "new"]).filter("unit > low").select("kind", "unit")
-        real = now.join(known.select(F.col("unit").alias("new"), kind.alias("class")).distinct(), ["class", "new"], "left_semi").select("kind", "unit")
-        again = cut(taken.union(real).distinct())
+        now = cut(again.withColumn("turn", F.lit(turn)).withColumn("new", surrogate(key, F.col("kind"), F.col("unit"), F.col("turn"))).withColumn("class", kind))
+        clash = now.groupBy("class", "new").agg(F.min("unit").alias("low"))
+        marked = now.join(clash, ["class", "new"]).join(real.withColumn("real", F.lit(True)), ["class", "new"], "left")
+        if settled:
+            others = reduce(DataFrame.union, settled).groupBy("class", "new").agg(F.min("unit").alias("other"))
+            marked = marked.join(others, ["class", "new"], "left")
+        bad = (F.col("unit") > F.col("low")) | F.col("real").isNotNull()
+        if settled:
+            bad = bad | (F.col("unit") != F.col("other"))
+        marked = cut(marked.select("kind", "unit", "turn", "new", "class", F.coalesce(bad, F.lit(False)).alias("bad")))
         drop(now)
-        left = again.count()
-        if not left:
-            return turns.filter("turn > 0")
-        fewest, stalled = (left, 0) if fewest is None or left < fewest else (fewest, stalled + 1)
+        written.append(marked)
+        settled.append(marked.filter("not bad").drop("bad"))
+        again = marked.filter("bad").select("kind", "unit")
+        n = again.count()
+        if not n:
+            break
+        stalled = 0 if fewest is None or n < fewest else stalled + 1
+        fewest = n if fewest is None else min(n, fewest)
         if stalled >= STALLED:
             kinds = sorted(r.kind for r in again.select("kind").distinct().collect())
-            raise ValueError(f"too few surrogates of the kinds {', '.join(kinds)}: {left} entities have none of their own")
-        step = again.withColumn("more", F.lit(1))
-        before = turns
-        turns = cut(turns.join(step, ["kind", "unit"], "left").select("kind", "unit", (F.col("turn") + F.coalesce("more", F.lit(0))).alias("turn")))
-        drop(before, again)
+            raise ValueError(f"too few surrogates of the kinds {', '.join(kinds)}: {n} entities have none of their own")
+        turn += 1
+    out = cut(reduce(DataFrame.union, settled).filter("turn > 0").select("kind", "unit", "turn"))
+    drop(known, *written)
+    return out
 
 
 def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -255,14 +283,18 @@ def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     parts, entities, row, turns = (unused(name, columns) for name in ("_parts", "_entities", "_row", "_turns"))
     each = F.explode(F.flatten(F.transform("entities", lambda e: e.units))).alias("e")
     listed = found(df.select(F.col(text).alias("text")), "text", "parts", "entities").filter("entities is not null")
-    listed = cut(listed.select(F.xxhash64("text").alias("row"), each).select("row", "e.kind", "e.unit").distinct())
-    exceptions = cut(collisions(listed, key))
+    listed = listed.select(F.xxhash64("text").alias("row"), each).groupBy("row", "e.kind", "e.unit").agg(F.count("*").alias("times"))
+    listed = cut(listed.select("row", "kind", "unit", "times"))
+    exceptions = collisions(listed, key)
     anew = listed.join(exceptions, ["kind", "unit"])
     code = lambda kind, unit: F.concat_ws("\x1f", kind, unit)
     held = cut(anew.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct(code("kind", "unit"), "turn"))).alias(turns)))
+    hot = hot_keys(listed.groupBy("row").agg(F.max("times").alias("times")), "row")
     drop(listed, exceptions)
-    # A hash stands for a text; where two texts share one, each finds its own entities among the turns of both.
-    marked = found(df.withColumn(row, F.xxhash64(text)).join(held, row, "left"), text, parts, entities)
+    # A hash stands for a text; where two texts share one, each finds its own entities among the turns of both.  Texts without
+    # an entity meet nothing, and are dealt by their place.
+    own = F.when(F.col(text).rlike(_SIGN), F.xxhash64(text)).otherwise(F.xxhash64(F.lit(row), F.monotonically_increasing_id()))
+    marked = found(spread_join(df.withColumn(row, own), held, [row], hot, "left"), text, parts, entities)
     turn = lambda u: F.coalesce(F.element_at(turns, code(u["kind"], u["unit"])), F.lit(0))
     made = lambda e: F.array_join(F.transform(e.units, lambda u: surrogate(key, u["kind"], u["unit"], turn(u))), " ")
     news = F.transform(entities, lambda e: F.concat(e.lead, made(e)))

@@ -175,7 +175,8 @@ def copies(docs: DataFrame) -> DataFrame:
     seeds = cut(texts.mapInArrow(tidied(_seed_rows), "seed long, place long, doc_id long"))
     twice = seeds.groupBy("seed").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("times")).filter("low < high")
     twice = cut(twice.select("seed", "times"))
-    holders = spread_join(seeds.select("seed", "doc_id"), twice.select("seed"), ["seed"], hot_keys(twice, "seed"))
+    # With their places, as rows that are alike in all columns would be dealt to one task.
+    holders = spread_join(seeds, twice.select("seed"), ["seed"], hot_keys(twice, "seed"))
     spans = copied.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("copied"))
     unsure = cut(holders.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")).join(spans, "doc_id", "left"))
     drop(seeds, twice)

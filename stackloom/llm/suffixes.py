@@ -189,7 +189,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     told = cut(told.filter(F.col("n") >= LENGTH))
     same = ["words_a", "words_b", "n"]
     classes = cut(told.groupBy(*same).agg(F.min(F.struct("doc_id", "seeds")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")))
-    seeds = classes.select(F.col("low").alias("doc_id"), F.explode("first.seeds").alias("seed"))
+    seeds = classes.select(F.col("low").alias("doc_id"), F.posexplode("first.seeds").alias("place", "seed"))
     twice = cut(seeds.groupBy("seed").agg(F.count("*").alias("times")).filter("times > 1"))
     wanted = cut(spread_join(seeds, twice.select("seed"), ["seed"], hot_keys(twice, "seed")).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
     drop(twice)

@@ -290,6 +290,67 @@ def test_surrogates_replace_just_the_entities(spark):
     assert len(set(mapping.values())) == len(mapping)
 
 
+def test_public_addresses_stay_public(spark):
+    import ipaddress
+
+    rng = np.random.default_rng(4)
+    olds = {".".join(map(str, rng.integers(1, 255, 4))) for _ in range(4000)} | {f"10.1.{k}.2" for k in range(99)} | {f"172.{16 + k % 16}.3.{k + 1}" for k in range(99)} | {f"192.168.1.{k + 1}" for k in range(50)} | {f"169.254.7.{k + 1}" for k in range(20)} | {f"127.0.0.{k + 1}" for k in range(20)}
+    docs = list(enumerate(sorted(olds)))
+    out = {r.doc_id: r.text for r in privacy.replace(spark.createDataFrame(docs, DOCS), "key").collect()}
+    special = lambda t: not ipaddress.ip_address(t).is_global
+    first = {"10": 1, "127": 1, "172": 1, "192": 1, "169": 1}
+    for k, old in docs:
+        if ipaddress.ip_address(old).is_global:
+            assert not special(out[k]), (old, out[k])
+        elif old.split(".")[0] in first and (ipaddress.ip_address(old).is_private or ipaddress.ip_address(old).is_loopback) and not old.startswith(("192.0.", "192.88.")):
+            assert special(out[k]) and out[k].split(".")[0] == old.split(".")[0]
+    assert len(set(out.values())) == len(docs) and not set(out.values()) & olds
+
+
+def test_all_kinds_by_a_plain_reading(spark):
+    """Each kind keeps its form, between texts that stay as they are; equal entities become equal ones."""
+    card = lambda n: next(t for d in range(10) if _luhn(t := f"4{n:014d}{d}"))
+    made = {
+        "email": lambda k: f"user{k}.a@host{k % 5}.example.com",
+        "secret": lambda k: f"token = {k:06d}abcdefgh",
+        "access": lambda k: f"AKIA{k:04d}ABCDEFGHIJKL",
+        "ip": lambda k: f"{k + 11}.20.30.{k + 1}",
+        "ssn": lambda k: f"{k + 100}-45-{k + 6000}",
+        "card": card,
+        "phone": lambda k: f"+49 {k + 200} 555 {k + 1000}",
+        "iban": lambda k: f"DE{k + 10} {k + 1000} {k + 2000} {k + 3000} {k + 4000} 12",
+        "name": lambda k: f"Frau {'ABCDEFGHIJ'[k % 10]}nna {'BCDFGHJKLM'[k // 10]}auer",
+    }
+    form = {
+        "email": r"user\d+|[a-z]+\d*\.[a-z]@.+\.example\.org|.+@.+\.example\.org",
+        "secret": r"token = \d{6}[a-z]{8}",
+        "access": r"AKIA\d{4}[A-Z]{12}",
+        "ip": r"\d+\.\d+\.\d+\.\d+",
+        "ssn": r"\d{3}-\d{2}-\d{4}",
+        "card": r"4\d{15}",
+        "phone": r"\+49 \d{3} \d{3} \d{4}",
+        "iban": r"DE\d{2} \d{4} \d{4} \d{4} \d{4} \d{2}",
+        "name": r"Frau \w+ \w+son",
+    }
+    docs = [(100 * n + k, f"before {make(k % 40)} between {make((k + 7) % 40)} after") for n, make in enumerate(made.values()) for k in range(60)]
+    docs += [(5000 + k, docs[3][1]) for k in range(30)] + [(6000, None), (6001, ""), (6002, "x" * 200_000 + " " + docs[3][1])]
+    out = {r.doc_id: r.text for r in privacy.replace(spark.createDataFrame(docs, DOCS), "key").collect()}
+    for n, (kind, make) in enumerate(made.items()):
+        new = {}
+        for k in range(60):
+            found = re.fullmatch("before (.+) between (.+) after", out[100 * n + k]).groups()
+            for old, x in zip((make(k % 40), make((k + 7) % 40)), found):
+                assert new.setdefault(old, x) == x != old and re.fullmatch(form[kind], x), (kind, old, x)
+                assert kind != "card" or _luhn(x)
+        assert len(set(new.values())) == 40
+    assert all(out[5000 + k] == out[3] for k in range(30)) and out[6000] is None and out[6001] == ""
+    assert out[6002] == "x" * 200_000 + " " + out[3]
+
+
+def _luhn(card):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(card)) % 10 == 0
+
+
 def test_greek_names(spark):
     out = privacy.replace(spark.createDataFrame([(1, "Κυρία Μαρία Παπαδοπούλου εδώ")], DOCS), "key").first()
     first, last = re.fullmatch(r"Κυρία (\w+) (\w+) εδώ", out.text).groups()
