@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +16,7 @@ from pyspark.sql import types as T
 
 from stackloom import schemas
 from stackloom.checkpoints import running_total
+from stackloom.functions.text import strip
 
 # An ISBN, and a year.
 ISBN = r"ISBN[\s:：]*([0-9][0-9\-\s]{8,16}[0-9Xx])"
@@ -163,3 +171,38 @@ def epub_package(opf: Column) -> Column:
     digits = F.transform(ids, lambda i: F.struct(i.alias("raw"), F.regexp_replace(i, "[^0-9Xx]", "").alias("digits")))
     isbn = F.try_element_at(F.filter(digits, lambda s: F.lower(s["raw"]).contains("isbn") | F.length(s["digits"]).isin(10, 13)), F.lit(1))["digits"]
     return F.struct(field("title").alias("title"), field("creator").alias("creator"), field("publisher").alias("publisher"), field("date").alias("date"), F.coalesce(isbn, F.lit("")).alias("isbn"))
+
+
+def _packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, opf): the package file of each EPUB, null where the archive or its container file cannot be read."""
+    for batch in batches:
+        found = [_package(x) for x in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], names=["path", "opf"])
+
+
+def _package(content: bytes) -> str | None:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
+            named = next(e.get("full-path") for e in container.iter() if e.tag.rpartition("}")[2] == "rootfile")
+            root = ElementTree.fromstring(archive.read(named))
+        return ElementTree.tostring(root, encoding="unicode")
+    except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, ValueError, RuntimeError, NotImplementedError, OSError, EOFError, zlib.error):
+        return None
+
+
+def epubs(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, title, authors, publisher, year, isbn) of the EPUB files of a folder.
+
+    Each task opens the archives of its files and hands on their package file; the fields are read from its XML.  Where an archive is
+    broken the title is the file's name and the rest is empty.  Archives are read whole, one at a time.
+    """
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.{epub,EPUB}").load(folder).select("path", "content")
+    told = content.mapInArrow(_packages, "path string, opf string")
+    texts = lambda n: F.filter(F.transform(F.coalesce(F.xpath("opf", F.lit(f"//*[local-name()='{n}']/text()")), F.array().cast("array<string>")), strip), lambda x: x != "")
+    first = lambda x: F.coalesce(F.try_element_at(x, F.lit(1)), F.lit(""))
+    digits = lambda i: F.regexp_replace(i, "[^0-9Xx]", "")
+    isbn = first(F.filter(texts("identifier"), lambda i: F.lower(i).contains("isbn") | F.length(digits(i)).isin(10, 13)))
+    year = first(F.filter(F.transform(texts("date"), lambda d: F.regexp_extract(d, YEAR, 0)), lambda y: y != ""))
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "")
+    return told.select("path", F.coalesce(F.try_element_at(texts("title"), F.lit(1)), name).alias("title"), F.array_join(texts("creator"), ", ").alias("authors"), first(texts("publisher")).alias("publisher"), year.alias("year"), strip(F.substring_index(isbn, ":", -1)).alias("isbn"))
