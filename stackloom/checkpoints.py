@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,10 +36,27 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Tables written since the innermost ``temporary`` began.
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that ``cut`` writes inside are deleted at its end, whoever wrote them: results must be read or written by then."""
+    tables: list[DataFrame] = []
+    token = _written.set(tables)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        drop(*tables)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and its shuffle files are gone.
 
-    Nothing deletes the table but ``drop``, as lazy results may read it for as long as they live.
+    The shared folder is that of ``spark.checkpoint.dir``; a local master without that setting takes a temporary one.
+    The table is deleted by ``drop`` or, unless ``keep``, at the end of ``temporary``, else by nothing, as lazy results may read it for as long as they live.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
@@ -46,6 +64,8 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if not keep and (tables := _written.get()) is not None:
+        tables.append(out)
     return out
 
 
@@ -60,7 +80,7 @@ def drop(*tables: DataFrame) -> None:
 def running_total(df: DataFrame, size: Column, order: list[str], name: str) -> DataFrame:
     """``df`` with the total of ``size`` over all rows before each row: by partition, inside one by ``order``.
 
-    Rows and partition numbers are written together, so totals and rows see the same partitions.
+    Rows and partition numbers are written together, so totals and rows see the same partitions; ``drop`` of the result deletes that table.
     """
     fixed = cut(df.withColumns({"_part": F.spark_partition_id(), "_size": size.cast("long")}))
     until = (Window.unboundedPreceding, -1)
@@ -68,4 +88,6 @@ def running_total(df: DataFrame, size: Column, order: list[str], name: str) -> D
     # One row a partition.
     parts = parts.select("_part", F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(*until)), F.lit(0)).alias("_earlier"))
     own = F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(*until)), F.lit(0))
-    return fixed.withColumn("_own", own).join(F.broadcast(parts), "_part").withColumn(name, F.col("_earlier") + F.col("_own")).drop("_part", "_size", "_own", "_earlier")
+    out = fixed.withColumn("_own", own).join(F.broadcast(parts), "_part").withColumn(name, F.col("_earlier") + F.col("_own")).drop("_part", "_size", "_own", "_earlier")
+    out._written = fixed._written
+    return out
