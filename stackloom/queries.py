@@ -720,6 +720,30 @@ def intake_budget(spark, sf):
     return intake.decide(_books(spark, sf), 1000)
 
 
+_NOTE_SQL = sinks.NOTE.replace("'", "''")
+for _name, _value in {
+    "doc_type": "doc_type", "language": "coalesce(nullif(language, ''), 'en')", "date": f"'{TODAY}'", "title": "title", "label": "CASE doc_type WHEN 'patent' THEN '专利' WHEN 'standard' THEN '标准' ELSE '期刊论文' END",
+    "authors": "CASE WHEN d % 3 = 0 THEN 'Auth ' || d ELSE '未提取' END", "year": f"CASE WHEN d % 3 = 0 THEN '1999' ELSE '{TODAY[:4]}' END", "journal": "CASE WHEN d % 3 = 0 THEN 'J' ELSE '未提取' END",
+    "source": "CASE doc_type WHEN 'patent' THEN 'CN112856361B' WHEN 'standard' THEN 'GB/T 1677-2008' ELSE CASE WHEN d % 3 = 0 THEN 'J' ELSE '未提取' END END", "source_label": "CASE doc_type WHEN 'patent' THEN '专利号' WHEN 'standard' THEN '标准号' ELSE '期刊/会议' END",
+    "tldr": "CASE WHEN d % 3 = 0 THEN 'short' ELSE '' END", "abstract": "''", "background": "''", "methods": "''", "results": "''", "conclusion": "''",
+    "images": "CASE d % 4 WHEN 1 THEN '![图表](attachments/' || id || '/a' || d || '.png)' || chr(10) || '![图表](attachments/' || id || '/b.png)' WHEN 2 THEN '![图表](attachments/' || id || '/b.png)' ELSE '*暂无提取的图表*' END",
+}.items():
+    _NOTE_SQL = _NOTE_SQL.replace(f"{{{_name}}}", f"' || {_value} || '")
+
+
+@query(f" SELECT id, title || '_' || left(id, 8) || '.md' AS file_name, '{_NOTE_SQL}' AS content FROM (SELECT *, doc_id AS d, CASE doc_id % 10 WHEN 3 THEN 'patent' WHEN 7 THEN 'standard' ELSE 'paper' END AS doc_type FROM papers)")
+def note_files(spark, sf):
+    """Notes of all papers with what their covers and analyses say, and with planted images, some of which have no file."""
+    own = covered(spark, sf)
+    told = jobs.note_metadata(own).drop("title", "language", "authors", "publisher", "year")
+    whole = own.select("id", "title", "language", "doc_id").join(told, "id").join(_analysed(spark, sf).select("id", "result_json"), "id")
+    n = F.col("doc_id")
+    names = F.array(F.struct(F.lit(1).alias("pos"), F.concat(F.lit("out\\a"), _number("doc_id"), F.lit(".png")).alias("path")), F.struct(F.lit(2).alias("pos"), F.lit("out/b.png").alias("path")))
+    images = own.filter(n % 4 > 0).filter(n % 4 < 3).select("id", n, F.explode(names).alias("i")).select("id", "doc_id", "i.*")
+    there = images.filter("pos = 2 or doc_id % 4 = 1").select("path")
+    return sinks.notes(whole, F.lit(TODAY), images.drop("doc_id"), there).select("id", "file_name", "content")
+
+
 #: Buckets of the stores that queries write.
 BUCKETS = 16
 

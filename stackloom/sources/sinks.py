@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom import schemas
-from stackloom.functions.text import first_nonempty, safe_title
+from stackloom import schemas, vocab
+from stackloom.functions.text import nonempty, safe_title
 
 
 def swap(df: DataFrame, path: str) -> None:
@@ -73,12 +74,102 @@ def note_name(title: Column, doc_id: Column) -> Column:
     return F.concat(safe_title(title), F.lit("_"), F.left(doc_id, F.lit(8)), F.lit(".md"))
 
 
-def notes(papers: DataFrame) -> DataFrame:
-    """(file_name, content): a note a paper, front matter and then the sections of its analysis."""
-    get = lambda k: first_nonempty(F.try_variant_get(F.try_parse_json("result_json"), f"$.{k}", "string"))
-    front = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), get("title")), F.concat(F.lit("authors: "), get("authors")), F.concat(F.lit("year: "), get("year")), F.concat(F.lit("id: "), F.col("id")), F.lit("---"))
-    parts = [F.concat(F.lit(f"## {k}\n"), F.nullif(get(k), F.lit(""))) for k in ("abstract", "methods", "results", "conclusion")]
-    return papers.select(note_name(first_nonempty(get("title"), "title"), F.col("id")).alias("file_name"), F.concat_ws("\n\n", front, *parts).alias("content"))
+# What a note calls the source of each type, and the column that has it.
+SOURCES = {
+    "paper": ("期刊/会议", "journal"),
+    "conf": ("会议", "journal"),
+    "patent": ("专利号", "patent_no"),
+    "standard": ("标准号", "doc_no"),
+    "book": ("出版社", "publisher"),
+    "report": ("发布机构", "publisher"),
+    "thesis": ("授予单位", "publisher"),
+    "web": ("网址", "url"),
+}
+MISSING = "未提取"
+NO_IMAGES = "*暂无提取的图表*"
+# Fixed value: a note; names in braces are filled in.
+NOTE = """---
+aliases: []
+tags:
+  - "#{doc_type}"
+  - "#{language}"
+date: "{date}"
+title: "{title}"
+document_type: "{label}"
+authors: "{authors}"
+year: "{year}"
+journal: "{journal}"
+source: "{source}"
+---
+
+# {title}
+
+> **类型**: {label}  |  **作者/责任者**: {authors}  |  **年份**: {year}  |  **{source_label}**: {source}
+
+## 💡 核心摘要 / TL;DR
+{tldr}
+
+## 📄 原始摘要 / Original Abstract
+{abstract}
+
+## 🎯 研究背景与动机
+{background}
+
+## 🧪 核心方法与公式
+{methods}
+
+## 📊 实验数据与结果
+{results}
+
+## 📝 结论与个人启发
+{conclusion}
+
+## 📎 附件与图表
+{images}"""
+
+
+def notes(papers: DataFrame, today: Column, images: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(id, file_name, content, copies): a note a paper, and (source, target) of the images it shows.
+
+    ``papers`` has id, title and result_json, the analysis, and what of language, doc_type, authors, journal, abstract, patent_no, doc_no, publisher
+    and url there is.  Ten fields come from the analysis where it has them; it goes before the paper's own but for the abstract
+    as empty as that.  ``images(id, pos, path)`` are shown in the order of ``pos``, under the note's attachments; those not in ``files(path)``
+    are left out.
+    """
+    analysis = F.try_parse_json("result_json")
+    told = lambda c: nonempty(F.try_variant_get(analysis, f"$.{c}", "string"))
+    own = lambda c: nonempty(F.col(c).cast("string")) if c in papers.columns else F.lit(None).cast("string")
+    kind = F.coalesce(nonempty(vocab.normalize(own("doc_type"))), F.lit(vocab.DEFAULT_TYPE))
+    of_kind = lambda values, rest: F.coalesce(*[F.when(kind == k, v) for k, v in values.items()], rest)
+    empty = F.lit("")
+    value = {
+        "doc_type": kind,
+        "label": vocab.label(kind),
+        "source_label": of_kind({t: F.lit(label) for t, (label, _) in SOURCES.items()}, F.lit("来源")),
+        "source": F.coalesce(of_kind({t: own(c) for t, (_, c) in SOURCES.items()}, told("journal")), F.lit(MISSING)),
+        "language": F.coalesce(told("language"), own("language"), F.lit("en")),
+        "date": today.cast("string"),
+        "title": F.coalesce("title", F.lit("Unknown Title")),
+        "authors": F.coalesce(told("authors"), own("authors"), F.lit(MISSING)),
+        "year": F.coalesce(told("year"), F.left(today.cast("string"), F.lit(4))),
+        "journal": F.coalesce(told("journal"), own("journal"), F.lit(MISSING)),
+        "abstract": F.coalesce(told("abstract"), own("abstract"), empty),
+        **{c: F.coalesce(told(c), empty) for c in ("tldr", "background", "methods", "results", "conclusion")},
+        "images": F.col("_shown"),
+    }
+    rows = papers
+    link = F.struct("pos", F.col("path").alias("source"), F.concat(F.lit("attachments/"), "id", F.lit("/"), F.substring_index(F.replace("path", F.lit("\\"), F.lit("/")), "/", -1)).alias("target"))
+    if images is not None:
+        there = images if files is None else images.join(files.select("path").distinct(), "path", "left_semi")
+        # A paper's own images.
+        rows = rows.join(there.groupBy("id").agg(F.sort_array(F.collect_list(link)).alias("_images")), "id", "left")
+    else:
+        rows = rows.withColumn("_images", F.lit(None).cast("array<struct<pos:int,source:string,target:string>>"))
+    shown = F.array_join(F.transform("_images", lambda i: F.concat(F.lit("![图表]("), i["target"], F.lit(")"))), "\n")
+    rows = rows.withColumn("_shown", F.coalesce(nonempty(shown), F.lit(NO_IMAGES)))
+    content = F.concat(*[value[part] if k % 2 else F.lit(part) for k, part in enumerate(re.split(r"\{(\w+)\}", NOTE))])
+    copies = F.coalesce(F.transform("_images", lambda i: F.struct(i["source"].alias("source"), i["target"].alias("target"))), F.array().cast("array<struct<source:string,target:string>>"))
+    return rows.select("id", note_name(F.coalesce("title", F.lit("Untitled")), F.col("id")).alias("file_name"), content.alias("content"), copies.alias("copies"))
 
 
 def review(sections: DataFrame, references: DataFrame, title: str) -> DataFrame:

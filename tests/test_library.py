@@ -251,3 +251,17 @@ def test_described_standards_and_unknown_titles(spark):
     none = F.lit(None).cast("string")
     assert one(citations.best_title(none, none, none, F.lit(True))) == "未知文献"
     assert one(standard.lines(F.lit("a\x0bb\x0cc\x85d\u2028e\u2029f\r\ng"))) == list("abcdefg")
+
+
+def test_notes(spark):
+    rows = [("0123456789", "A: b/c", "zh", "网页", "http://x", '{"authors": "Li", "abstract": "From the model", "year": 1999}'), ("9876543210", "..", None, "?", None, "{broken"), ("aaaaaaaaaa", None, "", "book", None, None)]
+    papers = spark.createDataFrame(rows, "id string, title string, language string, doc_type string, url string, result_json string")
+    images = spark.createDataFrame([("0123456789", 2, "o/b.png"), ("0123456789", 1, "o\\\\a.png"), ("0123456789", 3, "o/gone.png")], "id string, pos int, path string")
+    there = spark.createDataFrame([("o/b.png",), ("o\\\\a.png",)], "path string")
+    got = {r.id: r for r in sinks.notes(papers, F.lit("2024-05-01"), images, there).collect()}
+    one = got["0123456789"]
+    assert one.file_name == "A bc_01234567.md" and '  - "#web"' in one.content and "**网址**: http://x" in one.content and "**年份**: 1999" in one.content and "From the model" in one.content
+    assert one.content.endswith("![图表](attachments/0123456789/a.png)\n![图表](attachments/0123456789/b.png)") and [c.target for c in one.copies] == ["attachments/0123456789/a.png", "attachments/0123456789/b.png"]
+    assert got["9876543210"].file_name == "Untitled_Paper_98765432.md" and "**期刊/会议**: 未提取" in got["9876543210"].content and got["9876543210"].content.endswith(sinks.NO_IMAGES)
+    assert got["aaaaaaaaaa"].file_name == "Untitled_aaaaaaaa.md" and 'title: "Unknown Title"' in got["aaaaaaaaaa"].content and 'year: "2024"' in got["aaaaaaaaaa"].content
+    assert {r.id: len(r.copies) for r in sinks.notes(papers, F.lit("2024-05-01")).collect()} == dict.fromkeys(got, 0)
