@@ -156,3 +156,36 @@ def test_epub_files(spark, tmp_path):
     (tmp_path / "other.pdf").write_bytes(b"x")
     got = {r.path.rpartition("/")[2]: tuple(r)[1:] for r in files.epubs(spark, str(tmp_path)).collect()}
     assert got == {"one.epub": ("测试书", "张三, Li & Co", "House", "2020", "9780000000000"), "No.Package.EPUB": ("No.Package", "", "", "", ""), "broken.epub": ("broken", "", "", "", "")}
+
+
+def test_index_rounds(spark, tmp_path):
+    """New, changed, unchanged and empty documents; a run without a model; one that fails; each logged."""
+    import dataclasses
+
+    from stackloom.config import DEFAULT
+    from stackloom.operators import models
+    from stackloom.plans import indexing
+
+    lib, log = store.Library(spark, str(tmp_path / "lib"), buckets=4), str(tmp_path / "log")
+    config = dataclasses.replace(DEFAULT, embedding_dim=8)
+    body = lambda k, word: f"# Title {k}\n\n" + f"{word} sentence number {k} goes on for a while here. " * 60
+    schema = "id string, title string, status string, markdown string"
+    lib.papers.upsert(spark.createDataFrame([(f"doc{k}", f"t{k}", "EXPORTED", body(k, "first")) for k in range(6)] + [("empty", "e", "EXPORTED", "#"), ("open", "o", "PARSED", body(9, "x"))], schema))
+    run = lambda model, day: indexing.index_round(lib, model, "m", F.lit(f"2024-01-0{day} 00:00:00"), log, config=config)
+    assert run(None, 1)["deferred"] >= 6
+    first = run(models.hashing_embedder(8), 2)
+    assert first["total"] == first["indexed"] == 7 and first["chunks"] > 6 and first["failed"] == 0
+    held = {r.chunk_id: r.embedding for r in lib.chunks.read().collect()}
+    assert run(models.hashing_embedder(8), 3) == {"total": 0, "indexed": 0, "failed": 0, "chunks": 0, "deferred": 0}
+    lib.papers.upsert(spark.createDataFrame([("doc1", "t1", "EXPORTED", body(1, "second"))], schema))
+
+    def broken(texts):
+        raise RuntimeError("no memory")
+
+    with pytest.raises(Exception, match="no memory"):
+        run(broken, 4)
+    assert run(models.hashing_embedder(8), 5)["indexed"] == 1
+    now = {r.chunk_id: r.embedding for r in lib.chunks.read().collect()}
+    same = {c for c, v in now.items() if held.get(c) == v}
+    assert len(now) == len(held) and 0 < len(now) - len(same) <= len(now) / 6 + 1 and all(v is not None for v in now.values())
+    assert [r.status for r in indexing.outcomes(files.events(spark, log)).collect()] == ["deferred", "success", "success", "failed", "success"]
