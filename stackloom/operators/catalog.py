@@ -159,3 +159,14 @@ def asset_files(assets: DataFrame, files: DataFrame, roots: list[str]) -> DataFr
     held = files.select(bare.alias("file"), F.explode(F.array_compact(F.array(*under))).alias("u")).select("u.rank", "u.img_path", "file")
     best = held.groupBy("img_path").agg(F.min_by("file", "rank").alias("file"))
     return assets.join(best, "img_path", "left").withColumn("file", F.coalesce("file", F.lit("")))
+
+
+def paper_folders(papers: DataFrame, folders: DataFrame, root: str) -> DataFrame:
+    """(id, folder) of each paper: the parent of its images' folder if it is in ``folders(path)``, else that path below ``root``, else ''."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "^file:/*", "/"), "/+$", "")
+    parent = F.regexp_replace(bare(F.col("images_dir")), "/[^/]*$", "")
+    there = folders.select(bare(F.col("path")).alias("folder")).distinct()
+    tried = F.array(F.struct(F.lit(0).alias("rank"), parent.alias("folder")), F.struct(F.lit(1).alias("rank"), F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(parent, "^[./]+", "")).alias("folder")))
+    named = papers.select("id", F.explode(tried).alias("t")).select("id", "t.rank", "t.folder").join(there, "folder")
+    best = named.groupBy("id").agg(F.min_by("folder", "rank").alias("folder"))
+    return papers.select("id").join(best, "id", "left").withColumn("folder", F.coalesce("folder", F.lit("")))

@@ -130,6 +130,12 @@ def decide(files: DataFrame, budget: int) -> DataFrame:
     return by_part(told.select(*order, "settled", "pages", "part", "before")).mapInArrow(_decided(budget), "batch string, name string, outcome string, pages long")
 
 
+def with_known(files: DataFrame, papers: DataFrame) -> DataFrame:
+    """``files(id, ...)`` with ``known``: whether a paper of that content is there and exported; of an empty table none is."""
+    done = papers.filter("status = 'EXPORTED'").select("id").distinct().withColumn("known", F.lit(True))
+    return files.drop("known").join(done, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def report(decisions: DataFrame) -> DataFrame:
     """(batch, outcome, n, pages)."""
     return decisions.groupBy("batch", "outcome").agg(F.count("*").alias("n"), F.sum("pages").alias("pages"))

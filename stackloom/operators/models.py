@@ -41,6 +41,15 @@ def query_text(question: str, instruction: str = "") -> str:
     return f"Instruct: {instruction}\nQuery: {question}" if instruction else question
 
 
+def _vectors(model: Embed, texts: list[str], dim: int) -> np.ndarray:
+    """Vectors of length one, cut to ``dim`` numbers."""
+    x = np.asarray(model(texts), float)[:, :dim]
+    if len(x) != len(texts):
+        raise ValueError("the embedder returned another number of vectors than texts")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return (x / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+
 def embed(chunks: DataFrame, model: Embed, config: Config = DEFAULT) -> DataFrame:
     """(chunk_id, vector): vectors of length one, cut to ``embedding_dim`` where the model gives more."""
 
@@ -48,16 +57,36 @@ def embed(chunks: DataFrame, model: Embed, config: Config = DEFAULT) -> DataFram
         for batch in batches:
             for at in range(0, len(batch), config.embedding_batch):
                 part = batch.iloc[at : at + config.embedding_batch]
-                x = np.asarray(model([t[: config.embed_chars] for t in part["content"].fillna("")]), float)[:, : config.embedding_dim]
-                if len(x) != len(part):
-                    raise ValueError("the embedder returned another number of vectors than texts")
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                x = x / np.where(norm > 0, norm, 1)
-                yield pd.DataFrame({"chunk_id": part["chunk_id"].values, "vector": list(x.astype(np.float32))})
+                x = _vectors(model, [t[: config.embed_chars] for t in part["content"].fillna("")], config.embedding_dim)
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].values, "vector": list(x)})
 
     return chunks.select(F.col("chunk_id").cast("long"), "content").mapInPandas(run, "chunk_id long, vector array<float>")
 
 
+def embed_each(chunks: DataFrame, model: Embed, config: Config = DEFAULT) -> DataFrame:
+    """(chunk_id, vector, error): as ``embed``, but a failing batch is embedded text by text, and a text that fails has no vector and says why."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), config.embedding_batch):
+                part = batch.iloc[at : at + config.embedding_batch]
+                texts = [t[: config.embed_chars] for t in part["content"].fillna("")]
+                try:
+                    made = [(v, None) for v in _vectors(model, texts, config.embedding_dim)]
+                except Exception:  # noqa: BLE001 (a failing batch must not end the run)
+                    made = [_one_vector(model, t, config.embedding_dim) for t in texts]
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].values, "vector": [v for v, _ in made], "error": [e for _, e in made]})
+
+    return chunks.select(F.col("chunk_id").cast("long"), "content").mapInPandas(run, "chunk_id long, vector array<float>, error string")
+
+
+def _one_vector(model: Embed, text: str, dim: int) -> tuple[np.ndarray | None, str | None]:
+    try:
+        return _vectors(model, [text], dim)[0], None
+    except Exception as e:  # noqa: BLE001
+        return None, f"{type(e).__name__}: {e}"
+
+
 def rerank(pool: DataFrame, questions: DataFrame, model: Rerank, config: Config = DEFAULT) -> DataFrame:
     """(section, chunk_id, score): the best score of each pooled chunk over its section's questions.
 

@@ -17,7 +17,8 @@ def index_round(library: Library, model: models.Embed | None, model_name: str, n
     """One round; returns and logs how many documents needed it, were indexed, failed or were deferred, and the chunks embedded.
 
     Documents whose text is as it was indexed keep their chunks, and only those without a vector are embedded; with ``force`` all are cut
-    anew.  Without a model documents are cut, and their embedding is deferred to a run that has one.  An error is logged before it is raised.
+    anew.  Without a model documents are cut, and their embedding is deferred to a run that has one.  A chunk that the model fails on leaves its document
+    for the next round and costs no other one; any other error is logged before it is raised.
     """
     spark = library.papers.spark
     try:
@@ -41,7 +42,7 @@ def _round(library: Library, model: models.Embed | None, model_name: str, now: C
     pending = cut(library.chunks.of(named).filter("embedding is null").select("doc_id", "chunk_id", "content"))
     total, chunks = todo.count(), pending.count()
     if model is not None and total:
-        vectors = pending.select("doc_id", "chunk_id").join(models.embed(pending, model, config), "chunk_id").select("doc_id", "chunk_id", "vector")
+        vectors = pending.select("doc_id", "chunk_id").join(models.embed_each(pending, model, config), "chunk_id").select("doc_id", "chunk_id", "vector")
         # Documents without a chunk to embed are done as well.
         rest = named.join(pending.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("long").alias("chunk_id"), F.lit(None).cast("array<float>").alias("vector"))
         library.save_embeddings(vectors.unionByName(rest), model_name)
