@@ -31,7 +31,7 @@ def index(papers: DataFrame, meta: DataFrame, details: DataFrame, config: Config
 
 def detect(head: Column) -> Column:
     """Type and fields of a document from its first page: patent before standard; '' if neither."""
-    return text.let(F.struct(patent.fields(head).alias("p"), standard.fields(head).alias("s")), lambda both: _detected(both["p"], both["s"]))
+    return text.let(patent.fields(head), lambda p: text.let(F.when(p.isNull(), standard.fields(head)), lambda s: _detected(p, s)))
 
 
 def _detected(p: Column, s: Column) -> Column:
