@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stackloom.functions.text import first_nonempty, let, nonempty, strip
+from stackloom.functions.text import COVER_WORDS, first_nonempty, let, nonempty, strip
 
 # Marks of a title page, of which two are needed.
 MARKS = [
@@ -53,11 +54,22 @@ PENDING, GRANTED, UNKNOWN = "申请公开（审查中）", "已授权", "未知"
 STAGES = {"A": "申请公布（审查中）", "B": "发明专利已授权", "C": "发明专利已授权（更正）", "U": "实用新型已授权", "Y": "实用新型已授权", "S": "外观设计已授权"}
 
 
+#: The fields of a title page.
+FIELDS = ("patent_no", "app_no", "filing_date", "title", "inventors", "assignee", "ipc", "stage", "expiry", "marks")
+
+
 def marks(head: Column) -> Column:
     """How many of the marks occur."""
-    # A pattern is only tried on texts that have what it holds, which is much cheaper to look for.
-    hits = lambda low: [F.coalesce(low.contains(word) & head.rlike(f"(?i){p}"), F.lit(False)).cast("int") for p, word in zip(MARKS, HELD, strict=True)]
-    return let(F.lower(head), lambda low: reduce(lambda a, b: a + b, hits(low)))
+    total = lambda hits: reduce(lambda a, b: a + b, hits)
+    # A pattern is only tried on texts that have what it holds, which is much cheaper to look for; each word is looked for once.
+    tried = lambda word: total([head.rlike(f"(?i){p}").cast("int") for p, w in zip(MARKS, HELD, strict=True) if w == word])
+    return let(F.lower(head), lambda low: total([F.when(low.contains(w), tried(w)).otherwise(0) for w in dict.fromkeys(HELD)]))
+
+
+def cover(head: Column, words: Column | None = None) -> Column:
+    """Whether a text has the marks of a title page; ``words``: whether it has any of ``COVER_WORDS``, where that is known."""
+    held = reduce(lambda a, b: a | b, [head.contains(w) for w in HELD if not w.isascii()])
+    return F.when(held | (head.rlike(COVER_WORDS) if words is None else words), marks(head) >= LEAST_MARKS).otherwise(False)
 
 
 def number(text: Column) -> Column:
@@ -116,30 +128,37 @@ def organisation(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.split(F.coalesce(raw, F.lit("")), r"地\s*址|Address", 2)[0], r"(?U)\s+", " "), r"^[ ,;，；]+|[ ,;，；]+$", "")
 
 
-def fields(head: Column) -> Column:
-    """The fields of a title page, null if ``head`` is none."""
-    # Number and date are worked out once, and only of title pages.
+def fields(head: Column, names: Sequence[str] = FIELDS) -> Column:
+    """The named fields of a title page, null if ``head`` is none."""
+    return F.when(cover(head), read(head, names))
+
+
+def read(head: Column, names: Sequence[str] = FIELDS) -> Column:
+    """The named fields of a title page; only what they need is worked out."""
+    # Number and date are worked out once.
     printed = first_nonempty(F.regexp_extract(head, FILED, 1), F.regexp_extract(head, FILED_US, 1))
-    made = let(F.struct(number(head).alias("no"), let(printed, date_text).alias("filed")), lambda s: _fields(head, s["no"], s["filed"]))
-    return F.when(marks(head) >= LEAST_MARKS, made)
+    no = number(head) if {"patent_no", "stage", "expiry"} & {*names} else F.lit("")
+    filed = let(printed, date_text) if {"filing_date", "expiry"} & {*names} else F.lit("")
+    made = lambda told: F.struct(*[told[c].alias(c) for c in names])
+    return let(F.struct(no.alias("no"), filed.alias("filed")), lambda s: made(_fields(head, s["no"], s["filed"])))
 
 
-def _fields(head: Column, no: Column, filed: Column) -> Column:
+def _fields(head: Column, no: Column, filed: Column) -> dict[str, Column]:
     squeeze = lambda p: F.regexp_replace(F.regexp_extract(head, p, 1), r"(?U)\s+", "")
     below = F.regexp_extract(head, TITLE.replace(r"([^\n]*)", r"\n+([^\n]*)"), 1)
     ipc = F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(IPC), F.lit(1)), lambda x: F.regexp_replace(x, r"(?U)\s+", "")))
-    return F.struct(
-        no.alias("patent_no"),
-        squeeze(APPLICATION).alias("app_no"),
-        filed.alias("filing_date"),
-        first_nonempty(strip(F.regexp_extract(head, TITLE, 1)), strip(below)).alias("title"),
-        strip(F.regexp_replace(F.regexp_extract(head, INVENTORS, 1), r"(?U)\s+", " ")).alias("inventors"),
-        organisation(first_nonempty(F.regexp_extract(head, OWNER, 1), F.regexp_extract(head, APPLICANT, 1))).alias("assignee"),
-        F.left(F.array_join(ipc, "; "), F.lit(300)).alias("ipc"),
-        stage(no).alias("stage"),
-        expiry(no, filed).alias("expiry"),
-        marks(head).alias("marks"),
-    )
+    return {
+        "patent_no": no,
+        "app_no": squeeze(APPLICATION),
+        "filing_date": filed,
+        "title": first_nonempty(strip(F.regexp_extract(head, TITLE, 1)), strip(below)),
+        "inventors": strip(F.regexp_replace(F.regexp_extract(head, INVENTORS, 1), r"(?U)\s+", " ")),
+        "assignee": organisation(first_nonempty(F.regexp_extract(head, OWNER, 1), F.regexp_extract(head, APPLICANT, 1))),
+        "ipc": F.left(F.array_join(ipc, "; "), F.lit(300)),
+        "stage": stage(no),
+        "expiry": expiry(no, filed),
+        "marks": marks(head),
+    }
 
 
 def describe(no: Column, filed: Column, status: Column, checked: Column, today: Column) -> Column:

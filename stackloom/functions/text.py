@@ -27,6 +27,8 @@ ABSTRACTS = [
 OMITTED = "\n\n[... 中间内容已省略 ...]\n\n"
 DOI = r"10\.\d{4,9}/[^\s\"<>\]]+"
 DOI_TAIL = ".,;:)）。，；"
+#: What two marks of a title page or cover without Chinese characters hold; a set first, as it is quick to pass over other letters.
+COVER_WORDS = "[pPfFsS](?i:atent|iled|tandard)"
 #: All white space of Unicode.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,31 +31,49 @@ def index(papers: DataFrame, meta: DataFrame, details: DataFrame, config: Config
     return made.withColumn("chunk_id", F.xxhash64("doc_id", "chunk_index"))
 
 
-def detect(head: Column) -> Column:
-    """Type and fields of a document from its first page: patent before standard; '' if neither."""
-    return text.let(patent.fields(head), lambda p: text.let(F.when(p.isNull(), standard.fields(head)), lambda s: _detected(p, s)))
+# The detected fields, and which fields of a title page and of a cover tell each.
+DETECTED = {
+    "title": (["title"], ["title"]),
+    "patent_no": (["patent_no"], []),
+    "doc_no": ([], ["doc_no"]),
+    "filing_date": (["filing_date"], []),
+    "effective_date": ([], ["effective"]),
+    "authors": (["inventors"], []),
+    "publisher": (["assignee"], ["publisher", "issuer"]),
+    "year": (["filing_date"], ["year"]),
+}
+
+
+def detect(head: Column, names: Sequence[str] = tuple(DETECTED)) -> Column:
+    """Type and named fields of a document from its first page: patent before standard; '' if neither."""
+    return text.let(detected_type(head), lambda kind: _detected(head, kind, names))
+
+
+def detected_type(head: Column) -> Column:
+    """The type alone, which is much cheaper to tell than the fields."""
+    return text.let(head.rlike(text.COVER_WORDS), lambda words: F.when(patent.cover(head, words), "patent").when(standard.cover(head, words), "standard").otherwise(""))
+
+
+def _detected(head: Column, kind: Column, names: Sequence[str]) -> Column:
+    needed = [list(dict.fromkeys(f for c in names for f in DETECTED[c][k])) for k in (0, 1)]
+    # Only the fields of its own type are worked out.
+    own = [F.when(kind == k, reader.read(head, fields)) if fields else None for k, reader, fields in zip(("patent", "standard"), (patent, standard), needed, strict=True)]
+
+    def told(c: str, found: Column | None, k: int) -> Column:
+        values = [found[f] for f in DETECTED[c][k]]
+        return F.left(values[0], F.lit(4)) if (c, k) == ("year", 0) else text.first_nonempty(*values)
 
+    def made(p: Column | None, s: Column | None) -> Column:
+        fields = {c: F.when(kind == "patent", told(c, p, 0)).when(kind == "standard", told(c, s, 1)) for c in names}
+        return F.struct(kind.alias("doc_type"), *[F.coalesce(f, F.lit("")).alias(c) for c, f in fields.items()])
 
-def _detected(p: Column, s: Column) -> Column:
-    empty = F.lit("")
-    named = lambda f: F.when(p.isNotNull(), f[0]).when(s.isNotNull(), f[1]).otherwise("")
-    out = {
-        "doc_type": (F.lit("patent"), F.lit("standard")),
-        "title": (p["title"], s["title"]),
-        "patent_no": (p["patent_no"], empty),
-        "doc_no": (empty, s["doc_no"]),
-        "filing_date": (p["filing_date"], empty),
-        "effective_date": (empty, s["effective"]),
-        "authors": (p["inventors"], empty),
-        "publisher": (p["assignee"], text.first_nonempty(s["publisher"], s["issuer"])),
-        "year": (F.left(p["filing_date"], F.lit(4)), s["year"]),
-    }
-    return F.struct(*[F.coalesce(named(f), F.lit("")).alias(c) for c, f in out.items()])
+    given = lambda value, use: use(None) if value is None else text.let(value, use)
+    return given(own[0], lambda p: given(own[1], lambda s: made(p, s)))
 
 
 def rescan_types(papers: DataFrame, details: DataFrame, head_chars: int = DEFAULT.head_chars) -> DataFrame:
     """(doc_id, old_type, new_type, changed): a dry run of the detectors over all exported papers."""
-    now = state.exported(papers).select(F.col("id").alias("doc_id"), detect(F.left("markdown", F.lit(head_chars)))["doc_type"].alias("new_type"))
+    now = state.exported(papers).select(F.col("id").alias("doc_id"), detected_type(F.left("markdown", F.lit(head_chars))).alias("new_type"))
     old = details.select("doc_id", "doc_type")
     rows = now.join(old, "doc_id", "left").select("doc_id", catalog.kind().alias("old_type"), "new_type")
     return rows.withColumn("changed", (F.col("new_type") != "") & (F.col("new_type") != F.col("old_type")))
@@ -65,11 +85,11 @@ def rescan_summary(rescanned: DataFrame) -> DataFrame:
     return rescanned.agg(F.count("*").alias("scanned"), F.count_if(found).alias("found"), F.count_if(found & F.col("changed")).alias("newly"))
 
 
-def note_metadata(papers: DataFrame) -> DataFrame:
-    """(id, title, language, doc_type and the detected fields): detectors over the whole text; a paper where they find nothing."""
-    told = papers.select("id", "title", "language", detect(F.coalesce("markdown", F.lit(""))).alias("d"))
-    fields = [f"d.{c}" for c in ("patent_no", "doc_no", "filing_date", "effective_date", "authors", "publisher", "year")]
-    return told.select("id", "title", "language", *fields, text.first_nonempty(F.col("d.doc_type"), F.lit(vocab.DEFAULT_TYPE)).alias("doc_type"))
+def note_metadata(papers: DataFrame, names: Sequence[str] = tuple(c for c in DETECTED if c != "title"), keep: Sequence[str] = ()) -> DataFrame:
+    """(id, title, language, doc_type, the named fields and the papers' columns ``keep``): detectors over the whole text; a paper where they find nothing."""
+    own = ["id", "title", "language", *keep]
+    told = papers.select(*own, detect(F.coalesce("markdown", F.lit("")), names).alias("d"))
+    return told.select(*own, *[f"d.{c}" for c in names], text.first_nonempty(F.col("d.doc_type"), F.lit(vocab.DEFAULT_TYPE)).alias("doc_type"))
 
 
 def process_new(files: DataFrame, known: DataFrame, parsed: DataFrame, analyses: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:

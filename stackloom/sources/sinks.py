@@ -136,10 +136,9 @@ def notes(papers: DataFrame, today: Column, images: DataFrame | None = None, fil
     as empty as that.  ``images(id, pos, path)`` are shown in the order of ``pos``, under the note's attachments; those not in ``files(path)``
     are left out.
     """
-    analysis = F.try_parse_json("result_json")
-    told = lambda c: nonempty(F.try_variant_get(analysis, f"$.{c}", "string"))
+    told = lambda c: nonempty(F.try_variant_get("_analysis", f"$.{c}", "string"))
     own = lambda c: nonempty(F.col(c).cast("string")) if c in papers.columns else F.lit(None).cast("string")
-    kind = F.coalesce(nonempty(vocab.normalize(own("doc_type"))), F.lit(vocab.DEFAULT_TYPE))
+    kind = F.col("_kind")
     of_kind = lambda values, rest: F.coalesce(*[F.when(kind == k, v) for k, v in values.items()], rest)
     empty = F.lit("")
     value = {
@@ -166,7 +165,8 @@ def notes(papers: DataFrame, today: Column, images: DataFrame | None = None, fil
     else:
         rows = rows.withColumn("_images", F.lit(None).cast("array<struct<pos:int,source:string,target:string>>"))
     shown = F.array_join(F.transform("_images", lambda i: F.concat(F.lit("![图表]("), i["target"], F.lit(")"))), "\n")
-    rows = rows.withColumn("_shown", F.coalesce(nonempty(shown), F.lit(NO_IMAGES)))
+    # Worked out once a paper.
+    rows = rows.withColumns({"_shown": F.coalesce(nonempty(shown), F.lit(NO_IMAGES)), "_analysis": F.try_parse_json("result_json"), "_kind": F.coalesce(nonempty(vocab.normalize(own("doc_type"))), F.lit(vocab.DEFAULT_TYPE))})
     content = F.concat(*[value[part] if k % 2 else F.lit(part) for k, part in enumerate(re.split(r"\{(\w+)\}", NOTE))])
     copies = F.coalesce(F.transform("_images", lambda i: F.struct(i["source"].alias("source"), i["target"].alias("target"))), F.array().cast("array<struct<source:string,target:string>>"))
     return rows.select("id", note_name(F.coalesce("title", F.lit("Untitled")), F.col("id")).alias("file_name"), content.alias("content"), copies.alias("copies"))

@@ -45,3 +45,50 @@ def test_marks_and_fields_with_white_space_inside(spark):
     assert (f["doc_no"], f["title"], f["issued"], f["effective"], f["issuer"], f["publisher"]) == ("GB/T 1677.1-2008", "增塑剂环氧值的测定", "", "2008-11-01", "国家环境保护总局", "中国标准出版社")
     assert rows[2]["f"]["doc_no"] == "ISO 12-1:2000" and rows[3]["f"] is None and rows[4]["f"] is None
     assert [rows[i]["kind"] for i in (1, 2, 3, 4)] == ["standard", "standard", "", ""]
+
+
+def test_notes_read_texts_once_and_only_what_they_show(spark):
+    df = queries.note_files(spark, TABLES)
+    plan = _plan(df)
+    # The images' files and the papers' images are joined; papers are not joined with themselves.
+    assert plan.count("Join ") == 2 and plan.count("text#") > 0
+    assert patent.INVENTORS not in plan and patent.FILED not in plan and standard.ISSUERS not in plan
+    assert patent.NUMBERS[0] in plan and standard.DOMESTIC in plan
+    # An analysis is parsed once a paper.
+    assert plan.count("parseJson") == 1
+    assert patent.NUMBERS[0] not in _plan(queries.rescan_types(spark, TABLES))
+
+
+HEADS = [
+    queries.PATENT_COVER + "text",
+    queries.STANDARD_COVER + "text",
+    "(21) APPL. NO 12/345\n(22) fiLED: Jun. 3, 2016\nUS 10,000,001 B2",
+    "uNITED States\nPATENT\neuropean patent application",
+    "(21) Appl. No. 5 and 22) Filed",
+    "INTERNATIONAL\nstandarD ics 6\nISO 12-1:2000",
+    "National Standard of the People, ICS 6\nEN 1-2:1999",
+    "ICS 6, a topic",
+    "中华人民共和国标准\n2008-05-15 发布\n犌犅<i>/</i>T <b>16</b>77．1—<b>2008</b>\n增塑剂环氧值的测定\n中国标准出版社",
+    "本标准规定了\n标准化技术委员会\nISO 9:2001\nGB/T 5—1999 代替 GB/T 5—1981",
+    "申请公布号 CN 1122334455 A 摘要 (57)摘要",
+    "申请号",
+    "",
+    None,
+]
+
+
+def test_cheap_tests_and_named_fields_change_no_result(spark):
+    h = F.col("head")
+    heads = spark.createDataFrame(list(enumerate(HEADS)), "i int, head string")
+    told = heads.select("i", patent.marks(h).alias("pm"), standard.marks(h).alias("sm"), patent.cover(h).alias("pc"), standard.cover(h).alias("sc"), jobs.detected_type(h).alias("kind"), jobs.detect(h).alias("d"), patent.fields(h).alias("p"), standard.fields(h).alias("s"))
+    few = heads.select(*[jobs.detect(h, [c]).alias(c) for c in jobs.DETECTED], *[patent.fields(h, [c]).alias(f"p_{c}") for c in patent.FIELDS], *[standard.fields(h, [c]).alias(f"s_{c}") for c in standard.FIELDS], "i")
+    one = {r["i"]: r for r in few.collect()}
+    kinds = []
+    for r in told.orderBy("i").collect():
+        assert (r["pc"], r["sc"]) == (r["pm"] >= 2, r["sm"] >= 2)
+        assert r["kind"] == r["d"]["doc_type"] == ("patent" if r["pc"] else "standard" if r["sc"] else "")
+        assert all(one[r["i"]][c] == (r["kind"], r["d"][c]) for c in jobs.DETECTED)
+        for whole, sign, names in ((r["p"], "p_", patent.FIELDS), (r["s"], "s_", standard.FIELDS)):
+            assert all(one[r["i"]][sign + c] == (whole and (whole[c],)) for c in names)
+        kinds.append((r["kind"], r["d"]["patent_no"] + r["d"]["doc_no"]))
+    assert kinds == [("patent", "CN112856361B"), ("standard", "GB/T 1677-2008"), ("patent", "US10000001B2"), ("patent", ""), ("", ""), ("standard", "ISO 12-1:2000"), ("standard", "EN 1-2:1999"), ("", ""), ("standard", "GB/T 1677.1-2008"), ("standard", "ISO 9:2001"), ("patent", "CN1122334455A"), ("", ""), ("", ""), ("", "")]
